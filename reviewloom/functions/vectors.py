@@ -51,4 +51,4 @@ def zero_vector(dim: int) -> Column:
 
 def sql_l2(a: str, b: str) -> str:
     return (f"sqrt(list_sum(list_transform(list_zip({a}, {b}), "
-            f"p -> (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))))")
+            f"lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))))")
