@@ -33,11 +33,13 @@ STRIDE = 4
 
 
 def _grams(text: Column, g: int, stride: int) -> Column:
-    n = F.length(text)
-    last = n - F.lit(g)
-    pos = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))) \
-           .otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(pos, lambda p: F.substring(text, p + 1, g)))
+    """Distinct grams of length ``g`` starting at every ``stride``-th character.
+
+    A lookahead captures the gram and the match then consumes ``stride``
+    characters, so one linear regex pass yields the overlapping grams
+    (per-position ``substring`` on UTF-8 would rescan from the start)."""
+    pattern = f"(?s)(?=(.{{{g}}})).{{{stride}}}"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
 
 
 def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str], text_id: str, text_col: str,
