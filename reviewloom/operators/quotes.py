@@ -97,6 +97,7 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
         th, mk = th + ["__all"], ["__all"]
     q = quotes.withColumn("__trim", js_trim(F.coalesce(F.col(quote_col), F.lit("")))) \
               .withColumn("__qid", F.struct(*[F.col(c) for c in th], F.col(quote_ord)))
+    q = q.checkpoint()  # small; reused by both match passes and the roll-up
     nonblank = q.filter(F.length("__trim") > 0)
     rv = reviews.select(*mk, review_id, order_col, text_col)
 

@@ -1 +1,296 @@
-"""placeholder"""
+"""Report store, run log and delivery queries
+and the end-to-end weekly job (G1, A7, G2).
+
+The stored state is derived from ``reviews_v``: one run-log row per
+(product, week) present (every fifth week FAILED), a stored report for every
+week whose number is not a multiple of 3, with ``week % 4`` themes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import weeks
+from ..operators.reports import (default_week, log_only_weeks, patch_gmail_id, plan_outbox, plan_sections,
+                                 redraft_eligible, report_listing, report_lookup, runs_to_do, upsert_run_log)
+from ..sources import stakeholders
+from ..sources.tables import SQL_REVIEWS_V, reviews_view, table
+from .catalog import register
+from .weekly import weekly_feedback, window_stage
+
+
+def _keys(spark, sf_dir):
+    r = reviews_view(spark, sf_dir)
+    k = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct()
+    return k.withColumn("n", F.substring("week", 7, 2).cast("int"))
+
+
+def _log(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    return k.select(
+        "product", "week",
+        F.date_format(weeks.week_end_ts("week"), "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
+        F.when(F.col("n") % 5 == 0, F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
+        F.concat(F.lit("https://docs.example.com/document/d/doc-"), F.col("product"), F.lit("/edit")).alias("doc_url"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit('{"status":"success","draft_id":"r'), F.col("n").cast("string"),
+                                             F.col("product"), F.lit('"}')))
+         .otherwise(F.concat(F.lit("plain-"), F.col("n").cast("string"))).alias("gmail_id"))
+
+
+def _reports(spark, sf_dir):
+    lg = _log(spark, sf_dir).withColumn("n", F.substring("week", 7, 2).cast("int")).filter(F.col("n") % 3 != 0)
+    th = F.when(F.col("n") % 4 == 0, F.array()).otherwise(
+        F.transform(F.sequence(F.lit(1), F.col("n") % 4), lambda i: F.struct(
+            F.concat(F.lit("Theme "), i.cast("string")).alias("theme_name"),
+            F.concat(F.lit("About "), F.col("week")).alias("theme_description"),
+            F.array(F.concat(F.lit("quote "), i.cast("string"))).alias("representative_quotes"),
+            F.array().cast("array<string>").alias("action_ideas"))))
+    return lg.select("product", "week", F.col("run_ts").alias("report_ts"), "doc_url", "gmail_id",
+                     F.lit("SUCCESS").alias("status"), th.alias("themes"))
+
+
+_SQL_STATE = f"""
+WITH {SQL_REVIEWS_V.strip()},
+k AS (SELECT DISTINCT product, {weeks.sql_iso_week_key('review_ts')} AS week FROM reviews_v),
+kn AS (SELECT product, week, CAST(substr(week, 7, 2) AS INTEGER) AS n FROM k),
+log_v AS (SELECT product, week, n,
+    strftime({weeks.sql_week_end('week')}, '%Y-%m-%d %H:%M:%S') AS run_ts,
+    CASE WHEN n % 5 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+    'https://docs.example.com/document/d/doc-' || product || '/edit' AS doc_url,
+    CASE WHEN n % 2 = 0 THEN '{{"status":"success","draft_id":"r' || n || product || '"}}' ELSE 'plain-' || n END
+      AS gmail_id FROM kn),
+reports_v AS (SELECT product, week, n, run_ts AS report_ts, doc_url, gmail_id, 'SUCCESS' AS status,
+    CASE WHEN n % 4 = 0 THEN [] ELSE list_transform(range(1, n % 4 + 1), lambda i: {{'theme_name': 'Theme ' || i,
+      'theme_description': 'About ' || week, 'representative_quotes': ['quote ' || i],
+      'action_ideas': CAST([] AS VARCHAR[])}}) END AS themes FROM log_v WHERE n % 3 <> 0)"""
+
+
+def q_run_log_upsert(spark, sf_dir):
+    """K1: last write per key wins."""
+    lg = _log(spark, sf_dir)
+    new = lg.filter(F.substring("week", 7, 2).cast("int") % 2 == 0).select(
+        "product", "week",
+        F.date_format(F.to_timestamp("run_ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
+        F.lit("SUCCESS").alias("status"), "doc_url", F.concat(F.lit("new-"), F.col("week")).alias("gmail_id"))
+    return upsert_run_log(lg, new)
+
+
+register("run_log_upsert", _SQL_STATE + """,
+new AS (SELECT product, week, strftime(CAST(run_ts AS TIMESTAMP) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS run_ts,
+               'SUCCESS' AS status, doc_url, 'new-' || week AS gmail_id FROM log_v WHERE n % 2 = 0),
+u AS (SELECT product, week, run_ts, status, doc_url, gmail_id, 0 AS src FROM log_v
+      UNION ALL SELECT *, 1 FROM new),
+r AS (SELECT *, row_number() OVER (PARTITION BY product, week ORDER BY run_ts DESC, src DESC) AS rn FROM u)
+SELECT product, week, run_ts, status, doc_url, gmail_id FROM r WHERE rn = 1
+""")(q_run_log_upsert)
+
+
+def q_log_only(spark, sf_dir):
+    """J6 + F6: successful runs without a stored report."""
+    return log_only_weeks(_log(spark, sf_dir), _reports(spark, sf_dir)).select("product", "week", "run_ts")
+
+
+register("log_only_weeks", _SQL_STATE + """
+SELECT l.product, l.week, l.run_ts FROM log_v l
+WHERE l.status = 'SUCCESS' AND NOT EXISTS (SELECT 1 FROM reports_v r WHERE r.product = l.product AND r.week = l.week)
+""")(q_log_only)
+
+
+def q_listing(spark, sf_dir):
+    """U1 + W7: reports plus log-only weeks, newest first."""
+    return report_listing(_reports(spark, sf_dir), _log(spark, sf_dir))
+
+
+register("report_listing", _SQL_STATE + """
+SELECT product, week, report_ts AS ts, doc_url, gmail_id, status, 'report' AS source FROM reports_v
+UNION ALL
+SELECT l.product, l.week, l.run_ts, l.doc_url, l.gmail_id, l.status, 'log' FROM log_v l
+WHERE l.status = 'SUCCESS' AND NOT EXISTS (SELECT 1 FROM reports_v r WHERE r.product = l.product AND r.week = l.week)
+""")(q_listing)
+
+
+def _lookup_requests(spark, sf_dir):
+    k = _keys(spark, sf_dir).select("product", "week")
+    return k.unionByName(k.select("product").distinct().withColumn("week", F.lit("2023-W52")))
+
+
+def q_lookup(spark, sf_dir):
+    """Report, else log entry with empty themes, else missing."""
+    j = report_lookup(_lookup_requests(spark, sf_dir), _reports(spark, sf_dir), _log(spark, sf_dir))
+    return j.select("product", "week", "source", "status", "gmail_id", F.size("themes").cast("long").alias("n_themes"))
+
+
+register("report_lookup", _SQL_STATE + """,
+req AS (SELECT product, week FROM k UNION ALL SELECT DISTINCT product, '2023-W52' FROM k)
+SELECT q.product, q.week,
+       CASE WHEN r.status IS NOT NULL THEN 'report' WHEN l.status IS NOT NULL THEN 'log' ELSE 'missing' END AS source,
+       coalesce(r.status, l.status) AS status, coalesce(r.gmail_id, l.gmail_id) AS gmail_id,
+       CASE WHEN r.status IS NOT NULL THEN CAST(len(r.themes) AS BIGINT) WHEN l.status IS NOT NULL THEN 0::BIGINT
+            END AS n_themes
+FROM req q LEFT JOIN reports_v r ON r.product = q.product AND r.week = q.week
+LEFT JOIN log_v l ON l.product = q.product AND l.week = q.week
+""")(q_lookup)
+
+
+def q_runs_to_do(spark, sf_dir):
+    """Requests not yet successful, plus forced ones."""
+    req = _keys(spark, sf_dir).withColumn("force", F.col("n") % 2 == 0).drop("n")
+    return runs_to_do(req, _log(spark, sf_dir)).select("product", "week", "force")
+
+
+register("runs_to_do", _SQL_STATE + """,
+req AS (SELECT product, week, n % 2 = 0 AS force FROM kn)
+SELECT DISTINCT * FROM (
+  SELECT q.product, q.week, q.force FROM req q
+  WHERE NOT EXISTS (SELECT 1 FROM log_v l WHERE l.status = 'SUCCESS' AND l.product = q.product AND l.week = q.week)
+  UNION ALL SELECT product, week, force FROM req WHERE force)
+""")(q_runs_to_do)
+
+
+def q_redraft(spark, sf_dir):
+    """Weeks whose stored report has at least one theme."""
+    return redraft_eligible(_log(spark, sf_dir).select("product", "week"), _reports(spark, sf_dir))
+
+
+register("redraft_eligible", _SQL_STATE + """
+SELECT l.product, l.week FROM log_v l
+WHERE EXISTS (SELECT 1 FROM reports_v r WHERE r.product = l.product AND r.week = l.week AND len(r.themes) > 0)
+""")(q_redraft)
+
+
+def q_default_week(spark, sf_dir):
+    """Forced week, else active week, else newest (fallback when absent)."""
+    listing = report_listing(_reports(spark, sf_dir), _log(spark, sf_dir))
+    ch = listing.select("product").distinct().select(
+        "product",
+        F.when(F.col("product") == "en", F.lit("2024-W03")).alias("forced_week"),
+        F.when(F.col("product") == "de", F.lit("2024-W99")).when(F.col("product") == "fr", F.lit("2024-W05"))
+         .alias("active_week"))
+    return default_week(listing, ch)
+
+
+register("default_week", _SQL_STATE + """,
+listing AS (SELECT product, week FROM reports_v UNION ALL
+            SELECT l.product, l.week FROM log_v l WHERE l.status = 'SUCCESS'
+              AND NOT EXISTS (SELECT 1 FROM reports_v r WHERE r.product = l.product AND r.week = l.week)),
+ch AS (SELECT DISTINCT product, coalesce(CASE WHEN product = 'en' THEN '2024-W03' END,
+                                CASE WHEN product = 'de' THEN '2024-W99' WHEN product = 'fr' THEN '2024-W05' END) AS w
+       FROM listing)
+SELECT ch.product, coalesce(CASE WHEN EXISTS (SELECT 1 FROM listing x WHERE x.product = ch.product AND x.week = ch.w)
+                                 THEN ch.w END,
+                            (SELECT max(week) FROM listing x WHERE x.product = ch.product)) AS selected_week
+FROM ch
+""")(q_default_week)
+
+
+def _sections(spark, sf_dir):
+    rep = _reports(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("doc-"), F.col("product")))
+    have = _log(spark, sf_dir).filter(F.substring("week", 7, 2).cast("int") % 4 == 1).select(
+        "product", F.format_string("%s — Weekly Review Pulse (%s)", F.col("product"), F.col("week")).alias("header"))
+    return plan_sections(rep, have)
+
+
+_SQL_SECTIONS = """,
+have AS (SELECT product, product || ' — Weekly Review Pulse (' || week || ')' AS header FROM log_v WHERE n % 4 = 1),
+sec AS (SELECT r.product, r.week, r.product || ' — Weekly Review Pulse (' || r.week || ')' AS header,
+        EXISTS (SELECT 1 FROM have h WHERE h.product = r.product
+                AND h.header = r.product || ' — Weekly Review Pulse (' || r.week || ')') AS skipped,
+        'doc-' || r.product AS doc_id FROM reports_v r),
+sec2 AS (SELECT *, CASE WHEN skipped THEN 'https://docs.example.com/document/d/' || doc_id || '/edit'
+         ELSE 'https://docs.example.com/document/d/' || doc_id || '/edit#heading=h.section-' || lower(week) END
+         AS section_url FROM sec)"""
+
+
+def q_sections(spark, sf_dir):
+    """K3 + H16: idempotent section append plan with links."""
+    return _sections(spark, sf_dir).select("product", "week", "header", "skipped", "section_url")
+
+
+register("sections_plan", _SQL_STATE + _SQL_SECTIONS + """
+SELECT product, week, header, skipped, section_url FROM sec2
+""")(q_sections)
+
+
+def q_outbox(spark, sf_dir):
+    """K4: mails for appended sections; recipients from the stakeholder lists."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    rec = stakeholders.split_recipients(stakeholders.recipient_strings_from_documents(docs), "product", "recipients")
+    lang_of = docs.select(F.col("doc_id").alias("product"), "lang")
+    rec = rec.join(lang_of, "product").select(F.col("lang").alias("product"),
+                                               (F.col("product") * 1000 + F.col("pos")).alias("pos"), "recipient")
+    ob = plan_outbox(_sections(spark, sf_dir), rec, "development")
+    return ob.select("product", "week", "to_field", F.col("n_recipients").cast("long").alias("n_recipients"),
+                     "action", "is_draft")
+
+
+register("outbox_plan", _SQL_STATE + _SQL_SECTIONS + f""",
+{stakeholders.SQL_STAKEHOLDER_CTES.strip()},
+rec AS (SELECT d.lang AS product, s.product * 1000 + s.pos AS pos, s.recipient
+        FROM (SELECT product, pos, {stakeholders.sql_js_trim('raw')} AS recipient FROM u
+              WHERE length({stakeholders.sql_js_trim('raw')}) > 0 AND contains({stakeholders.sql_js_trim('raw')}, '@')) s
+        JOIN documents d ON d.doc_id = s.product),
+tof AS (SELECT product, string_agg(recipient, ', ' ORDER BY pos) AS to_field, count(*) AS n FROM rec GROUP BY product)
+SELECT s.product, s.week, coalesce(t.to_field, '') AS to_field, CAST(t.n AS BIGINT) AS n_recipients,
+       CASE WHEN coalesce(t.n, 0) = 0 THEN 'skipped-no-recipients' ELSE 'draft' END AS action,
+       coalesce(t.n, 0) > 0 AS is_draft
+FROM sec2 s LEFT JOIN tof t ON t.product = s.product WHERE NOT s.skipped
+""")(q_outbox)
+
+
+def q_field_patch(spark, sf_dir):
+    """K5: new draft ids written into the stored reports."""
+    rep = _reports(spark, sf_dir)
+    upd = rep.filter(F.size("themes") > 1).select("product", "week",
+                                                   F.concat(F.lit("draft-"), F.col("week")).alias("gmail_id"))
+    return patch_gmail_id(rep, upd).select("product", "week", "gmail_id")
+
+
+register("field_patch", _SQL_STATE + """
+SELECT r.product, r.week, CASE WHEN len(r.themes) > 1 THEN 'draft-' || r.week ELSE r.gmail_id END AS gmail_id
+FROM reports_v r
+""")(q_field_patch)
+
+
+# ---------------------------------------------------------------- G1 / A7
+
+EPS = 1.14
+
+
+def _weekly(spark, sf_dir):
+    r = reviews_view(spark, sf_dir, with_embedding=True)
+    req = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct() \
+           .withColumn("lookback_weeks", F.lit(10))
+    return weekly_feedback(r, req, eps=EPS, min_pts=3)
+
+
+def q_weekly_audit(spark, sf_dir):
+    """Per product-week counts of ingested, short, remaining and redacted
+    reviews in each 10-week window."""
+    r = reviews_view(spark, sf_dir)
+    req = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct() \
+           .withColumn("lookback_weeks", F.lit(10))
+    return window_stage(r, req)[2].select("product", "week", "n_ingested", "n_short", "n_remaining",
+                                                   "n_pii_redacted")
+
+
+register("weekly_audit", f"""
+WITH {SQL_REVIEWS_V.strip()},
+req AS (SELECT DISTINCT product, {weeks.sql_iso_week_key('review_ts')} AS week FROM reviews_v),
+x AS (SELECT q.product, q.week, {__import__('reviewloom.functions.text', fromlist=['x']).sql_word_count('r.content')} AS nw,
+             {__import__('reviewloom.functions.scrub', fromlist=['x']).sql_scrub_steps('r.content')['pii_removed']} AS pii
+      FROM req q JOIN reviews_v r ON r.product = q.product
+       AND r.review_ts >= {weeks.sql_week_end('q.week')} - to_days(70) AND r.review_ts <= {weeks.sql_week_end('q.week')})
+SELECT product, week, count(*)::BIGINT AS n_ingested, count_if(nw < 8)::BIGINT AS n_short,
+       count_if(nw >= 8)::BIGINT AS n_remaining, count_if(nw >= 8 AND pii)::BIGINT AS n_pii_redacted
+FROM x GROUP BY 1, 2
+""")(q_weekly_audit)
+
+
+def q_weekly_reports(spark, sf_dir):
+    """G1 end to end (dry run): themes per product-week after DBSCAN, sample,
+    fallback themes and quote validation; rows-only check."""
+    out = _weekly(spark, sf_dir)["reports"]
+    return out.select("product", "week", F.size("themes").cast("long").alias("n_themes"),
+                      F.md5("report_text").alias("report_md5"))
+
+
+register("weekly_reports")(q_weekly_reports)

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
+# Only applied when this module launches the JVM (bench, tests, scripts).
+LAUNCH_CONF = {"spark.driver.memory": "16g"}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -32,6 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    conf.update(LAUNCH_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -32,13 +32,14 @@ def recipient_strings_from_documents(docs: DataFrame) -> DataFrame:
                        F.concat_ws(" , ", F.concat(emails, F.array(F.col("lang"), F.lit(" ")))).alias("recipients"))
 
 
-SQL_STAKEHOLDERS = f"""
-WITH src AS (
+SQL_STAKEHOLDER_CTES = f"""
+src AS (
   SELECT doc_id AS product,
          array_to_string(list_concat(regexp_extract_all(text, '({EMAIL_RE})', 1), [lang, chr(160)]), ' , ') AS recipients
   FROM documents),
 parts AS (SELECT product, string_split(recipients, ',') AS p FROM src),
-u AS (SELECT product, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS pos FROM parts)
+u AS (SELECT product, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS pos FROM parts)"""
+SQL_STAKEHOLDERS = "WITH " + SQL_STAKEHOLDER_CTES.strip() + f"""
 SELECT product, CAST(pos AS BIGINT) AS pos, {sql_js_trim('raw')} AS recipient FROM u
 WHERE length({sql_js_trim('raw')}) > 0 AND contains({sql_js_trim('raw')}, '@')
 """
