@@ -16,11 +16,15 @@ EPS = 1.14
 MIN_PTS = 3
 
 
-def _sql_dbscan(eps: float, min_pts: int, group: str | None = None) -> str:
+def _sql_dbscan(eps: float, min_pts: int, group: str | None = None, pts_sql: str | None = None,
+                prelude: str = "") -> str:
+    """Sequential DBSCAN rules in SQL.  ``pts_sql`` must yield (id, grp, v, o)
+    where ``o`` is the scan-order key; the default is the embeddings table."""
     gsel = f"{group} AS grp" if group else "0 AS grp"
+    pts = pts_sql or f"SELECT vec_id AS id, {gsel}, embedding AS v, vec_id AS o FROM embeddings"
     return f"""
-WITH RECURSIVE
-pts AS (SELECT vec_id AS id, {gsel}, embedding AS v FROM embeddings),
+WITH RECURSIVE {prelude}
+pts AS ({pts}),
 nb AS (SELECT a.grp, a.id AS i, b.id AS j FROM pts a JOIN pts b
         ON a.grp = b.grp AND a.id <> b.id AND {sql_l2('a.v', 'b.v')} <= {eps}),
 deg AS (SELECT p.grp, p.id, count(nb.j) AS n FROM pts p LEFT JOIN nb ON nb.grp = p.grp AND nb.i = p.id
@@ -31,8 +35,8 @@ ce AS (SELECT nb.grp, nb.i, nb.j FROM nb JOIN core c1 ON c1.grp = nb.grp AND c1.
 cc(grp, id, lbl) AS (SELECT grp, id, id FROM core
         UNION SELECT ce.grp, ce.j, cc.lbl FROM cc JOIN ce ON cc.grp = ce.grp AND cc.id = ce.i),
 comp AS (SELECT grp, id, min(lbl) AS comp FROM cc GROUP BY grp, id),
-num AS (SELECT grp, comp, row_number() OVER (PARTITION BY grp ORDER BY comp) - 1 AS cid
-        FROM (SELECT DISTINCT grp, comp FROM comp)),
+num AS (SELECT comp.grp, comp.comp, row_number() OVER (PARTITION BY comp.grp ORDER BY min(p.o)) - 1 AS cid
+        FROM comp JOIN pts p ON p.grp = comp.grp AND p.id = comp.id GROUP BY comp.grp, comp.comp),
 core_c AS (SELECT comp.grp, comp.id, num.cid FROM comp JOIN num ON num.grp = comp.grp AND num.comp = comp.comp),
 border AS (SELECT nb.grp, nb.i AS id, min(core_c.cid) AS cid FROM nb
         JOIN core_c ON core_c.grp = nb.grp AND core_c.id = nb.j

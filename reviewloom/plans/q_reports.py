@@ -294,3 +294,73 @@ def q_weekly_reports(spark, sf_dir):
 
 
 register("weekly_reports")(q_weekly_reports)
+
+
+def q_weekly_clusters(spark, sf_dir):
+    """G1's clustering stage: DBSCAN per (product, week) over the 10-week
+    window's long reviews that have vectors; cluster sizes by id (numbering
+    follows scan order = newest first)."""
+    a = _weekly(spark, sf_dir)["assignments"]
+    return a.groupBy("product", "week", "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _sql_weekly_points() -> str:
+    from ..functions.text import sql_word_count
+    return f"""
+SELECT r.review_id AS id, q.product || '|' || q.week AS grp, e.embedding AS v,
+       (-epoch_us(r.review_ts), r.review_id) AS o
+FROM (SELECT DISTINCT product, {weeks.sql_iso_week_key('review_ts')} AS week FROM reviews_v) q
+JOIN reviews_v r ON r.product = q.product
+ AND r.review_ts >= {weeks.sql_week_end('q.week')} - to_days(70) AND r.review_ts <= {weeks.sql_week_end('q.week')}
+JOIN embeddings e ON e.vec_id = r.review_id
+WHERE {sql_word_count('r.content')} >= 8 AND NOT list_bool_and(list_transform(e.embedding, lambda x: x = 0))"""
+
+
+def _weekly_clusters_sql() -> str:
+    from .q_dbscan import _sql_dbscan
+    return _sql_dbscan(EPS, 3, pts_sql=_sql_weekly_points(), prelude=SQL_REVIEWS_V.strip() + ",") + """
+SELECT split_part(grp, '|', 1) AS product, split_part(grp, '|', 2) AS week, cluster_id, count(*)::BIGINT AS size
+FROM assigned GROUP BY 1, 2, 3"""
+
+
+register("weekly_clusters", _weekly_clusters_sql())(q_weekly_clusters)
+
+
+def q_run_audit(spark, sf_dir):
+    """Per product-week audit row (ingested, short, redacted, clusters,
+    noise, token estimate, quote outcomes); rows-only check."""
+    return _weekly(spark, sf_dir)["run_audit"]
+
+
+register("run_audit")(q_run_audit)
+
+
+def q_redraft_outbox(spark, sf_dir):
+    """New recipients (per-language lists from the addresses in documents)
+    -> eligible weeks -> teaser mails -> outbox."""
+    from .redraft import redraft
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    lists = stakeholders.recipient_strings_from_documents(docs).join(
+        docs.select(F.col("doc_id").alias("product"), "lang"), "product") \
+        .select(F.col("lang").alias("product"), "recipients")
+    lists = lists.groupBy("product").agg(F.min("recipients").alias("recipients"))
+    out = redraft(lists, _log(spark, sf_dir), _reports(spark, sf_dir), _log(spark, sf_dir))
+    return out["outbox"].select("product", "week", "subject", "to_field", "action")
+
+
+register("redraft_outbox", _SQL_STATE + f""",
+{stakeholders.SQL_STAKEHOLDER_CTES.strip().replace("SELECT doc_id AS product,", "SELECT doc_id AS product, lang,")},
+lists AS (SELECT d.lang AS product, min(s.recipients) AS recipients FROM src s JOIN documents d ON d.doc_id = s.product
+          GROUP BY d.lang),
+parts2 AS (SELECT product, string_split(recipients, ',') AS p FROM lists),
+u2 AS (SELECT product, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS pos FROM parts2),
+rec AS (SELECT product, pos, {stakeholders.sql_js_trim('raw')} AS recipient FROM u2
+        WHERE length({stakeholders.sql_js_trim('raw')}) > 0 AND contains({stakeholders.sql_js_trim('raw')}, '@')),
+tof AS (SELECT product, string_agg(recipient, ', ' ORDER BY pos) AS to_field, count(*) AS n FROM rec GROUP BY product),
+elig AS (SELECT r.product, r.week FROM reports_v r JOIN log_v l ON l.product = r.product AND l.week = r.week
+         WHERE len(r.themes) > 0)
+SELECT e.product, e.week, e.product || ' Weekly Review Pulse — ' || e.week AS subject,
+       coalesce(t.to_field, '') AS to_field,
+       CASE WHEN coalesce(t.n, 0) = 0 THEN 'skipped-no-recipients' ELSE 'draft' END AS action
+FROM elig e LEFT JOIN tof t ON t.product = e.product
+""")(q_redraft_outbox)

@@ -91,3 +91,16 @@ def q_nearest_small(spark, sf_dir):
 register("nearest_all_members", _SQL_NEAREST.format(k=1000, dist=vectors.sql_l2("e.embedding", "c.centroid")) + """
 SELECT label, vec_id, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 1000
 """)(q_nearest_small)
+
+
+def q_embed_texts(spark, sf_dir):
+    """T1 offline embedder (hashing TF-IDF, 384-d, L2-normalised; blank text
+    -> zero vector) over every document; rows-only check of dim and norm."""
+    from ..operators.embed import hashing_embedder
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    e = hashing_embedder(d, "text", 384)
+    return e.select("doc_id", F.size("embedding").cast("long").alias("dim"),
+                    F.round(vectors.l2_norm("embedding"), 6).alias("norm"))
+
+
+register("embed_texts")(q_embed_texts)

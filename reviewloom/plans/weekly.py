@@ -92,6 +92,19 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
         F.col("section_url").alias("doc_url"),
         F.when(F.col("skipped"), F.lit("skipped"))
          .otherwise(F.concat(F.lit("mock-"), F.coalesce(F.col("action"), F.lit("draft")), F.lit("-id"))).alias("gmail_id"))
-    return {"todo": todo, "audit": audit, "skipped_empty": skipped_empty, "assignments": assigned,
+    # One audit row per request joining every stage's counts
+    cl = assigned.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_clustered_points"),
+        F.count_if(F.col("cluster_id") < 0).alias("n_noise"),
+        (F.max("cluster_id") + 1).alias("n_clusters"))
+    tok = prompts.groupBy(*KEY).agg(F.sum("estimated_tokens").alias("estimated_tokens"))
+    qc = checks.groupBy(*KEY).agg(
+        F.count_if(F.col("outcome") == "exact").alias("quotes_kept"),
+        F.count_if(F.col("outcome") == "recovered").alias("quotes_modified"),
+        F.count_if(F.col("outcome") == "discarded").alias("quotes_discarded"))
+    subst = roll.groupBy(*KEY).agg(F.count_if("substituted").alias("quotes_substituted"))
+    run_audit = audit.join(cl, KEY, "left").join(tok, KEY, "left").join(qc, KEY, "left") \
+                     .join(subst, KEY, "left").fillna(0)
+    return {"todo": todo, "audit": audit, "run_audit": run_audit, "skipped_empty": skipped_empty, "assignments": assigned,
             "sample": sample, "prompts": prompts, "themes": themes, "quote_checks": checks,
             "reports": reports, "sections": sections, "outbox": outbox, "run_log_rows": log_rows}
