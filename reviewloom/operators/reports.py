@@ -61,7 +61,7 @@ def parse_run_log(text_df: DataFrame, text_col: str = "value") -> DataFrame:
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     try:
-        txt = spark.read.option("wholetext", True).text(path)
+        txt = spark.read.text(path, wholetext=True)
     except Exception:  # missing log -> empty state
         txt = spark.createDataFrame([], "value string")
     return parse_run_log(txt)
