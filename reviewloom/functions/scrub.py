@@ -74,12 +74,33 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Cheap exact pre-conditions: a rule can only match when its literal part is
+# present (an '@', ten ASCII digits in a row, the rule's first word in any
+# ASCII case).  Texts failing them skip the backtracking regex entirely.
+def _may_email(c: Column) -> Column:
+    return F.instr(c, "@") > 0
+
+
+def _may_phone(c: Column) -> Column:
+    return c.rlike("[0-9]{10}")
+
+
+def _may_injection(c: Column, i: int) -> Column:
+    return F.instr(F.lower(c), _INJECTION_WORDS[i][0]) > 0
+
+
+def _guarded(c: Column, cond: Column, pat: str, token: str) -> Column:
+    return F.when(cond, F.regexp_replace(c, pat, token)).otherwise(c)
+
+
 def scrub_email(col) -> Column:
-    return F.regexp_replace(_c(col), EMAIL_RE, EMAIL_TOKEN)
+    c = _c(col)
+    return _guarded(c, _may_email(c), EMAIL_RE, EMAIL_TOKEN)
 
 
 def scrub_phone(col) -> Column:
-    return F.regexp_replace(_c(col), PHONE_RE, PHONE_TOKEN)
+    c = _c(col)
+    return _guarded(c, _may_phone(c), PHONE_RE, PHONE_TOKEN)
 
 
 def scrub_id(col) -> Column:
@@ -88,8 +109,8 @@ def scrub_id(col) -> Column:
 
 def scrub_injection(col) -> Column:
     out = _c(col)
-    for pat in INJECTION_RES:
-        out = F.regexp_replace(out, pat, INJECTION_TOKEN)
+    for i, pat in enumerate(INJECTION_RES):
+        out = _guarded(out, _may_injection(out, i), pat, INJECTION_TOKEN)
     return out
 
 
@@ -102,17 +123,18 @@ def scrub_columns(df: DataFrame, text_col: str = "content", out_col: str = "cont
     collapses the projections into a single codegen'd Project."""
     t0 = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("__s0", t0)
-    df = df.withColumn("__f_email", F.col("__s0").rlike(EMAIL_RE)) \
+    df = df.withColumn("__f_email", _may_email(F.col("__s0")) & F.col("__s0").rlike(EMAIL_RE)) \
            .withColumn("__s1", scrub_email("__s0"))
-    df = df.withColumn("__f_phone", F.col("__s1").rlike(PHONE_RE)) \
+    df = df.withColumn("__f_phone", _may_phone(F.col("__s1")) & F.col("__s1").rlike(PHONE_RE)) \
            .withColumn("__s2", scrub_phone("__s1"))
     df = df.withColumn("__f_id", F.col("__s2").rlike(ID_RE)) \
            .withColumn("__s3", scrub_id("__s2"))
     prev = "__s3"
     inj_flags = []
     for i, pat in enumerate(INJECTION_RES):
-        df = df.withColumn(f"__fi{i}", F.col(prev).rlike(pat)) \
-               .withColumn(f"__si{i}", F.regexp_replace(F.col(prev), pat, INJECTION_TOKEN))
+        may = _may_injection(F.col(prev), i)
+        df = df.withColumn(f"__fi{i}", may & F.col(prev).rlike(pat)) \
+               .withColumn(f"__si{i}", _guarded(F.col(prev), may, pat, INJECTION_TOKEN))
         inj_flags.append(F.col(f"__fi{i}"))
         prev = f"__si{i}"
     inj = inj_flags[0]

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # ``\s`` and removed by String.prototype.trim, written as a regex class body
 # that both java.util.regex and RE2 accept.
 JS_WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# The same set as literal characters (for btrim / translate, which need no regex).
+JS_WS_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 WS_CLASS = f"[{JS_WS}]"
 NON_WS_CLASS = f"[^{JS_WS}]"
 # ASCII word-boundary lookarounds (JavaScript ``\b`` without the u flag).
@@ -29,14 +32,18 @@ def _c(col) -> Column:
 
 
 def js_trim(col) -> Column:
-    """String.prototype.trim: strip JS whitespace on both ends."""
-    return F.regexp_replace(_c(col), f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
+    """String.prototype.trim: strip JS whitespace on both ends (``btrim`` with
+    the explicit character set: no regex, no per-position work)."""
+    return F.btrim(_c(col), F.lit(JS_WS_CHARS))
 
 
 def word_count(col) -> Column:
     """``s.trim().split(/\\s+/).filter(w => w.length > 0).length`` == number of
-    maximal runs of non-whitespace characters."""
-    return F.regexp_count(F.coalesce(_c(col), F.lit("")), F.lit(NON_WS_CLASS + "+"))
+    maximal runs of non-whitespace characters.  Every JS whitespace character
+    is first mapped to a plain space (``translate``), so the split is on one
+    literal character."""
+    spaced = F.translate(F.coalesce(_c(col), F.lit("")), JS_WS_CHARS, " " * len(JS_WS_CHARS))
+    return F.size(F.array_remove(F.split(spaced, " "), ""))
 
 
 def split_words(col) -> Column:
@@ -46,7 +53,7 @@ def split_words(col) -> Column:
 
 def normalize_for_match(col) -> Column:
     """Drop every character outside [a-zA-Z0-9], then lower-case."""
-    return F.lower(F.regexp_replace(_c(col), "[^a-zA-Z0-9]", ""))
+    return F.lower(F.regexp_replace(_c(col), "[^a-zA-Z0-9]+", ""))
 
 
 def newline_to_space(col) -> Column:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .components import connected_components
 from .joins import bounded_broadcast
 
@@ -95,7 +96,7 @@ def _local_components(n: int, ei: np.ndarray, ej: np.ndarray) -> np.ndarray:
 
 
 def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: str, order_col: str,
-           group_cols: list[str] | None = None, block_size: int = 1024) -> DataFrame:
+           group_cols: list[str] | None = None, block_size: int = 2048) -> DataFrame:
     """Return (group..., id, cluster_id INT, is_core BOOLEAN, n_neighbors LONG)."""
     g = list(group_cols or [])
     spark = points.sparkSession
@@ -135,7 +136,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     rep = replicate(pts.select(*g, "__id", "__vec", "__blk", "__nb"))
     counts = rep.groupBy(*g, "__a", "__b").applyInPandas(count_fn, count_schema) \
                 .groupBy(*g, "__id").agg(F.sum("__cnt").alias("__deg"))
-    pts2 = pts.join(counts, [*g, "__id"]).withColumn("__core", F.col("__deg") >= F.lit(min_pts)).checkpoint()
+    pts2 = materialize(pts.join(counts, [*g, "__id"]).withColumn("__core", F.col("__deg") >= F.lit(min_pts)))
 
     # ---- pass 2: core-core spanning forest + border->core edges
     edge_schema = T.StructType(key_fields + [T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
@@ -182,7 +183,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
         return out[[f.name for f in edge_schema.fields]]
 
     rep2 = replicate(pts2.select(*g, "__id", "__vec", "__blk", "__nb", "__core"))
-    edges = rep2.groupBy(*g, "__a", "__b").applyInPandas(edge_fn, edge_schema).checkpoint()
+    edges = materialize(rep2.groupBy(*g, "__a", "__b").applyInPandas(edge_fn, edge_schema))
 
     # ---- clusters: components of core points
     cores = pts2.filter("__core").select(*g, "__id", "__ord")

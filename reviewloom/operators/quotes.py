@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, normalize_for_match
+from ..session import materialize
 from .joins import bounded_broadcast
 
 GRAM = 8
@@ -47,7 +48,7 @@ def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str],
     """All (key..., quote_id, text_id) with ``text contains quote`` (quote non-empty)."""
     k = list(key_cols)
     q = quotes.select(*k, quote_id, F.col(quote_col).alias("__q")).filter(F.length("__q") > 0)
-    q = q.withColumn("__L", F.length("__q"))
+    q = materialize(q.withColumn("__L", F.length("__q")))  # small; several size checks read it
     long_q = q.filter(F.col("__L") >= gram + stride - 1).select(
         *k, quote_id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(stride - 1)),
                                             lambda i: F.substring(F.col("__q"), i + 1, gram))).alias("__gram"))
@@ -97,7 +98,7 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
         th, mk = th + ["__all"], ["__all"]
     q = quotes.withColumn("__trim", js_trim(F.coalesce(F.col(quote_col), F.lit("")))) \
               .withColumn("__qid", F.struct(*[F.col(c) for c in th], F.col(quote_ord)))
-    q = q.checkpoint()  # small; reused by both match passes and the roll-up
+    q = materialize(q)  # small; reused by both match passes and the roll-up
     nonblank = q.filter(F.length("__trim") > 0)
     rv = reviews.select(*mk, review_id, order_col, text_col)
 
@@ -107,6 +108,7 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
 
     pending = nonblank.join(exact_first.select(*mk, "__qid"), [*mk, "__qid"], "left_anti") \
                       .withColumn("__nq", normalize_for_match("__trim")).filter(F.length("__nq") > 5)
+    pending = materialize(pending.select(*mk, "__qid", "__nq"))
     rvn = rv.withColumn("__norm", normalize_for_match(text_col))
     norm = substring_matches(rvn, pending.select(*mk, "__qid", "__nq"), mk, review_id, "__norm", "__qid", "__nq",
                              gram=6, stride=4)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 from ..functions import scrub, text, vectors
 from ..operators.centroid import fallback_quotes, nearest_to_centroid
 from ..operators.dbscan import dbscan
@@ -36,8 +38,11 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     todo = runs_to_do(requests, run_log) if run_log is not None else requests
     r = reviews.withColumn("n_words", text.word_count("content"))
     r = scrub.scrub_columns(r).withColumn("content", F.col("content_scrubbed")).drop("content_scrubbed")
-    # windows are reused by audit, clustering and quotes: materialise once
-    x = expand_to_requests(r, todo, upper_bound=upper_bound).checkpoint()
+    # scrub once per review and keep the result; windows carry keys, flags and
+    # vectors only - texts are joined back for clustered members alone
+    r = materialize(r)
+    slim = r.drop(*[c for c in ("content", "version", "thumbs_up") if c in r.columns])
+    x = expand_to_requests(slim, todo, upper_bound=upper_bound)
     audit = x.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_ingested"),
         F.count_if(F.col("n_words") < min_words).alias("n_short"),
@@ -46,7 +51,7 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
         F.count_if((F.col("n_words") >= min_words) & F.col("injection_neutralized")).alias("n_injection"))
     audit = todo.select(*KEY, "lookback_weeks").join(audit, KEY, "left").fillna(0)
     skipped_empty = audit.filter(F.col("n_remaining") == 0).select(*KEY, F.lit("SKIPPED_EMPTY").alias("status"))
-    return todo, x, audit, skipped_empty
+    return todo, x, audit, skipped_empty, r
 
 
 def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_pts: int = 3, k: int = 15,
@@ -54,9 +59,9 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                     existing_sections: DataFrame | None = None, recipients: DataFrame | None = None,
                     doc_id: str = "doc-id", environment: str = "development", generated_on: str = "2024-06-01",
                     run_ts: str = "2024-06-01 00:00:00", keep_zero_vectors: bool = False,
-                    upper_bound: bool = True, block_size: int = 1024) -> dict[str, DataFrame]:
+                    upper_bound: bool = True, block_size: int = 2048) -> dict[str, DataFrame]:
     spark = reviews.sparkSession
-    todo, x, audit, skipped_empty = window_stage(reviews, requests, run_log, min_words, upper_bound)
+    todo, x, audit, skipped_empty, scrubbed = window_stage(reviews, requests, run_log, min_words, upper_bound)
 
     kept = x.filter(F.col("n_words") >= min_words)
     has_vec = F.col("embedding").isNotNull() & ~vectors.is_zero_vector("embedding")
@@ -65,8 +70,10 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     assigned = dbscan(pts.select(*KEY, "review_id", "ord", "embedding"), eps, min_pts, "review_id", "embedding",
                       "ord", group_cols=KEY, block_size=block_size)
     members = pts.join(assigned.filter(F.col("cluster_id") >= 0).select(*KEY, "review_id", "cluster_id"),
-                       [*KEY, "review_id"]).checkpoint()
-    sample = nearest_to_centroid(members, CKEY, "ord", k=k).checkpoint()
+                       [*KEY, "review_id"]) \
+                 .join(scrubbed.select("product", "review_id", "content"), ["product", "review_id"])
+    members = materialize(members)
+    sample = materialize(nearest_to_centroid(members, CKEY, "ord", k=k))
     prompts = prompt_table(sample, CKEY)
     themes_raw = ingest_responses(prompts, responses, fallback_quotes(sample, CKEY), CKEY)
 

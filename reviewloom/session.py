@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,6 +63,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing ``df`` as a parquet table in the shared
+    checkpoint directory and reading it back.  Parquet is columnar and
+    compressed, so this is much cheaper than an RDD checkpoint of rows for
+    wide text/array columns; a lost executor does not lose the table."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def apply_session_defaults(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session (e.g. one the
     caller created) without touching the cluster-level settings."""
