@@ -123,19 +123,20 @@ def scrub_columns(df: DataFrame, text_col: str = "content", out_col: str = "cont
     collapses the projections into a single codegen'd Project."""
     t0 = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("__s0", t0)
-    df = df.withColumn("__f_email", _may_email(F.col("__s0")) & F.col("__s0").rlike(EMAIL_RE)) \
-           .withColumn("__s1", scrub_email("__s0"))
-    df = df.withColumn("__f_phone", _may_phone(F.col("__s1")) & F.col("__s1").rlike(PHONE_RE)) \
-           .withColumn("__s2", scrub_phone("__s1"))
-    df = df.withColumn("__f_id", F.col("__s2").rlike(ID_RE)) \
-           .withColumn("__s3", scrub_id("__s2"))
+    # A replacement always changes the text (no token can equal a match), so
+    # "rule k matched" == "step k changed its input": one regex pass per rule.
+    df = df.withColumn("__s1", scrub_email("__s0")).withColumn("__f_email", F.col("__s1") != F.col("__s0"))
+    df = df.withColumn("__s2", scrub_phone("__s1")).withColumn("__f_phone", F.col("__s2") != F.col("__s1"))
+    df = df.withColumn("__s3", scrub_id("__s2")).withColumn("__f_id", F.col("__s3") != F.col("__s2"))
+    # Inserted tokens hold no head word followed by whitespace, so the head
+    # words can be looked up once, in the text before the injection steps.
+    df = df.withColumn("__low", F.lower("__s3"))
     prev = "__s3"
     inj_flags = []
     for i, pat in enumerate(INJECTION_RES):
-        may = _may_injection(F.col(prev), i)
-        df = df.withColumn(f"__fi{i}", may & F.col(prev).rlike(pat)) \
-               .withColumn(f"__si{i}", _guarded(F.col(prev), may, pat, INJECTION_TOKEN))
-        inj_flags.append(F.col(f"__fi{i}"))
+        may = F.instr(F.col("__low"), _INJECTION_WORDS[i][0]) > 0
+        df = df.withColumn(f"__si{i}", _guarded(F.col(prev), may, pat, INJECTION_TOKEN))
+        inj_flags.append(F.col(f"__si{i}") != F.col(prev))
         prev = f"__si{i}"
     inj = inj_flags[0]
     for f in inj_flags[1:]:

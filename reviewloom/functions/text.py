@@ -46,6 +46,16 @@ def word_count(col) -> Column:
     return F.size(F.array_remove(F.split(spaced, " "), ""))
 
 
+def has_min_words(col, n: int) -> Column:
+    """``word_count(col) >= n`` decided from the first ``n`` words only: an
+    anchored match with possessive runs (the classes are disjoint, so no
+    backtracking changes the answer)."""
+    if n <= 0:
+        return F.lit(True)
+    pat = f"^{WS_CLASS}*+(?:{NON_WS_CLASS}++{WS_CLASS}++){{{n - 1}}}{NON_WS_CLASS}"
+    return F.coalesce(_c(col), F.lit("")).rlike(pat)
+
+
 def split_words(col) -> Column:
     """Non-empty whitespace-separated tokens (JS whitespace)."""
     return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(f"({NON_WS_CLASS}+)"), 1)

@@ -9,10 +9,10 @@ verified with ``contains``.
   (i = 0..S-1); texts index only the grams starting at positions that are
   multiples of S.  Any occurrence at position P has an aligned anchor
   i = (-P) mod S with P + i + G <= P + L, so no match is lost while the text
-  index is S times smaller than a full gram index.
-* Quotes with G <= L < G + S - 1 use the full (stride 1) G-gram index, and
-  quotes shorter than G an index of grams of their own length; those extra
-  indexes are only built when such quotes exist (a bounded metadata check).
+  index is S times smaller than a full gram index.  Long quotes use a large
+  stride, shorter ones a small stride, the full (stride 1) index or, below G
+  characters, an index of grams of their own length; each index is built
+  only when quotes of its tier exist (a bounded metadata check).
 
 The text side is exploded with only its id (never the text itself), joined to
 the quote anchors (broadcast when the measured anchor count is small), and the
@@ -30,7 +30,7 @@ from ..session import materialize
 from .joins import bounded_broadcast
 
 GRAM = 8
-STRIDE = 4
+STRIDES = (32, 4)
 
 
 def _grams(text: Column, g: int, stride: int) -> Column:
@@ -44,34 +44,48 @@ def _grams(text: Column, g: int, stride: int) -> Column:
 
 
 def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str], text_id: str, text_col: str,
-                      quote_id: str, quote_col: str, gram: int = GRAM, stride: int = STRIDE) -> DataFrame:
-    """All (key..., quote_id, text_id) with ``text contains quote`` (quote non-empty)."""
+                      quote_id: str, quote_col: str, gram: int = GRAM, strides: tuple[int, ...] = STRIDES) -> DataFrame:
+    """All (key..., quote_id, text_id) with ``text contains quote`` (quote non-empty).
+
+    Quotes are split into tiers by length: a quote of length L >= gram + S - 1
+    goes to the largest stride S it supports (its S aligned anchors), then the
+    dense gram index, then an index of grams of the quote's own length.  Only
+    tiers that hold quotes get an index (decided from one small aggregate of
+    the quote lengths)."""
     k = list(key_cols)
     q = quotes.select(*k, quote_id, F.col(quote_col).alias("__q")).filter(F.length("__q") > 0)
-    q = materialize(q.withColumn("__L", F.length("__q")))  # small; several size checks read it
-    long_q = q.filter(F.col("__L") >= gram + stride - 1).select(
-        *k, quote_id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(stride - 1)),
-                                            lambda i: F.substring(F.col("__q"), i + 1, gram))).alias("__gram"))
-    anchors = [(long_q, gram, stride)]
-    mid_q = q.filter((F.col("__L") >= gram) & (F.col("__L") < gram + stride - 1)) \
-             .select(*k, quote_id, F.substring("__q", 1, gram).alias("__gram"))
-    if mid_q.limit(1).count() > 0:
-        anchors.append((mid_q, gram, 1))
-    short_lengths = [r[0] for r in q.filter(F.col("__L") < gram).select("__L").distinct().collect()]
-    for L in sorted(short_lengths):  # at most gram-1 distinct values
-        sq = q.filter(F.col("__L") == L).select(*k, quote_id, F.col("__q").alias("__gram"))
-        anchors.append((sq, int(L), 1))
-
-    t = texts.select(*k, text_id, F.col(text_col).alias("__t"))
+    q = materialize(q.withColumn("__L", F.length("__q")))  # small; read by several size checks
+    tiers = sorted(set(strides) | {1}, reverse=True)
+    need = [gram + s - 1 for s in tiers]  # minimum quote length per tier
+    tier_of = F.lit(None).cast("int")
+    for s_, n_ in reversed(list(zip(tiers, need))):
+        tier_of = F.when(F.col("__L") >= n_, F.lit(s_)).otherwise(tier_of)
+    q = q.withColumn("__tier", F.coalesce(tier_of, -F.col("__L")))  # negative: short quote of that length
+    present = sorted(r[0] for r in q.select("__tier").distinct().collect())  # <= len(tiers) + gram - 1 values
+
+    anchors = []
+    for t in present:
+        sel = q.filter(F.col("__tier") == t)
+        if t > 0:
+            a = sel.select(*k, quote_id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(t - 1)),
+                                                               lambda i: F.substring(F.col("__q"), i + 1, gram)))
+                           .alias("__gram"))
+            anchors.append((a, gram, t))
+        else:
+            anchors.append((sel.select(*k, quote_id, F.col("__q").alias("__gram")), -t, 1))
+
+    tx = texts.select(*k, text_id, F.col(text_col).alias("__t"))
     cands = None
     for aq, g, s in anchors:
-        idx = t.select(*k, text_id, F.explode(_grams(F.col("__t"), g, s)).alias("__gram"))
+        idx = tx.select(*k, text_id, F.explode(_grams(F.col("__t"), g, s)).alias("__gram"))
         c = idx.join(bounded_broadcast(aq.distinct()), [*k, "__gram"]).select(*k, quote_id, text_id)
         cands = c if cands is None else cands.unionByName(c)
+    if cands is None:
+        return tx.select(*k, F.lit(None).cast(q.schema[quote_id].dataType).alias(quote_id), text_id).limit(0)
     cands = cands.distinct()
     # verify: candidates are few; bring texts and quotes back by key
     v = cands.join(bounded_broadcast(q.select(*k, quote_id, "__q")), [*k, quote_id])
-    v = v.join(t, [*k, text_id])
+    v = v.join(tx, [*k, text_id])
     return v.filter(F.col("__t").contains(F.col("__q"))).select(*k, quote_id, text_id)
 
 
@@ -103,18 +117,23 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
     rv = reviews.select(*mk, review_id, order_col, text_col)
 
     exact = substring_matches(rv, nonblank.select(*mk, "__qid", "__trim"), mk, review_id, text_col, "__qid", "__trim")
-    exact_first = exact.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
-        F.min_by(F.col(review_id), F.col(order_col)).alias("__exact_review"))
+    exact_first = materialize(exact.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
+        F.min_by(F.col(review_id), F.col(order_col)).alias("__exact_review")))  # one row per matched quote
 
     pending = nonblank.join(exact_first.select(*mk, "__qid"), [*mk, "__qid"], "left_anti") \
                       .withColumn("__nq", normalize_for_match("__trim")).filter(F.length("__nq") > 5)
     pending = materialize(pending.select(*mk, "__qid", "__nq"))
-    rvn = rv.withColumn("__norm", normalize_for_match(text_col))
-    norm = substring_matches(rvn, pending.select(*mk, "__qid", "__nq"), mk, review_id, "__norm", "__qid", "__nq",
-                             gram=6, stride=4)
-    norm_last = norm.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
-        F.max_by(F.col(text_col), F.col(order_col)).alias("__recovered"),
-        F.max_by(F.col(review_id), F.col(order_col)).alias("__recovered_review"))
+    if pending.limit(1).count() > 0:
+        # normalise each candidate text once; the index and the check both read it
+        rvn = materialize(rv.select(*mk, review_id, normalize_for_match(text_col).alias("__norm")))
+        norm = substring_matches(rvn, pending, mk, review_id, "__norm", "__qid", "__nq", gram=6)
+        norm_last = norm.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
+            F.max_by(F.struct(F.col(text_col).alias("t"), F.col(review_id).alias("i")), F.col(order_col)).alias("__m"))
+        norm_last = materialize(norm_last.select(*mk, "__qid", F.col("__m.t").alias("__recovered"),
+                                                 F.col("__m.i").alias("__recovered_review")))
+    else:
+        norm_last = pending.select(*mk, "__qid", F.lit(None).cast("string").alias("__recovered"),
+                                   F.lit(None).cast(rv.schema[review_id].dataType).alias("__recovered_review"))
 
     checks = nonblank.join(exact_first, [*mk, "__qid"], "left").join(norm_last, [*mk, "__qid"], "left")
     outcome = F.when(F.col("__exact_review").isNotNull(), F.lit("exact")) \

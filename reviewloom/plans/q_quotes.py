@@ -66,7 +66,7 @@ def quote_normalised(spark, sf_dir):
         .withColumn("norm", normalize_for_match("content"))
     q = quotes_view(spark, sf_dir).filter(F.col("quote_ord") == 1) \
         .select("item_id", normalize_for_match(js_trim("quote")).alias("nq")).filter(F.length("nq") > 5)
-    m = substring_matches(r, q, [], "review_id", "norm", "item_id", "nq", gram=6, stride=4)
+    m = substring_matches(r, q, [], "review_id", "norm", "item_id", "nq", gram=6)
     m = m.join(r.select("review_id", "ord"), "review_id")
     return m.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_matches"),
                                     F.max_by("review_id", "ord").alias("last_review_id"))

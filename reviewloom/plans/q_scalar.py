@@ -24,9 +24,9 @@ def weekly_scrub_summary(spark, sf_dir):
     redaction counts among the remaining (A3, A4 over F2 and H8)."""
     r = reviews_view(spark, sf_dir).select("product", "content", "review_ts")
     r = r.withColumn("week", weeks.iso_week_key("review_ts")) \
-         .withColumn("n_words", text.word_count("content"))
+         .withColumn("keep", text.has_min_words("content", 8))
     r = scrub.scrub_columns(r)
-    keep = F.col("n_words") >= 8
+    keep = F.col("keep")
     return r.groupBy("product", "week").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count_if(~keep).alias("n_short"),
@@ -119,7 +119,7 @@ def word_filter(spark, sf_dir):
     r = reviews_view(spark, sf_dir).select("review_id", "content")
     return r.select("review_id", text.word_count("content").cast("long").alias("n_words"),
                     F.length(text.js_trim("content")).cast("long").alias("trimmed_len"),
-                    (text.word_count("content") >= 8).alias("keep"))
+                    text.has_min_words("content", 8).alias("keep"))
 
 
 register("word_filter", f"""
@@ -226,12 +226,11 @@ def backfill_weeks(spark, sf_dir):
     """Every requested (product, week, look-back) with the reviews its
     closed rolling window holds, in one job."""
     r, req = _requests(spark, sf_dir)
-    r = r.select("product", "review_id", "content", "review_ts")
-    r = r.withColumn("n_words", text.word_count("content"))
+    r = r.select("product", "review_id", "review_ts", text.has_min_words("content", 8).alias("long"))
     x = expand_to_requests(r, req)
     return x.groupBy("product", "week", "lookback_weeks").agg(
         F.count(F.lit(1)).alias("n_in_window"),
-        F.count_if(F.col("n_words") >= 8).alias("n_long"),
+        F.count_if("long").alias("n_long"),
         F.min("review_id").alias("min_review_id"), F.max("review_id").alias("max_review_id"))
 
 

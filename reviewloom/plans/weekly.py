@@ -36,7 +36,7 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     if "force" not in requests.columns:
         requests = requests.withColumn("force", F.lit(False))
     todo = runs_to_do(requests, run_log) if run_log is not None else requests
-    r = reviews.withColumn("n_words", text.word_count("content"))
+    r = reviews.withColumn("long_enough", text.has_min_words("content", min_words))
     r = scrub.scrub_columns(r).withColumn("content", F.col("content_scrubbed")).drop("content_scrubbed")
     # scrub once per review and keep the result; windows carry keys, flags and
     # vectors only - texts are joined back for clustered members alone
@@ -45,10 +45,10 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     x = expand_to_requests(slim, todo, upper_bound=upper_bound)
     audit = x.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_ingested"),
-        F.count_if(F.col("n_words") < min_words).alias("n_short"),
-        F.count_if(F.col("n_words") >= min_words).alias("n_remaining"),
-        F.count_if((F.col("n_words") >= min_words) & F.col("pii_removed")).alias("n_pii_redacted"),
-        F.count_if((F.col("n_words") >= min_words) & F.col("injection_neutralized")).alias("n_injection"))
+        F.count_if(~F.col("long_enough")).alias("n_short"),
+        F.count_if("long_enough").alias("n_remaining"),
+        F.count_if(F.col("long_enough") & F.col("pii_removed")).alias("n_pii_redacted"),
+        F.count_if(F.col("long_enough") & F.col("injection_neutralized")).alias("n_injection"))
     audit = todo.select(*KEY, "lookback_weeks").join(audit, KEY, "left").fillna(0)
     skipped_empty = audit.filter(F.col("n_remaining") == 0).select(*KEY, F.lit("SKIPPED_EMPTY").alias("status"))
     return todo, x, audit, skipped_empty, r
@@ -63,7 +63,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     spark = reviews.sparkSession
     todo, x, audit, skipped_empty, scrubbed = window_stage(reviews, requests, run_log, min_words, upper_bound)
 
-    kept = x.filter(F.col("n_words") >= min_words)
+    kept = x.filter(F.col("long_enough"))
     has_vec = F.col("embedding").isNotNull() & ~vectors.is_zero_vector("embedding")
     pts = kept if keep_zero_vectors else kept.filter(has_vec)
     pts = pts.withColumn("embedding", F.coalesce(F.col("embedding"), F.array().cast("array<float>")))

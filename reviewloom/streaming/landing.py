@@ -20,7 +20,7 @@ def landing_stream(spark: SparkSession, path: str, product: str, ingest_ts: str,
                    min_words: int = 8, watermark: str = "7 days") -> DataFrame:
     raw = spark.readStream.schema(RAW_SCHEMA).format(fmt).load(path)
     r = normalize_raw_reviews(raw, product, ingest_ts)
-    r = r.filter(text.word_count("content") >= min_words)
+    r = r.filter(text.has_min_words("content", min_words))
     r = scrub.scrub_columns(r)
     return r.withWatermark("review_ts", watermark).dropDuplicatesWithinWatermark(["review_id"])
 
