@@ -95,13 +95,41 @@ def _local_components(n: int, ei: np.ndarray, ej: np.ndarray) -> np.ndarray:
         lab = new
 
 
+def _local_dbscan(ids: np.ndarray, vecs: np.ndarray, eps: float, min_pts: int):
+    """All rules inside one bounded task (points already in scan order)."""
+    n = len(ids)
+    hit = _within(vecs, vecs, eps) if n else np.zeros((0, 0), dtype=bool)
+    np.fill_diagonal(hit, False)
+    deg = hit.sum(axis=1).astype(np.int64)
+    core = deg >= min_pts
+    ci, cj = np.nonzero(hit & core[:, None] & core[None, :])
+    lab = _local_components(n, ci, cj)
+    cluster = np.full(n, -1, dtype=np.int64)
+    # components of cores, numbered by their first core in scan order
+    next_id = 0
+    first_of = {}
+    for i in range(n):
+        if core[i]:
+            r = lab[i]
+            if r not in first_of:
+                first_of[r] = next_id
+                next_id += 1
+            cluster[i] = first_of[r]
+    # border points: smallest adjacent cluster id
+    for i in np.nonzero(~core)[0]:
+        adj = np.nonzero(hit[i] & core)[0]
+        if len(adj):
+            cluster[i] = cluster[adj].min()
+    return cluster, core, deg
+
+
 def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: str, order_col: str,
            group_cols: list[str] | None = None, block_size: int = 2048) -> DataFrame:
     """Return (group..., id, cluster_id INT, is_core BOOLEAN, n_neighbors LONG)."""
     g = list(group_cols or [])
     spark = points.sparkSession
-    pts = points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
-                        F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("__vec"))
+    pts = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
+                                    F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("__vec")))
     if g:
         sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
         sizes = sizes.select(*g, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(block_size))).cast("int")
@@ -110,8 +138,31 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     else:
         n = pts.count()
         pts = pts.withColumn("__nb", F.lit(max(1, math.ceil(n / block_size))).cast("int"))
-    pts = pts.withColumn("__blk", F.pmod(F.xxhash64("__id"), F.col("__nb")).cast("int"))
+    pts = materialize(pts.withColumn("__blk", F.pmod(F.xxhash64("__id"), F.col("__nb")).cast("int")))
     key_fields = [points.schema[c] for c in g]
+    out_schema = T.StructType(key_fields + [T.StructField(id_col, T.LongType()), T.StructField("cluster_id", T.IntegerType()),
+                                            T.StructField("is_core", T.BooleanType()),
+                                            T.StructField("n_neighbors", T.LongType())])
+
+    # ---- groups that fit one block: the whole clustering in one bounded task
+    def local_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__r", kind="stable")
+        cl, core, deg = _local_dbscan(pdf["__id"].to_numpy(), _vectors(pdf, "__vec"), eps, min_pts)
+        out = pd.DataFrame({id_col: pdf["__id"].to_numpy(dtype=np.int64), "cluster_id": cl.astype(np.int32),
+                            "is_core": core, "n_neighbors": deg})
+        for c in g:
+            out[c] = pdf[c].iloc[0]
+        return out[[f.name for f in out_schema.fields]]
+
+    small = pts.filter(F.col("__nb") == 1)
+    w_small = Window.partitionBy(*g).orderBy("__ord") if g else Window.orderBy("__ord")
+    small = small.withColumn("__r", F.row_number().over(w_small)).select(*g, "__id", "__vec", "__r")
+    local_out = (small.groupBy(*g).applyInPandas(local_fn, out_schema) if g
+                 else small.withColumn("__one", F.lit(0)).groupBy("__one")
+                      .applyInPandas(lambda pdf: local_fn(pdf.drop(columns="__one")), out_schema))
+    pts = pts.filter(F.col("__nb") > 1)
+    if pts.limit(1).count() == 0:
+        return materialize(local_out)
 
     def replicate(df):
         j = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
@@ -204,9 +255,10 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     out = pts2.select(*g, "__id", "__core", "__deg") \
               .join(core_cluster, [*g, "__id"], "left") \
               .join(border, [*g, "__id"], "left")
-    return out.select(*g, F.col("__id").alias(id_col),
-                      F.coalesce(F.col("cluster_id"), F.col("__border_cluster"), F.lit(-1)).cast("int").alias("cluster_id"),
-                      F.col("__core").alias("is_core"), F.col("__deg").cast("long").alias("n_neighbors"))
+    out = out.select(*g, F.col("__id").alias(id_col),
+                     F.coalesce(F.col("cluster_id"), F.col("__border_cluster"), F.lit(-1)).cast("int").alias("cluster_id"),
+                     F.col("__core").alias("is_core"), F.col("__deg").cast("long").alias("n_neighbors"))
+    return materialize(out.unionByName(local_out))  # one row per point; read by every later stage
 
 
 def cluster_stats(assigned: DataFrame, group_cols: list[str] | None = None) -> DataFrame:

@@ -169,4 +169,4 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
          .otherwise(warn).alias("warnings"),
         substitute.alias("substituted"))
     drop = [c for c in ("__all",) if c in th]
-    return checks.drop(*drop), roll.drop(*drop)
+    return materialize(checks.drop(*drop)), materialize(roll.drop(*drop))

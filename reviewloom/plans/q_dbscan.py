@@ -100,3 +100,13 @@ def q_dbscan_by_label(spark, sf_dir):
 
 register("dbscan_by_label", _sql_dbscan(EPS, MIN_PTS, "label")
          + "\nSELECT grp AS label, vec_id, cluster_id, is_core FROM assigned")(q_dbscan_by_label)
+
+
+def q_dbscan_blocked(spark, sf_dir):
+    """C2-C4 through the distributed block-pair path (block size 128, so the
+    vectors span many blocks and block pairs) - must equal ``dbscan``."""
+    out = dbscan(_points(spark, sf_dir), EPS, MIN_PTS, "vec_id", "embedding", "ord", block_size=128)
+    return out.select("vec_id", "cluster_id", "is_core")
+
+
+register("dbscan_blocked", _sql_dbscan(EPS, MIN_PTS) + "\nSELECT vec_id, cluster_id, is_core FROM assigned")(q_dbscan_blocked)

@@ -42,7 +42,7 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     # vectors only - texts are joined back for clustered members alone
     r = materialize(r)
     slim = r.drop(*[c for c in ("content", "version", "thumbs_up") if c in r.columns])
-    x = expand_to_requests(slim, todo, upper_bound=upper_bound)
+    x = materialize(expand_to_requests(slim, todo, upper_bound=upper_bound))
     audit = x.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_ingested"),
         F.count_if(~F.col("long_enough")).alias("n_short"),
@@ -83,6 +83,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     themes = themes_raw.join(roll.select(*CKEY, "valid_quotes", "warnings"), CKEY, "left") \
         .withColumn("representative_quotes",
                     F.coalesce(F.col("valid_quotes"), F.array().cast("array<string>"))).drop("valid_quotes")
+    themes = materialize(themes)  # one row per cluster
     per_week = collect_themes(themes, KEY)
     reports = todo.select(*KEY, "lookback_weeks").join(per_week, KEY, "left") \
         .withColumn("themes", F.coalesce(F.col("themes"), F.array()))
