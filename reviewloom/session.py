@@ -48,19 +48,28 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, creating a scratch one only
+    """Return the shared checkpoint directory, creating a scratch one only
     when the session has none configured (local runs and tests)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir()
+        scratch = tempfile.mkdtemp(prefix="reviewloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        sc.setCheckpointDir(scratch)
         return sc.getCheckpointDir()
-    scratch = tempfile.mkdtemp(prefix="reviewloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="reviewloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -27,10 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     than there are cores (a small file with one row group).  At cluster scale
     the scan already yields thousands of splits and this is a no-op, so no
     shuffle of the big text columns is ever added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: leave partitioning to the server
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
