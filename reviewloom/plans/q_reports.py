@@ -293,7 +293,50 @@ def q_weekly_reports(spark, sf_dir):
                       F.md5("report_text").alias("report_md5"))
 
 
-register("weekly_reports")(q_weekly_reports)
+def _weekly_reports_sql() -> str:
+    from ..functions.scrub import sql_scrub_steps
+    from ..functions.text import sql_js_trim, sql_word_count
+    from ..functions.vectors import sql_l2
+    from .q_dbscan import _sql_dbscan
+    rule, div = "'" + "=" * 80 + "'", "'" + "-" * 80 + "'"
+    return _sql_dbscan(EPS, 3, pts_sql=_sql_weekly_points(), prelude=SQL_REVIEWS_V.strip() + ",") + f""",
+mem AS (SELECT a.grp, a.vec_id AS id, a.cluster_id, p.v, p.o FROM assigned a JOIN pts p ON p.grp = a.grp AND p.id = a.vec_id
+        WHERE a.cluster_id >= 0),
+u AS (SELECT grp, cluster_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS pos FROM mem),
+cd AS (SELECT grp, cluster_id, pos, avg(CAST(x AS DOUBLE)) AS mu FROM u GROUP BY 1, 2, 3),
+cen AS (SELECT grp, cluster_id, list(mu ORDER BY pos) AS c FROM cd GROUP BY 1, 2),
+sz AS (SELECT grp, cluster_id, count(*) AS n FROM mem GROUP BY 1, 2),
+md AS (SELECT mem.*, CASE WHEN sz.n > 15 THEN {sql_l2('mem.v', 'cen.c')} END AS dist
+       FROM mem JOIN sz USING (grp, cluster_id) JOIN cen USING (grp, cluster_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY grp, cluster_id ORDER BY coalesce(dist, 0.0), o) AS rank FROM md),
+fq AS (SELECT rk.grp, rk.cluster_id, list({sql_js_trim(sql_scrub_steps('r.content')['scrubbed'])} ORDER BY rk.rank) AS quotes
+       FROM rk JOIN reviews_v r ON r.review_id = rk.id WHERE rk.rank <= 2 GROUP BY 1, 2),
+th AS (SELECT grp, list({{'theme_name': 'Uncategorized Issues',
+            'theme_description': 'General reviews that could not be summarized due to an API error.',
+            'representative_quotes': quotes,
+            'action_ideas': ['Investigate system logs for errors in reasoning modules.']}} ORDER BY cluster_id) AS themes
+       FROM fq GROUP BY grp),
+req AS (SELECT DISTINCT product, {weeks.sql_iso_week_key('review_ts')} AS week FROM reviews_v),
+nonempty AS (SELECT DISTINCT q.product, q.week FROM req q JOIN reviews_v r ON r.product = q.product
+       AND r.review_ts >= {weeks.sql_week_end('q.week')} - to_days(70) AND r.review_ts <= {weeks.sql_week_end('q.week')}
+       WHERE {sql_word_count('r.content')} >= 8),
+rep AS (SELECT n.product, n.week, coalesce(th.themes, []) AS themes FROM nonempty n
+        LEFT JOIN th ON th.grp = n.product || '|' || n.week),
+txt AS (SELECT product, week, themes,
+  chr(10) || chr(10) || {rule} || chr(10) || product || ' — Weekly Review Pulse (' || week || ')' || chr(10)
+  || 'Generated on: 2024-06-01 | Period: Last 10 weeks (rolling window)' || chr(10)
+  || {rule} || chr(10) || chr(10) || '📋 TOP FEEDBACK THEMES:' || chr(10) || chr(10)
+  || CASE WHEN len(themes) = 0 THEN 'No prominent feedback clusters were identified for this period.' || chr(10) || chr(10)
+     ELSE array_to_string(list_transform(themes, lambda t, i:
+          i || '. ' || t.theme_name || chr(10) || 'Description: ' || t.theme_description || chr(10) || chr(10)
+          || '* Real User Quotes:' || chr(10)
+          || array_to_string(list_transform(t.representative_quotes,
+               lambda q: '  - "' || replace(q, chr(10), ' ') || '"' || chr(10)), '')
+          || chr(10) || '* Action Ideas:' || chr(10)
+          || array_to_string(list_transform(t.action_ideas, lambda a: '  - ' || a || chr(10)), '') || chr(10)), '')
+     END || {div} AS report_text FROM rep)
+SELECT product, week, CAST(len(themes) AS BIGINT) AS n_themes, md5(report_text) AS report_md5 FROM txt"""
+
 
 
 def q_weekly_clusters(spark, sf_dir):
@@ -364,3 +407,6 @@ SELECT e.product, e.week, e.product || ' Weekly Review Pulse — ' || e.week AS
        CASE WHEN coalesce(t.n, 0) = 0 THEN 'skipped-no-recipients' ELSE 'draft' END AS action
 FROM elig e LEFT JOIN tof t ON t.product = e.product
 """)(q_redraft_outbox)
+
+
+register("weekly_reports", _weekly_reports_sql())(q_weekly_reports)
