@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-from ..functions import scrub, text, vectors
+from ..functions import scrub, text, vectors, weeks
 from ..operators.centroid import fallback_quotes, nearest_to_centroid
 from ..operators.dbscan import dbscan
 from ..operators.quotes import validate_quotes
@@ -36,6 +36,17 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     if "force" not in requests.columns:
         requests = requests.withColumn("force", F.lit(False))
     todo = runs_to_do(requests, run_log) if run_log is not None else requests
+    # Bound the scan by the requests' overall span (two scalars from the small
+    # request table): literal predicates reach the parquet scan / partition
+    # pruning, so a one-week request never scrubs the whole history.
+    span = todo.agg(F.min(weeks.lookback_lower(F.col("week"), F.col("lookback_weeks"))).alias("lo"),
+                    F.max(weeks.week_end_ts(F.col("week"))).alias("hi")).first()
+    if span["lo"] is None:
+        reviews = reviews.limit(0)
+    else:
+        reviews = reviews.filter(F.col("review_ts") >= F.lit(span["lo"]))
+        if upper_bound:
+            reviews = reviews.filter(F.col("review_ts") <= F.lit(span["hi"]))
     r = reviews.withColumn("long_enough", text.has_min_words("content", min_words))
     r = scrub.scrub_columns(r).withColumn("content", F.col("content_scrubbed")).drop("content_scrubbed")
     # scrub once per review and keep the result; windows carry keys, flags and
