@@ -25,17 +25,17 @@ def token_estimate(prompt, reviews_text) -> Column:
     return (F.ceil((utf16_length(prompt) + utf16_length(reviews_text)) / F.lit(4)) + F.lit(500)).cast("long")
 
 
-def draft_id(gmail_id) -> Column:
+def draft_id(mail_id) -> Column:
     """JSON ``draft_id``, else ``draftId``, else the raw string (non-JSON text
     yields NULL from get_json_object, never an error)."""
-    g = _c(gmail_id)
+    g = _c(mail_id)
     return F.coalesce(F.nullif(F.get_json_object(g, "$.draft_id"), F.lit("")),
                       F.nullif(F.get_json_object(g, "$.draftId"), F.lit("")), g)
 
 
-def delivery_error(gmail_id) -> Column:
+def delivery_error(mail_id) -> Column:
     """True when the stored delivery result is an error object."""
-    g = _c(gmail_id)
+    g = _c(mail_id)
     return F.coalesce((F.get_json_object(g, "$.status") == F.lit("error"))
                       | F.get_json_object(g, "$.error").isNotNull(), F.lit(False))
 
@@ -49,8 +49,8 @@ def doc_status(doc_url) -> Column:
     return F.when(F.coalesce(_c(doc_url), F.lit("")) != "", F.lit(DOC_STATUS_OK)).otherwise(F.lit(DOC_STATUS_MISSING))
 
 
-def mail_status(gmail_id) -> Column:
-    g = F.coalesce(_c(gmail_id), F.lit(""))
+def mail_status(mail_id) -> Column:
+    g = F.coalesce(_c(mail_id), F.lit(""))
     return F.when(g != "", F.concat(F.lit(MAIL_STATUS_DRAFT + " (ID: "), short_id(draft_id(g)), F.lit(")"))) \
             .otherwise(F.lit(MAIL_STATUS_NONE))
 

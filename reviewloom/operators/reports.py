@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.display import doc_edit_url, section_header, section_url
 from ..functions.weeks import run_key_product, run_key_week
 
+# Field names of the stored run-log and report JSON documents.
 LOG_ENTRY = "struct<timestamp:string,status:string,docUrl:string,gmailId:string>"
 THEME_STRUCT = ("struct<themeName:string,themeDescription:string,representativeQuotes:array<string>,"
                 "actionIdeas:array<string>>")
 REPORT_JSON_SCHEMA = f"week string, timestamp string, docUrl string, gmailId string, status string, themes array<{THEME_STRUCT}>"
-RUN_LOG_COLUMNS = ["product", "week", "run_ts", "status", "doc_url", "gmail_id"]
-REPORT_COLUMNS = ["product", "week", "report_ts", "doc_url", "gmail_id", "status", "themes"]
+RUN_LOG_COLUMNS = ["product", "week", "run_ts", "status", "doc_url", "mail_id"]
+REPORT_COLUMNS = ["product", "week", "report_ts", "doc_url", "mail_id", "status", "themes"]
 
 
 # ---------------------------------------------------------------- S3 / S4
@@ -40,7 +41,7 @@ def read_reports(spark: SparkSession, path: str, now: str) -> DataFrame:
         F.regexp_extract("__file", r"^[^_]+_(.+)\.json$", 1).alias("week"),
         F.coalesce(F.nullif(F.col("timestamp"), F.lit("")), F.lit(now)).alias("report_ts"),
         F.coalesce(F.col("docUrl"), F.lit("")).alias("doc_url"),
-        F.coalesce(F.col("gmailId"), F.lit("")).alias("gmail_id"),
+        F.coalesce(F.col("gmailId"), F.lit("")).alias("mail_id"),
         F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("SUCCESS")).alias("status"),
         F.transform(F.coalesce(F.col("themes"), F.array()), lambda t: F.struct(
             t["themeName"].alias("theme_name"), t["themeDescription"].alias("theme_description"),
@@ -56,7 +57,7 @@ def parse_run_log(text_df: DataFrame, text_col: str = "value") -> DataFrame:
     return e.select(run_key_product("k").alias("product"), run_key_week("k").alias("week"),
                     F.col("v.timestamp").alias("run_ts"), F.col("v.status").alias("status"),
                     F.coalesce(F.col("v.docUrl"), F.lit("")).alias("doc_url"),
-                    F.coalesce(F.col("v.gmailId"), F.lit("")).alias("gmail_id"))
+                    F.coalesce(F.col("v.gmailId"), F.lit("")).alias("mail_id"))
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
@@ -84,11 +85,11 @@ def write_reports(reports: DataFrame, path: str) -> None:
         .option("partitionOverwriteMode", "dynamic").partitionBy("product", "week").parquet(path)
 
 
-def patch_gmail_id(table: DataFrame, updates: DataFrame) -> DataFrame:
-    """K5: set gmail_id for the updated (product, week) keys, others untouched."""
-    u = updates.select("product", "week", F.col("gmail_id").alias("__new"))
+def patch_mail_id(table: DataFrame, updates: DataFrame) -> DataFrame:
+    """K5: set mail_id for the updated (product, week) keys, others untouched."""
+    u = updates.select("product", "week", F.col("mail_id").alias("__new"))
     return table.join(u, ["product", "week"], "left") \
-                .withColumn("gmail_id", F.coalesce(F.col("__new"), F.col("gmail_id"))).drop("__new")
+                .withColumn("mail_id", F.coalesce(F.col("__new"), F.col("mail_id"))).drop("__new")
 
 
 def replace_stakeholders(cleaned: DataFrame, path: str) -> None:
@@ -137,25 +138,25 @@ def log_only_weeks(run_log: DataFrame, reports: DataFrame) -> DataFrame:
 
 def report_listing(reports: DataFrame, run_log: DataFrame) -> DataFrame:
     """U1 + W7: stored reports plus successful log-only weeks, newest first."""
-    a = reports.select("product", "week", F.col("report_ts").alias("ts"), "doc_url", "gmail_id", "status",
+    a = reports.select("product", "week", F.col("report_ts").alias("ts"), "doc_url", "mail_id", "status",
                        F.lit("report").alias("source"))
     b = log_only_weeks(run_log, reports).select("product", "week", F.col("run_ts").alias("ts"), "doc_url",
-                                                "gmail_id", "status", F.lit("log").alias("source"))
+                                                "mail_id", "status", F.lit("log").alias("source"))
     return a.unionByName(b).orderBy(F.col("product"), F.desc("week"))
 
 
 def report_lookup(requests: DataFrame, reports: DataFrame, run_log: DataFrame) -> DataFrame:
     """Stored report, else the log entry with empty themes, else missing."""
     r = reports.select("product", "week", F.col("report_ts").alias("r_ts"), F.col("doc_url").alias("r_url"),
-                       F.col("gmail_id").alias("r_gid"), F.col("status").alias("r_status"), "themes")
+                       F.col("mail_id").alias("r_gid"), F.col("status").alias("r_status"), "themes")
     g = run_log.select("product", "week", F.col("run_ts").alias("l_ts"), F.col("doc_url").alias("l_url"),
-                       F.col("gmail_id").alias("l_gid"), F.col("status").alias("l_status"))
+                       F.col("mail_id").alias("l_gid"), F.col("status").alias("l_status"))
     j = requests.select("product", "week").join(r, ["product", "week"], "left").join(g, ["product", "week"], "left")
     src = F.when(F.col("r_status").isNotNull(), F.lit("report")) \
            .when(F.col("l_status").isNotNull(), F.lit("log")).otherwise(F.lit("missing"))
     return j.select("product", "week", src.alias("source"),
                     F.coalesce("r_ts", "l_ts").alias("ts"), F.coalesce("r_url", "l_url").alias("doc_url"),
-                    F.coalesce("r_gid", "l_gid").alias("gmail_id"), F.coalesce("r_status", "l_status").alias("status"),
+                    F.coalesce("r_gid", "l_gid").alias("mail_id"), F.coalesce("r_status", "l_status").alias("status"),
                     F.when(src == "missing", F.lit(None)).otherwise(
                         F.coalesce(F.col("themes"), F.array().cast(f"array<{THEME_STRUCT_SNAKE}>"))).alias("themes"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import weeks
-from ..operators.reports import (default_week, log_only_weeks, patch_gmail_id, plan_outbox, plan_sections,
+from ..operators.reports import (default_week, log_only_weeks, patch_mail_id, plan_outbox, plan_sections,
                                  redraft_eligible, report_listing, report_lookup, runs_to_do, upsert_run_log)
 from ..sources import stakeholders
 from ..sources.tables import SQL_REVIEWS_V, reviews_view, table
@@ -33,7 +33,7 @@ def _log(spark, sf_dir):
         F.concat(F.lit("https://docs.example.com/document/d/doc-"), F.col("product"), F.lit("/edit")).alias("doc_url"),
         F.when(F.col("n") % 2 == 0, F.concat(F.lit('{"status":"success","draft_id":"r'), F.col("n").cast("string"),
                                              F.col("product"), F.lit('"}')))
-         .otherwise(F.concat(F.lit("plain-"), F.col("n").cast("string"))).alias("gmail_id"))
+         .otherwise(F.concat(F.lit("plain-"), F.col("n").cast("string"))).alias("mail_id"))
 
 
 def _reports(spark, sf_dir):
@@ -44,7 +44,7 @@ def _reports(spark, sf_dir):
             F.concat(F.lit("About "), F.col("week")).alias("theme_description"),
             F.array(F.concat(F.lit("quote "), i.cast("string"))).alias("representative_quotes"),
             F.array().cast("array<string>").alias("action_ideas"))))
-    return lg.select("product", "week", F.col("run_ts").alias("report_ts"), "doc_url", "gmail_id",
+    return lg.select("product", "week", F.col("run_ts").alias("report_ts"), "doc_url", "mail_id",
                      F.lit("SUCCESS").alias("status"), th.alias("themes"))
 
 
@@ -57,8 +57,8 @@ log_v AS (SELECT product, week, n,
     CASE WHEN n % 5 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
     'https://docs.example.com/document/d/doc-' || product || '/edit' AS doc_url,
     CASE WHEN n % 2 = 0 THEN '{{"status":"success","draft_id":"r' || n || product || '"}}' ELSE 'plain-' || n END
-      AS gmail_id FROM kn),
-reports_v AS (SELECT product, week, n, run_ts AS report_ts, doc_url, gmail_id, 'SUCCESS' AS status,
+      AS mail_id FROM kn),
+reports_v AS (SELECT product, week, n, run_ts AS report_ts, doc_url, mail_id, 'SUCCESS' AS status,
     CASE WHEN n % 4 = 0 THEN [] ELSE list_transform(range(1, n % 4 + 1), lambda i: {{'theme_name': 'Theme ' || i,
       'theme_description': 'About ' || week, 'representative_quotes': ['quote ' || i],
       'action_ideas': CAST([] AS VARCHAR[])}}) END AS themes FROM log_v WHERE n % 3 <> 0)"""
@@ -70,17 +70,17 @@ def q_run_log_upsert(spark, sf_dir):
     new = lg.filter(F.substring("week", 7, 2).cast("int") % 2 == 0).select(
         "product", "week",
         F.date_format(F.to_timestamp("run_ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
-        F.lit("SUCCESS").alias("status"), "doc_url", F.concat(F.lit("new-"), F.col("week")).alias("gmail_id"))
+        F.lit("SUCCESS").alias("status"), "doc_url", F.concat(F.lit("new-"), F.col("week")).alias("mail_id"))
     return upsert_run_log(lg, new)
 
 
 register("run_log_upsert", _SQL_STATE + """,
 new AS (SELECT product, week, strftime(CAST(run_ts AS TIMESTAMP) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS run_ts,
-               'SUCCESS' AS status, doc_url, 'new-' || week AS gmail_id FROM log_v WHERE n % 2 = 0),
-u AS (SELECT product, week, run_ts, status, doc_url, gmail_id, 0 AS src FROM log_v
+               'SUCCESS' AS status, doc_url, 'new-' || week AS mail_id FROM log_v WHERE n % 2 = 0),
+u AS (SELECT product, week, run_ts, status, doc_url, mail_id, 0 AS src FROM log_v
       UNION ALL SELECT *, 1 FROM new),
 r AS (SELECT *, row_number() OVER (PARTITION BY product, week ORDER BY run_ts DESC, src DESC) AS rn FROM u)
-SELECT product, week, run_ts, status, doc_url, gmail_id FROM r WHERE rn = 1
+SELECT product, week, run_ts, status, doc_url, mail_id FROM r WHERE rn = 1
 """)(q_run_log_upsert)
 
 
@@ -101,9 +101,9 @@ def q_listing(spark, sf_dir):
 
 
 register("report_listing", _SQL_STATE + """
-SELECT product, week, report_ts AS ts, doc_url, gmail_id, status, 'report' AS source FROM reports_v
+SELECT product, week, report_ts AS ts, doc_url, mail_id, status, 'report' AS source FROM reports_v
 UNION ALL
-SELECT l.product, l.week, l.run_ts, l.doc_url, l.gmail_id, l.status, 'log' FROM log_v l
+SELECT l.product, l.week, l.run_ts, l.doc_url, l.mail_id, l.status, 'log' FROM log_v l
 WHERE l.status = 'SUCCESS' AND NOT EXISTS (SELECT 1 FROM reports_v r WHERE r.product = l.product AND r.week = l.week)
 """)(q_listing)
 
@@ -116,14 +116,14 @@ def _lookup_requests(spark, sf_dir):
 def q_lookup(spark, sf_dir):
     """Report, else log entry with empty themes, else missing."""
     j = report_lookup(_lookup_requests(spark, sf_dir), _reports(spark, sf_dir), _log(spark, sf_dir))
-    return j.select("product", "week", "source", "status", "gmail_id", F.size("themes").cast("long").alias("n_themes"))
+    return j.select("product", "week", "source", "status", "mail_id", F.size("themes").cast("long").alias("n_themes"))
 
 
 register("report_lookup", _SQL_STATE + """,
 req AS (SELECT product, week FROM k UNION ALL SELECT DISTINCT product, '2023-W52' FROM k)
 SELECT q.product, q.week,
        CASE WHEN r.status IS NOT NULL THEN 'report' WHEN l.status IS NOT NULL THEN 'log' ELSE 'missing' END AS source,
-       coalesce(r.status, l.status) AS status, coalesce(r.gmail_id, l.gmail_id) AS gmail_id,
+       coalesce(r.status, l.status) AS status, coalesce(r.mail_id, l.mail_id) AS mail_id,
        CASE WHEN r.status IS NOT NULL THEN CAST(len(r.themes) AS BIGINT) WHEN l.status IS NOT NULL THEN 0::BIGINT
             END AS n_themes
 FROM req q LEFT JOIN reports_v r ON r.product = q.product AND r.week = q.week
@@ -240,12 +240,12 @@ def q_field_patch(spark, sf_dir):
     """K5: new draft ids written into the stored reports."""
     rep = _reports(spark, sf_dir)
     upd = rep.filter(F.size("themes") > 1).select("product", "week",
-                                                   F.concat(F.lit("draft-"), F.col("week")).alias("gmail_id"))
-    return patch_gmail_id(rep, upd).select("product", "week", "gmail_id")
+                                                   F.concat(F.lit("draft-"), F.col("week")).alias("mail_id"))
+    return patch_mail_id(rep, upd).select("product", "week", "mail_id")
 
 
 register("field_patch", _SQL_STATE + """
-SELECT r.product, r.week, CASE WHEN len(r.themes) > 1 THEN 'draft-' || r.week ELSE r.gmail_id END AS gmail_id
+SELECT r.product, r.week, CASE WHEN len(r.themes) > 1 THEN 'draft-' || r.week ELSE r.mail_id END AS mail_id
 FROM reports_v r
 """)(q_field_patch)
 

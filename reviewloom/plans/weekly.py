@@ -110,7 +110,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
         *KEY, F.lit(run_ts).alias("run_ts"), F.lit("SUCCESS").alias("status"),
         F.col("section_url").alias("doc_url"),
         F.when(F.col("skipped"), F.lit("skipped"))
-         .otherwise(F.concat(F.lit("mock-"), F.coalesce(F.col("action"), F.lit("draft")), F.lit("-id"))).alias("gmail_id"))
+         .otherwise(F.concat(F.lit("mock-"), F.coalesce(F.col("action"), F.lit("draft")), F.lit("-id"))).alias("mail_id"))
     # One audit row per request joining every stage's counts
     cl = assigned.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_clustered_points"),

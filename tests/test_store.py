@@ -40,7 +40,7 @@ def test_read_reports_defaults_and_corrupt(spark):
     assert set(rows) == {"2026-W21", "2026-W22"}
     assert rows["2026-W21"].themes[0].theme_name == "A" and rows["2026-W21"].product == "app"
     b = rows["2026-W22"]
-    assert (b.report_ts, b.doc_url, b.gmail_id, b.status) == ("2026-06-01T00:00:00.000Z", "", "", "SUCCESS")
+    assert (b.report_ts, b.doc_url, b.mail_id, b.status) == ("2026-06-01T00:00:00.000Z", "", "", "SUCCESS")
 
 
 def test_run_log_parse_and_upsert(spark):
@@ -55,7 +55,7 @@ def test_run_log_parse_and_upsert(spark):
     assert sorted(r.week for r in lg.collect()) == ["2026-W23", "2026-W25"]
     assert parse_run_log(spark.createDataFrame([("{bad",)], "value string")).count() == 0
     new = spark.createDataFrame([("app", "2026-W25", "2026-06-21T00:00:00.000Z", "FAILED", "", "")],
-                                "product string, week string, run_ts string, status string, doc_url string, gmail_id string")
+                                "product string, week string, run_ts string, status string, doc_url string, mail_id string")
     up = {r.week: r.status for r in upsert_run_log(lg, new).collect()}
     assert up == {"2026-W23": "SUCCESS", "2026-W25": "FAILED"}
 
@@ -63,7 +63,7 @@ def test_run_log_parse_and_upsert(spark):
 def test_write_reports_and_stakeholders(spark):
     d = _scratch()
     rep = spark.createDataFrame([("app", "2026-W21", "t", "u", "g", "SUCCESS")],
-                                "product string, week string, report_ts string, doc_url string, gmail_id string, status string") \
+                                "product string, week string, report_ts string, doc_url string, mail_id string, status string") \
         .withColumn("themes", F.array().cast("array<struct<theme_name:string>>"))
     write_reports(rep, os.path.join(d, "reports"))
     back = spark.read.parquet(os.path.join(d, "reports"))
