@@ -293,12 +293,10 @@ def q_weekly_reports(spark, sf_dir):
                       F.md5("report_text").alias("report_md5"))
 
 
-def _weekly_reports_sql() -> str:
-    from ..functions.scrub import sql_scrub_steps
-    from ..functions.text import sql_js_trim, sql_word_count
+def _weekly_base_sql() -> str:
+    """DBSCAN per product-week + centroid-nearest ranks (CTE ``rk``)."""
     from ..functions.vectors import sql_l2
     from .q_dbscan import _sql_dbscan
-    rule, div = "'" + "=" * 80 + "'", "'" + "-" * 80 + "'"
     return _sql_dbscan(EPS, 3, pts_sql=_sql_weekly_points(), prelude=SQL_REVIEWS_V.strip() + ",") + f""",
 mem AS (SELECT a.grp, a.vec_id AS id, a.cluster_id, p.v, p.o FROM assigned a JOIN pts p ON p.grp = a.grp AND p.id = a.vec_id
         WHERE a.cluster_id >= 0),
@@ -308,7 +306,14 @@ cen AS (SELECT grp, cluster_id, list(mu ORDER BY pos) AS c FROM cd GROUP BY 1, 2
 sz AS (SELECT grp, cluster_id, count(*) AS n FROM mem GROUP BY 1, 2),
 md AS (SELECT mem.*, CASE WHEN sz.n > 15 THEN {sql_l2('mem.v', 'cen.c')} END AS dist
        FROM mem JOIN sz USING (grp, cluster_id) JOIN cen USING (grp, cluster_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY grp, cluster_id ORDER BY coalesce(dist, 0.0), o) AS rank FROM md),
+rk AS (SELECT *, row_number() OVER (PARTITION BY grp, cluster_id ORDER BY coalesce(dist, 0.0), o) AS rank FROM md)"""
+
+
+def _weekly_reports_sql() -> str:
+    from ..functions.scrub import sql_scrub_steps
+    from ..functions.text import sql_js_trim, sql_word_count
+    rule, div = "'" + "=" * 80 + "'", "'" + "-" * 80 + "'"
+    return _weekly_base_sql() + f""",
 fq AS (SELECT rk.grp, rk.cluster_id, list({sql_js_trim(sql_scrub_steps('r.content')['scrubbed'])} ORDER BY rk.rank) AS quotes
        FROM rk JOIN reviews_v r ON r.review_id = rk.id WHERE rk.rank <= 2 GROUP BY 1, 2),
 th AS (SELECT grp, list({{'theme_name': 'Uncategorized Issues',
@@ -375,7 +380,7 @@ def q_run_audit(spark, sf_dir):
     return _weekly(spark, sf_dir)["run_audit"]
 
 
-register("run_audit")(q_run_audit)
+register("run_audit")(q_run_audit)  # SQL oracle attached below, after its helpers
 
 
 def q_redraft_outbox(spark, sf_dir):
@@ -410,3 +415,48 @@ FROM elig e LEFT JOIN tof t ON t.product = e.product
 
 
 register("weekly_reports", _weekly_reports_sql())(q_weekly_reports)
+
+
+def _run_audit_sql() -> str:
+    from ..functions.scrub import sql_scrub_steps
+    from ..functions.text import sql_word_count
+    from .q_themes import _TAIL_SQL, _sql_lit, _u16
+    from ..operators.themes import PROMPT_TEMPLATE
+    head = PROMPT_TEMPLATE.split("{reviews}")[0]
+    h1, h2 = head.split("{product}")
+    sc = sql_scrub_steps("r.content")
+    return _weekly_base_sql() + f""",
+lines AS (SELECT rk.grp, rk.cluster_id,
+            string_agg('[Review ' || rk.rank || '] Date: ' || strftime(r.review_ts, '%Y-%m-%d') || ', Rating: '
+              || r.score || '★' || chr(10) || 'Text: "' || {sc['scrubbed']} || '"', chr(10) || chr(10) ORDER BY rk.rank)
+              AS reviews_text
+          FROM rk JOIN reviews_v r ON r.review_id = rk.id WHERE rk.rank <= 15 GROUP BY 1, 2),
+prm AS (SELECT grp, cluster_id, reviews_text,
+               {_sql_lit(h1)} || split_part(grp, '|', 1) || {_sql_lit(h2)} || reviews_text || {_TAIL_SQL} AS prompt
+        FROM lines),
+tok AS (SELECT grp, sum(CAST(ceil(({_u16('prompt')} + {_u16('reviews_text')}) / 4) + 500 AS BIGINT)) AS est,
+               count(*) AS ncl FROM prm GROUP BY grp),
+cl AS (SELECT grp, count(*) AS npts, count_if(cluster_id < 0) AS noise, max(cluster_id) + 1 AS nclus
+       FROM assigned GROUP BY grp),
+req AS (SELECT DISTINCT product, {weeks.sql_iso_week_key('review_ts')} AS week FROM reviews_v),
+x AS (SELECT q.product, q.week, {sql_word_count('r.content')} >= 8 AS long_enough, {sc['pii_removed']} AS pii,
+             {sc['injection_neutralized']} AS inj
+      FROM req q JOIN reviews_v r ON r.product = q.product
+       AND r.review_ts >= {weeks.sql_week_end('q.week')} - to_days(70) AND r.review_ts <= {weeks.sql_week_end('q.week')}),
+au AS (SELECT product, week, count(*) AS n_ingested, count_if(NOT long_enough) AS n_short,
+              count_if(long_enough) AS n_remaining, count_if(long_enough AND pii) AS n_pii_redacted,
+              count_if(long_enough AND inj) AS n_injection FROM x GROUP BY 1, 2)
+SELECT q.product, q.week, 10 AS lookback_weeks,
+       coalesce(au.n_ingested, 0)::BIGINT AS n_ingested, coalesce(au.n_short, 0)::BIGINT AS n_short,
+       coalesce(au.n_remaining, 0)::BIGINT AS n_remaining, coalesce(au.n_pii_redacted, 0)::BIGINT AS n_pii_redacted,
+       coalesce(au.n_injection, 0)::BIGINT AS n_injection,
+       coalesce(cl.npts, 0)::BIGINT AS n_clustered_points, coalesce(cl.noise, 0)::BIGINT AS n_noise,
+       coalesce(cl.nclus, 0)::BIGINT AS n_clusters, coalesce(tok.est, 0)::BIGINT AS estimated_tokens,
+       (2 * coalesce(tok.ncl, 0))::BIGINT AS quotes_kept, 0::BIGINT AS quotes_modified,
+       0::BIGINT AS quotes_discarded, 0::BIGINT AS quotes_substituted
+FROM req q LEFT JOIN au ON au.product = q.product AND au.week = q.week
+LEFT JOIN cl ON cl.grp = q.product || '|' || q.week
+LEFT JOIN tok ON tok.grp = q.product || '|' || q.week"""
+
+from .catalog import ORACLES as _ORACLES  # noqa: E402
+_ORACLES["run_audit"] = _run_audit_sql()
