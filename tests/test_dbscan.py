@@ -80,3 +80,40 @@ def test_connected_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "src long, dst long")
     cc = dict(connected_components(edges).select("node", "component").collect())
     assert all(cc[i] == 0 for i in range(51)) and cc[100] == 100 and cc[101] == 100
+
+
+def test_connected_components_random_graphs(spark):
+    import random
+    rnd = random.Random(3)
+    for n, m in [(60, 40), (200, 150), (120, 400)]:
+        edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)]
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+        for a, b in edges:
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+        nodes = {a for e in edges for a in e}
+        want = {}
+        for v in nodes:
+            want.setdefault(find(v), []).append(v)
+        want = {v: min(c) for c in want.values() for v in c}
+        df = spark.createDataFrame(edges, "src long, dst long")
+        got = dict(connected_components(df).select("node", "component").collect())
+        assert got == want
+
+
+def test_grouped_blocked_matches_sequential(spark):
+    e = embeddings_view(spark, SF_SMALL)
+    rows = sorted(e.select("label", "vec_id", "embedding").collect(), key=lambda r: r.vec_id)
+    got = {(r.label, r.vec_id): r.cluster_id for r in
+           dbscan(e, 1.14, 3, "vec_id", "embedding", "ord", group_cols=["label"], block_size=16).collect()}
+    for lab in {r.label for r in rows}:
+        grp = [r for r in rows if r.label == lab]
+        want = sequential_dbscan([[float(x) for x in r.embedding] for r in grp], 1.14, 3)
+        assert [got[(lab, r.vec_id)] for r in grp] == want
