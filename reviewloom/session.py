@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -84,6 +86,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``reviewloom`` importable in the Python workers (the Arrow UDFs
+    call its helpers), like ``--py-files``: zip the package once per session
+    and add it with ``addPyFile`` (``addArtifacts`` under Spark Connect)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
+    key = ("sc", sc.applicationId) if sc is not None else ("connect", id(spark))
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="reviewloom-pkg-"), "reviewloom.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
+
+
 def apply_session_defaults(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session (e.g. one the
     caller created) without touching the cluster-level settings."""
@@ -95,3 +126,4 @@ def apply_session_defaults(spark: SparkSession) -> None:
         except Exception:  # pragma: no cover - static conf on some deployments
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
