@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: windows, DBSCAN, components, centroids, quotes, themes, rendering, report store."""

@@ -1,0 +1 @@
+"""Composed jobs (weekly feedback, re-draft) and the named query catalog."""

@@ -1,0 +1 @@
+"""Scans and views: parquet tables, the review view, raw-row normalising, recipient lists."""

@@ -1,0 +1 @@
+"""Structured Streaming over landed review files."""
