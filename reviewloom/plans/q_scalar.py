@@ -9,6 +9,7 @@ from ..functions import display, scrub, text, weeks
 from ..operators.window import expand_to_requests, scan_cap, week_keys_of
 from ..sources import raw as raw_src
 from ..sources import stakeholders
+from ..session import materialize
 from ..sources.tables import SQL_REVIEWS_V, reviews_view, table
 from .catalog import register
 
@@ -214,7 +215,7 @@ def _requests(spark, sf_dir):
     r = reviews_view(spark, sf_dir)
     k = week_keys_of(r, "review_ts")
     req = k.withColumn("lookback_weeks", F.explode(F.array(*[F.lit(x) for x in _LOOKBACKS])))
-    return r, req
+    return r, materialize(req)  # request-sized; read by several size checks and the join
 
 
 _SQL_REQUESTS = f"""

@@ -36,6 +36,7 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     if "force" not in requests.columns:
         requests = requests.withColumn("force", F.lit(False))
     todo = runs_to_do(requests, run_log) if run_log is not None else requests
+    todo = materialize(todo)  # request-sized; read by the span, size checks, joins and audit
     # Bound the scan by the requests' overall span (two scalars from the small
     # request table): literal predicates reach the parquet scan / partition
     # pruning, so a one-week request never scrubs the whole history.
