@@ -82,7 +82,9 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # modest row groups keep the scratch table splittable, so re-reads of a
+    # table written by few tasks still spread over all cores
+    df.write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024).parquet(path)
     return spark.read.parquet(path)
 
 
