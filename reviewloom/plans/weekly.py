@@ -7,7 +7,9 @@ F3) -> DBSCAN per product-week on the precomputed vectors (C2) -> noise out
 (F4) -> centroid-nearest sample (W1) -> prompt table (T2) -> responses or the
 fallback theme (T3) -> quote validation against the full cluster (T5) ->
 themes per week (A6) -> report text (R1) -> sections (K3) -> outbox (K4) ->
-run log rows (K1).  ``dry_run`` returns the frames without writing.
+run log rows (K1).  ``weekly_feedback`` only builds the frames (a dry run);
+``commit_run`` writes them in the order report -> outbox -> run log, so a
+run-log row always implies a stored report.
 """
 
 from __future__ import annotations
@@ -128,3 +130,23 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     return {"todo": todo, "audit": audit, "run_audit": run_audit, "skipped_empty": skipped_empty, "assignments": assigned,
             "sample": sample, "prompts": prompts, "themes": themes, "quote_checks": checks,
             "reports": reports, "sections": sections, "outbox": outbox, "run_log_rows": log_rows}
+
+
+def commit_run(out: dict[str, DataFrame], store_dir: str, existing_log: DataFrame | None = None,
+               snapshot: str = "current") -> DataFrame:
+    """Write one run: reports (K2, dynamic partition overwrite), outbox rows
+    (append) and a new run-log snapshot (K1, last write per key wins; a new
+    directory because Spark cannot overwrite a path it is reading).
+    Returns the new run log."""
+    from ..operators.reports import REPORT_COLUMNS, upsert_run_log, write_reports
+    base = store_dir.rstrip("/")
+    rep = out["reports"].join(out["run_log_rows"].select(*KEY, "run_ts", "doc_url", "mail_id", "status"), KEY) \
+        .select(*KEY, F.col("run_ts").alias("report_ts"), "doc_url", "mail_id", "status", "themes")
+    write_reports(rep.select(*REPORT_COLUMNS), f"{base}/reports")
+    out["outbox"].select(*KEY, "header", "section_url", "to_field", "action", "is_draft") \
+        .write.mode("append").parquet(f"{base}/outbox")
+    new_log = out["run_log_rows"]
+    log = upsert_run_log(existing_log, new_log) if existing_log is not None else new_log
+    path = f"{base}/run_log/{snapshot}"
+    log.write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.parquet(path)

@@ -116,3 +116,20 @@ def test_model_embedder_zero_for_blank(spark):
     df = spark.createDataFrame([("abc",), ("",), ("   ",)], "content string")
     out = [r.embedding for r in model_embedder(df, make_model, 3).collect()]
     assert abs(sum(x * x for x in out[0]) - 1.0) < 1e-12 and out[1] == [0.0] * 3 and out[2] == [0.0] * 3
+
+
+def test_commit_run_writes_report_outbox_log(spark):
+    from reviewloom.plans.weekly import commit_run
+    d = _scratch()
+    r = reviews_view(spark, SF_SMALL, with_embedding=True)
+    req = r.select("product", iso_week_key("review_ts").alias("week")).distinct() \
+           .withColumn("lookback_weeks", F.lit(10)).limit(3)
+    rec = spark.createDataFrame([("en", 0, "a@example.org"), ("fr", 0, "b@example.org")],
+                                "product string, pos long, recipient string")
+    out = weekly_feedback(r, req, eps=1.14, recipients=rec)
+    log = commit_run(out, d, snapshot="s1")
+    reports = spark.read.parquet(os.path.join(d, "reports"))
+    assert reports.count() == out["reports"].count() == log.count() > 0
+    assert spark.read.parquet(os.path.join(d, "outbox")).count() == out["outbox"].count()
+    log2 = commit_run(weekly_feedback(r, req, eps=1.14, run_log=log), d, existing_log=log, snapshot="s2")
+    assert log2.count() == log.count()  # nothing new to do: same keys, last write kept
