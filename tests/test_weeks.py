@@ -30,3 +30,17 @@ def test_week_end_and_lookback(spark):
     r = df.select(F.date_format(weeks.week_end_ts("k"), "yyyy-MM-dd HH:mm:ss.SSS").alias("e"),
                   F.date_format(weeks.lookback_lower("k", 1), "yyyy-MM-dd HH:mm:ss.SSS").alias("lo")).first()
     assert r.e == "2026-06-07 23:59:59.999" and r.lo == "2026-05-31 23:59:59.999"
+
+
+def test_week_keys_match_python_isocalendar(spark):
+    start = dt.date(1998, 1, 1)
+    days = [start + dt.timedelta(days=i) for i in range(0, 40 * 366, 3)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = [r.k for r in df.select(weeks.iso_week_key("d").alias("k")).collect()]
+    want = [f"{d.isocalendar()[0]:04d}-W{d.isocalendar()[1]:02d}" for d in days]
+    assert got == want
+    starts = df.select(weeks.iso_week_key("d").alias("k")).distinct() \
+               .select("k", weeks.week_start_date("k").alias("s")).collect()
+    for r in starts:
+        y, w = int(r.k[:4]), int(r.k[6:])
+        assert r.s == dt.date.fromisocalendar(y, w, 1)
