@@ -3,8 +3,10 @@
 Two zstandard dictionaries are built, from good and from bad labelled texts.  A
 text is cut into pieces of a fixed size, every piece is compressed with both,
 and the difference of the two total sizes, divided by their sum, says which
-kind of text it resembles.  A logistic curve fitted on labelled texts that
-built no dictionary turns that difference into a calibrated score.
+kind of text it resembles.  That sum over the text's own size says how
+repetitive the text is, however little it resembles either kind.  A logistic
+curve over both, fitted on labelled texts that built no dictionary, gives a
+calibrated score.
 
 Dictionaries and curve come from bounded samples of labelled rows (SAMPLE_ROWS and
 SAMPLE_BYTES a class); scoring covers every whole text.
@@ -46,42 +48,53 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 class Scorer:
-    """Normalised difference of compressed sizes; positive: nearer to the good texts."""
+    """Compressed sizes with both dictionaries, as two normalised numbers."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.both = []
         for d in (good, bad):
             own = zstandard.ZstdCompressionDict(d)
             own.precompute_compress(level=LEVEL)
-            self.both.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False))
+            c = zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False)
+            self.both.append((c, len(c.compress(b""))))
 
-    def difference(self, text: str | None) -> float:
-        pieces = _pieces((text or "").encode("utf-8", "surrogatepass"))
+    def measure(self, data: bytes) -> tuple[float, float, float]:
+        """(difference over sum, sum over size, its square); the difference is
+        positive for texts nearer to the good ones.  Zeros for an empty text."""
+        pieces = _pieces(data)
         if not pieces:
-            return 0.0
-        good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.both)
-        return (bad - good) / (bad + good)
+            return 0.0, 0.0, 0.0
+        # without what an empty frame takes
+        good, bad = (sum(max(1, len(c.compress(p)) - empty) for p in pieces) for c, empty in self.both)
+        ratio = (bad + good) / (2 * len(data))
+        return (bad - good) / (bad + good), ratio, ratio * ratio
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a x + b))) by Newton steps, with smoothed targets."""
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(w, b) of 1 / (1 + exp(-(x w + b))) by Newton steps, with smoothed
+    targets and a small penalty on w.  ``x``: a row per case."""
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
-        return 0.0, math.log((n1 + 1) / (n0 + 1))
-    scale = float(np.std(x)) or 1.0
+        return np.zeros(x.shape[1]), math.log((n1 + 1) / (n0 + 1))
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    f = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
+    f = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    penalty = np.diag([0.01] * x.shape[1] + [0.0])
+    w = np.zeros(f.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-6 * np.eye(2), f.T @ (p - t) + 1e-6 * w)
-        w -= step
+        step = np.linalg.solve((f * (p * (1 - p) + 1e-9)[:, None]).T @ f + penalty, f.T @ (p - t) + penalty @ w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def train(labelled: DataFrame) -> tuple[bytes, bytes, float, float]:
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def train(labelled: DataFrame) -> tuple[bytes, bytes, np.ndarray, float]:
     """(id, text, label 0/1) -> both dictionaries and the curve.
 
     Rows are taken in the order of the id's hash, up to the bounds above."""
@@ -102,7 +115,7 @@ def train(labelled: DataFrame) -> tuple[bytes, bytes, float, float]:
     fit = {k: [t for i, t in enumerate(v) if i % 3 == 0] for k, v in taken.items()}
     made = {k: _dictionary([t for i, t in enumerate(v) if i % 3]) or b"\x00" * 8 for k, v in taken.items()}
     scorer = Scorer(made[1], made[0])
-    x = np.array([scorer.difference(t.decode("utf-8", "surrogatepass")) for k in (0, 1) for t in fit[k]])
+    x = np.array([scorer.measure(t) for k in (0, 1) for t in fit[k]], float).reshape(-1, 3)
     y = np.array([k for k in (0, 1) for _ in fit[k]], float)
     # classes are sampled apart: bring the curve's offset back to their shares
     a, b = fit_logistic(x, y)
@@ -115,9 +128,9 @@ def _score(model):
         good, bad, a, b = model.value
         scorer = Scorer(good, bad)
         for batch in batches:
-            x = np.array([scorer.difference(t) for t in batch.column(2).to_pylist()], float)
+            x = np.array([scorer.measure(_bytes(t)) for t in batch.column(2).to_pylist()], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))))], ["id", "held_out", "score"])
+                [batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(x @ a + b, -30, 30))))], ["id", "held_out", "score"])
     return run
 
 
@@ -129,7 +142,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_co
     ``labels`` by id; null labels and labels other than 0 and 1 are left out,
     of labels that contradict each other the larger counts.  Without labels of
     a class the score is the smoothed share of the other.  Null and empty
-    texts have difference 0 and so the curve's offset as score.  Rows with null
+    texts have zeros as measures and so the curve's offset as score.  Rows with null
     or repeated ids each get a row."""
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)") \

@@ -7,7 +7,9 @@ and tokens form a bipartite graph, counted over all documents.  Scores go back
 and forth: a pattern's confidence is the score of the tokens it precedes over
 their number (smoothed), a token's score is the chance that at least one of its
 patterns is right.  Tokens of high-confidence patterns are added as spans of
-the pattern's kind.
+the pattern's kind, but for patterns whose word mostly stands elsewhere, such
+as articles: of all occurrences of the word, a part of LEAST_SPECIFIC must
+precede an identifier.
 
 The graph has a row per distinct (pattern, token), aggregated by Spark; each
 round joins and aggregates it once.
@@ -41,6 +43,7 @@ CONTEXT = 80
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 3
+LEAST_SPECIFIC = 0.2
 
 
 def _digits(match: Column) -> Column:
@@ -123,6 +126,21 @@ def learn_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return conf
 
 
+def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the ``good`` patterns (kind, pattern, confidence, seeds) of whose
+    word's occurrences in all texts enough precede a base span or a token."""
+    word = F.regexp_extract("pattern", r"(\p{L}+)\P{L}*$", 1)
+    good = stored(good.withColumn("word", word), "good")
+    before = base.select(_pattern(F.col("gap")).alias("pattern")).unionByName(free.select("pattern")) \
+        .join(good.select("pattern", "word").distinct(), "pattern").groupBy("word").agg(F.count(F.lit(1)).alias("before"))
+    if good.isEmpty():
+        return good.drop("word")
+    words = texts.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word"))
+    total = words.join(good.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    apt = before.join(total, "word").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("word")
+    return good.join(apt, "word", "left_semi").drop("word")
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, added) for every row.
 
@@ -161,6 +179,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("kind", "pattern", "token").join(seeds, ["kind", "pattern", "token"], "left_anti").withColumn("seed", F.lit(0.0))
     edges = stored(seeds.unionByName(others), "edges")
     good = learn_patterns(edges).filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS))
+    good = _specific(good, base, free, texts)
     best = good.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b")) \
         .select("pattern", (-F.col("b.k")).alias("kind"))
     added = free.join(best, "pattern").select("row", "kind", "start", "end", F.lit(1).alias("extra"))
