@@ -15,9 +15,9 @@ Candidates pass
 and each surviving pair is verified once, on the whole sets.
 
 Groups of near copies are not expanded into all pairs: each prefix group is
-first walked in size order and only neighbours are verified; links found give
-first components; then only pairs that lie in *different* components are
-joined, filtered and verified.  Pairs inside a component cannot change it, so
+first walked in an order of its own and only near neighbours are verified; links
+found give first components; then only pairs that lie in *different* components
+are joined, filtered and verified.  Pairs inside a component cannot change it, so
 the components equal those over all links.
 
 The order by rarity comes from document frequencies over the whole corpus, kept
@@ -27,6 +27,7 @@ order gives the same result; a good one gives few candidates.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,8 +44,10 @@ FREQ_BITS = 21
 _RANGE = 1 << 15
 #: A prefix group expected to exceed this many sets is dealt out in parts.
 GROUP_ROWS = 1 << 14
+#: Neighbours on each side that a set is compared with in each of its prefix groups.
+NEIGHBOURS = 32
 #: Mean number of shingles in a bucket of the suffix histogram.
-_PER_BUCKET = 24
+_PER_BUCKET = 4
 
 
 def _ceil_div(a, b):
@@ -159,8 +162,8 @@ def _prefix_rows(levels):
 
 
 def _neighbours(num: int, den: int):
-    """Rows sorted by (token, part, n, cid) -> the rows whose token is shared
-    (``other`` null) and the filtered pairs of neighbours (``other`` set)."""
+    """Rows sorted by (token, part, ..) -> the rows whose token is shared
+    (``other`` null) and the filtered pairs of near neighbours (``other`` set)."""
     names = ("token", "part", "cid", "n", "pos")
     schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()),
                         ("other", pa.int64())])
@@ -171,27 +174,39 @@ def _neighbours(num: int, den: int):
              pa.nulls(len(at), pa.int64()) if other is None else pa.array(other, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, linked = None, False  # the last row so far, not written yet, and whether it shares its token
+        held = None   # the last rows so far, which are neighbours of the next ones
+        linked = []   # whether each of them shares its token with a row before it
+        todo = 0      # how many of them were not written yet: the last one, if any
         for b in batches:
             if not b.num_rows:
                 continue
             c = {k: b.column(k).to_numpy() for k in names}
             if held is not None:
                 c = {k: np.concatenate([held[k], c[k]]) for k in names}
+            old = len(linked)
+            size = len(c["token"])
             same = (c["token"][1:] == c["token"][:-1]) & (c["part"][1:] == c["part"][:-1])
             shared = c["part"] >= 0  # a group dealt out in parts is a large one
-            shared[0] |= linked
+            shared[:old] |= np.array(linked, bool)
             shared[1:] |= same
             shared[:-1] |= same
-            yield batch(c, np.flatnonzero(shared[:-1]), None)
-            a = np.flatnonzero(same)
-            z, n, pos = a + 1, c["n"].astype(np.int64), c["pos"]
-            need = _ceil_div(num * (n[a] + n[z]), num + den)
-            ok = (den * n[a] >= num * n[z]) & (np.minimum(n[a] - pos[a], n[z] - pos[z]) >= need)
-            yield batch(c, z[ok], c["cid"][a[ok]])
-            held, linked = {k: c[k][-1:] for k in names}, bool(shared[-1])
-        if held is not None and linked:
-            yield batch(held, np.zeros(1, np.int64), None)
+            fresh = np.arange(max(0, old - todo), size - 1)
+            yield batch(c, fresh[shared[fresh]], None)
+            some = np.flatnonzero(shared)  # only these have neighbours
+            old = int(shared[:old].sum())
+            tok, part, n, pos = c["token"][some], c["part"][some], c["n"][some].astype(np.int64), c["pos"][some]
+            for step in range(1, NEIGHBOURS + 1):
+                z = np.arange(max(step, old), len(some))
+                z = z[(tok[z] == tok[z - step]) & (part[z] == part[z - step])]
+                if not len(z):
+                    break
+                a = z - step
+                need = _ceil_div(num * (n[a] + n[z]), num + den)
+                ok = (den * np.minimum(n[a], n[z]) >= num * np.maximum(n[a], n[z])) & (np.minimum(n[a] - pos[a], n[z] - pos[z]) >= need)
+                yield batch(c, some[z[ok]], c["cid"][some[a[ok]]])
+            held, linked, todo = {k: c[k][-NEIGHBOURS:] for k in names}, shared[-NEIGHBOURS:].tolist(), 1
+        if held is not None and linked[-1]:
+            yield batch(held, np.array([len(linked) - 1]), None)
     return run
 
 
@@ -246,11 +261,25 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of class ids -> those whose sets reach the threshold."""
+#: Ids of a semi-join that go to the tasks as a broadcast; more are shuffled.
+MOST_BROADCAST_IDS = 1 << 20
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of class ids -> those whose sets reach the threshold.
+
+    The suffix filter runs on the classes' histograms; only for pairs that
+    pass it are the texts read again and their whole sets compared."""
     side = classes.select("cid", "n", "hist")
     named = pairs.join(side.toDF("x", "nx", "hx"), "x").join(side.toDF("y", "ny", "hy"), "y")
     left = stored(named.mapInArrow(_filter_pairs(num, den), "x long, y long"), "candidates")
+    cids = left.select(F.col("x").alias("cid")).unionByName(left.select(F.col("y").alias("cid"))).distinct()
+    wanted = stored(classes.select("cid", "rep", "k1", "k2", "n").join(cids, "cid", "left_semi"), "wanted")
+    ids = wanted.select("rep").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= MOST_BROADCAST_IDS else ids
+    found = texts.join(ids, texts.id.eqNullSafe(F.col("rep")), "left_semi")
+    sets = found.select("text").mapInArrow(_sets(n), "n long, k1 long, k2 long, members binary")
+    sets = stored(sets.join(wanted.drop("rep"), ["k1", "k2", "n"]).select("cid", "members").dropDuplicates(["cid"]), "members")
     full = left.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
     return stored(full.mapInArrow(_verify(num, den), "x long, y long"), "links")
 
@@ -281,22 +310,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      .agg(F.min("id").alias("rep"), F.first(F.struct("hist", "prefix")).alias("s"))
                      .select(*key, "rep", "s.hist", "s.prefix", F.monotonically_increasing_id().alias("cid")), "classes")
 
-    # prefix groups: neighbours in size order, and the rows that share a token
+    # prefix groups: near neighbours, and the rows that share a token.  Sets of
+    # like size stand together, in an order that differs from group to group
+    like = F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n")
+    mixed_up = F.xxhash64("token", "cid")
     grams = classes.select("cid", "n", "prefix").mapInArrow(
         _prefix_rows(levels), "token long, part short, cid long, n int, pos int")
-    grouped = grams.repartition("token", "part").sortWithinPartitions("token", "part", "n", "cid")
+    grouped = grams.repartition("token", "part").sortWithinPartitions("token", "part", like, mixed_up)
     joined = stored(grouped.mapInArrow(_neighbours(num, den), "token long, cid long, n int, pos int, other long"), "prefixes")
     members = joined.filter("other is null").drop("other")
     pairs = joined.filter("other is not null").select(F.greatest("cid", "other").alias("x"),
                                                        F.least("cid", "other").alias("y")).distinct()
 
-    # whole sets of the classes that share a prefix token with another
-    wanted = members.select("cid").distinct().join(classes.select("cid", "rep", *key), "cid")
-    found = texts.join(wanted.select("rep").distinct(), texts.id.eqNullSafe(F.col("rep")), "left_semi")
-    sets = found.select("text").mapInArrow(_sets(n), "n long, k1 long, k2 long, members binary")
-    sets = stored(sets.join(wanted.select("cid", *key), key).select("cid", "members").dropDuplicates(["cid"]), "members")
-
-    links = _links(pairs, classes, sets, num, den)
+    links = _links(pairs, classes, texts, n, num, den)
     label = stored(connected_components(links, src="x", dst="y"), "labels")
 
     # what may still join two components
@@ -311,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         f" and {den}L * a.n >= {num}L * b.n and least(a.n - a.pos, b.n - b.pos) >= {need}")) \
         .select(F.greatest("a.cid", "b.cid").alias("x"), F.least("a.cid", "b.cid").alias("y")).distinct()
     tried = pairs.select("x", "y")
-    more = _links(cross.join(tried, ["x", "y"], "left_anti"), classes, sets, num, den)
+    more = _links(cross.join(tried, ["x", "y"], "left_anti"), classes, texts, n, num, den)
     if not more.isEmpty():
         label = stored(connected_components(links.unionByName(more), src="x", dst="y"), "labels")
 
