@@ -13,6 +13,8 @@ null flags (uint8), samples (uint32), high words, low words (uint64), ids.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -31,7 +33,7 @@ MAGIC = b"EFTOKEN1"
 #: Ids in a file, but for a single longer document.
 FILE_IDS = 1 << 23
 #: Words of which the ids are kept by a worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _SAMPLE = 256
 #: White space other than space and line feed: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n]").search
@@ -128,46 +130,88 @@ class TokenFile:
 
 
 # --------------------------------------------------------------- tokenising --
+# How a byte-level BPE cuts text, and the characters it gives to bytes.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def _byte_characters() -> dict[int, int]:
+    """Printable Latin-1 characters stand for themselves, the other bytes for 256, 257 and so on."""
+    rest = [b for b in range(256) if b not in _PLAIN]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordCache:
     """Encodes texts with a byte-level BPE tokenizer, each distinct word once.
 
     Its pre-tokenizer never joins two words over a space that follows a
     non-space, and takes a lone line feed between two non-spaces as a token of
     its own.  So texts without adjacent or outer white space are cut there and
-    the words' ids come from a cache; other texts are encoded whole."""
+    the words' ids come from a cache.  A new word in Latin script is cut by the
+    pre-tokenizer's pattern and goes to the tokenizer's model directly; other
+    words and texts are encoded whole by the tokenizer."""
 
     def __init__(self, path: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        about = json.loads(self.tokenizer.to_str())
+        cut = about["pre_tokenizer"] or {}
+        self.byte_level = about["model"]["type"] == "BPE" and not about["normalizer"] and cut.get("type") == "ByteLevel" \
+            and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.model, self.cut, self.chars = self.tokenizer.model, regex.compile(_PATTERN).findall, _byte_characters()
+        self.pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
+        self.feed = self._encode(["\n"])[0]
+        self.marks = {m: self._encode([m])[0] for m in ".,!?;:"}
+        self.after_space: dict[str, bytes] = {}  # of " " + word
+        self.first: dict[str, bytes] = {}        # of a line's first word
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        lines = text.split("\n")
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            words = line.split(" ")
-            if "" in words:  # adjacent or outer spaces or line feeds
-                return None
-            if k:
-                out.append("\n")
-            out.append(words[0])
-            out.extend([" " + w for w in words[1:]])
-        return out
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
+        return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{self.width}").tobytes()
+
+    def _learn(self, known: dict[str, bytes], words: set[str], space: str) -> None:
+        hard = []
+        for w in words - known.keys():
+            if not (w.isascii() or max(w) < "\u0250"):  # later letters may be told apart differently by Unicode versions
+                hard.append(w)
+            elif w.isalpha():
+                known[w] = self._piece(space + w)
+            elif w[-1] in self.marks and (stem := w[:-1]).isalpha():  # the mark is a piece of its own
+                if stem not in known:
+                    known[stem] = self._piece(space + stem)
+                known[w] = known[stem] + self.marks[w[-1]]
+            else:
+                known[w] = b"".join(map(self._piece, self.cut(space + w)))
+        known.update(zip(hard, self._encode([space + w for w in hard]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        cut = [None if _ODD_SPACE(t) else self._pieces(t) for t in texts]
-        new = list({w for c in cut if c for w in c} - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join([self.known[w] for w in c]) for c in cut]
+        if len(self.after_space) + len(self.first) > CACHE_WORDS:
+            self.after_space.clear()
+            self.first.clear()
+        cut: list[list[list[str]] | None] = []
+        firsts, words = set(), set()
+        for t in texts:
+            lines = [line.split(" ") for line in t.split("\n")] if self.byte_level and not _ODD_SPACE(t) else None
+            if lines is not None and any("" in line for line in lines):  # adjacent or outer spaces or line feeds
+                lines = None
+            cut.append(lines)
+            for line in lines or ():
+                firsts.add(line[0])
+                words.update(line[1:])
+        self._learn(self.first, firsts, "")
+        self._learn(self.after_space, words, " ")
+        whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
+        first, after = self.first, self.after_space.__getitem__
+        return [next(whole) if lines is None else
+                self.feed.join([b"".join([first[line[0]], *map(after, line[1:])]) for line in lines]) for lines in cut]
 
 
 _cache: dict[tuple[str, int], WordCache] = {}
