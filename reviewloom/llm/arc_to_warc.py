@@ -229,7 +229,7 @@ def convert(arcs: str, manifest: DataFrame, warcs: str, least_bytes: int = 0) ->
         F.min(F.struct(F.col("page").isNull().alias("none"), "page", "file", "at", "record")).alias("f")).filter("n > 1")
     again = seen.join(first, ["digest", "bytes"]).filter("not (file = f.file and at = f.at)") \
         .groupBy("file").agg(F.collect_list(F.struct("at", F.col("f.page").alias("page"), F.col("f.record").alias("record"))).alias("revisits"))
-    todo = manifest.join(again, "file", "left").repartition(n, "file")  # an archive's revisits: bounded by FILE_BYTES
+    todo = stored(manifest.join(again, "file", "left"), "revisits").repartition(n, "file")  # an archive's revisits: bounded by FILE_BYTES
     return stored(todo.select("file", "revisits").mapInArrow(_convert(arcs, warcs), "file string"), "warcs")
 
 

@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ MAGIC = b"EFTOKEN1"
 FILE_IDS = 1 << 23
 #: Words of which the ids are kept by a worker.
 CACHE_WORDS = 500_000
+#: Words of at most so many characters outlast the others in the cache.
+SHORT_WORD = 8
 _SAMPLE = 256
 #: White space other than space and line feed: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n]").search
@@ -135,10 +138,39 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-def _byte_characters() -> dict[int, int]:
+def _byte_characters() -> str:
     """Printable Latin-1 characters stand for themselves, the other bytes for 256, 257 and so on."""
-    rest = [b for b in range(256) if b not in _PLAIN]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in _PLAIN else chr(next(rest)) for b in range(256))
+
+
+class _Words(dict):
+    """Word -> its ids after ``space``; a word that is looked up for the first time is encoded."""
+
+    def __init__(self, cache: WordCache, space: str):
+        super().__init__()
+        self.cache, self.space = cache, space
+
+    def __missing__(self, word: str) -> bytes:
+        cache, space = self.cache, self.space
+        if not (word.isascii() or max(word) < "\u0250"):  # Unicode versions may tell later letters apart differently
+            got = cache.whole([space + word])[0]
+        elif word.isalpha():
+            got = cache.piece(space + word)
+        elif word[-1] in cache.marks and word[:-1].isalpha():  # the mark is a piece of its own
+            got = self[word[:-1]] + cache.marks[word[-1]]
+        else:
+            got = b"".join(map(cache.piece, cache.cut(space + word)))
+        self[word] = got
+        return got
+
+    def shrink(self, most: int) -> None:
+        """Beyond ``most`` words keep the short ones, which are the common ones."""
+        if len(self) > most:
+            kept = {w: x for w, x in self.items() if len(w) <= SHORT_WORD}
+            self.clear()
+            if len(kept) <= most // 2:
+                self.update(kept)
 
 
 class WordCache:
@@ -164,54 +196,30 @@ class WordCache:
             and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         self.model, self.cut, self.chars = self.tokenizer.model, regex.compile(_PATTERN).findall, _byte_characters()
         self.pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
-        self.feed = self._encode(["\n"])[0]
-        self.marks = {m: self._encode([m])[0] for m in ".,!?;:"}
-        self.after_space: dict[str, bytes] = {}  # of " " + word
-        self.first: dict[str, bytes] = {}        # of a line's first word
+        self.feed = self.whole(["\n"])[0]
+        self.marks = {m: self.whole([m])[0] for m in ".,!?;:"}
+        self.first, self.after_space = _Words(self, ""), _Words(self, " ")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
+        ids = [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.chars)[0])]
         return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{self.width}").tobytes()
 
-    def _learn(self, known: dict[str, bytes], words: set[str], space: str) -> None:
-        hard = []
-        for w in words - known.keys():
-            if not (w.isascii() or max(w) < "\u0250"):  # later letters may be told apart differently by Unicode versions
-                hard.append(w)
-            elif w.isalpha():
-                known[w] = self._piece(space + w)
-            elif w[-1] in self.marks and (stem := w[:-1]).isalpha():  # the mark is a piece of its own
-                if stem not in known:
-                    known[stem] = self._piece(space + stem)
-                known[w] = known[stem] + self.marks[w[-1]]
-            else:
-                known[w] = b"".join(map(self._piece, self.cut(space + w)))
-        known.update(zip(hard, self._encode([space + w for w in hard]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.after_space) + len(self.first) > CACHE_WORDS:
-            self.after_space.clear()
-            self.first.clear()
-        cut: list[list[list[str]] | None] = []
-        firsts, words = set(), set()
-        for t in texts:
-            lines = [line.split(" ") for line in t.split("\n")] if self.byte_level and not _ODD_SPACE(t) else None
-            if lines is not None and any("" in line for line in lines):  # adjacent or outer spaces or line feeds
-                lines = None
-            cut.append(lines)
-            for line in lines or ():
-                firsts.add(line[0])
-                words.update(line[1:])
-        self._learn(self.first, firsts, "")
-        self._learn(self.after_space, words, " ")
-        whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        first, after = self.first, self.after_space.__getitem__
-        return [next(whole) if lines is None else
-                self.feed.join([b"".join([first[line[0]], *map(after, line[1:])]) for line in lines]) for lines in cut]
+    def encode(self, text: str) -> bytes:
+        if not self.byte_level or _ODD_SPACE(text):
+            return self.whole([text])[0]
+        first, after, out = self.first, self.after_space.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if "" in words:  # adjacent or outer spaces or line feeds
+                return self.whole([text])[0]
+            out.append(first[words[0]] + b"".join(map(after, words[1:])))
+        self.first.shrink(CACHE_WORDS // 2)
+        self.after_space.shrink(CACHE_WORDS)
+        return self.feed.join(out)
 
 
 _cache: dict[tuple[str, int], WordCache] = {}
@@ -235,7 +243,7 @@ def _write(path: str, end_id: int, width: int, folder: str, file_ids: int):
                  pa.array([len(docs)], pa.int64()), pa.array([total], pa.int64())], ["file", "part", "no", "n_docs", "n_ids"])
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist()), strict=True):
+            for d, x in zip(b.column(0).to_pylist(), map(cache.encode, b.column(1).to_pylist()), strict=True):
                 docs.append(d)
                 ids.append(x + end)
                 lengths.append(len(ids[-1]) // width)
