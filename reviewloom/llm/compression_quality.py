@@ -94,24 +94,34 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def train(labelled: DataFrame) -> tuple[bytes, bytes, np.ndarray, float]:
-    """(id, text, label 0/1) -> both dictionaries and the curve.
+def _samples(docs: DataFrame, known: DataFrame) -> tuple[dict[int, int], dict[int, list[bytes]]]:
+    """Number of labelled rows, and sample texts, of each class.
 
-    Rows are taken in the order of the id's hash, up to the bounds above."""
-    key = F.xxhash64(F.col("id").cast("string"))
+    The ids are drawn first, from the tables without texts; only the texts of
+    at most 2 * SAMPLE_ROWS ids, a bounded broadcast, are then read."""
+    key = F.xxhash64(F.col("id").cast("string")).alias("key")
+    labelled = stored(docs.filter(~F.col("held_out")).select("id").join(known, "id").select("id", "label", key), "labelled")
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = [labelled.filter(F.col("label") == k).orderBy("key", "id").limit(SAMPLE_ROWS) for k in (0, 1)]
+    drawn = stored(drawn[0].unionByName(drawn[1]).dropDuplicates(["id"]), "drawn")
+    texts = stored(docs.join(F.broadcast(drawn), "id").select("label", "key", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "samples")
     taken: dict[int, list[bytes]] = {}
     for label in (0, 1):
-        own = labelled.filter(F.col("label") == label).select(key.alias("key"), F.col("text").cast("binary").alias("text"))
-        part = min(1.0, SAMPLE_ROWS / max(1, counts.get(label, 0)))
-        own = own.filter(F.pmod("key", F.lit(1_000_003)) < int(part * 1_000_003) + 1)
         size, got = 0, []
-        for r in own.orderBy("key").limit(SAMPLE_ROWS).toLocalIterator():
-            if size + len(r.text) > SAMPLE_BYTES and got:
+        for r in texts.filter(F.col("label") == label).orderBy("key").select("text").toLocalIterator():
+            if got and size + len(r.text) > SAMPLE_BYTES or len(got) == SAMPLE_ROWS:
                 break
             size += len(r.text)
             got.append(bytes(r.text))
         taken[label] = got
+    return counts, taken
+
+
+def train(docs: DataFrame, known: DataFrame) -> tuple[bytes, bytes, np.ndarray, float]:
+    """(id, held_out, text) and (id, label 0/1) -> both dictionaries and the curve.
+
+    Rows are taken in the order of the id's hash, up to the bounds above."""
+    counts, taken = _samples(docs, known)
     fit = {k: [t for i, t in enumerate(v) if i % 3 == 0] for k, v in taken.items()}
     made = {k: _dictionary([t for i, t in enumerate(v) if i % 3]) or b"\x00" * 8 for k, v in taken.items()}
     scorer = Scorer(made[1], made[0])
@@ -148,7 +158,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)") \
         .groupBy("id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    labelled = rows.filter(~F.col("held_out") & F.col("text").isNotNull()).join(known, "id").select("id", "text", "label")
-    model = spark.sparkContext.broadcast(train(stored(labelled, "labelled")))
+    model = spark.sparkContext.broadcast(train(rows, known))
     out = rows.mapInArrow(_score(model), f"id {dict(rows.dtypes)['id']}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
