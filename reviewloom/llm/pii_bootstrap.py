@@ -135,8 +135,9 @@ def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFram
         .join(good.select("pattern", "word").distinct(), "pattern").groupBy("word").agg(F.count(F.lit(1)).alias("before"))
     if good.isEmpty():
         return good.drop("word")
-    words = texts.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word"))
-    total = words.join(good.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    # counted before they are joined: a common word comes to the join once
+    words = texts.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    total = words.join(good.select("word").distinct(), "word")
     apt = before.join(total, "word").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("word")
     return good.join(apt, "word", "left_semi").drop("word")
 
