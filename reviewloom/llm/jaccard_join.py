@@ -44,8 +44,9 @@ FREQ_BITS = 21
 _RANGE = 1 << 15
 #: A prefix group expected to exceed this many sets is dealt out in parts.
 GROUP_ROWS = 1 << 14
-#: Neighbours on each side that a set is compared with in each of its prefix groups.
-NEIGHBOURS = 32
+#: Neighbours on each side that a set is compared with in each of its prefix
+#: groups: at first, and then for neighbours of other components.
+NEIGHBOURS = (6, 96)
 #: Mean number of shingles in a bucket of the suffix histogram.
 _PER_BUCKET = 4
 
@@ -161,16 +162,17 @@ def _prefix_rows(levels):
     return run
 
 
-def _neighbours(num: int, den: int):
-    """Rows sorted by (token, part, ..) -> the rows whose token is shared
-    (``other`` null) and the filtered pairs of near neighbours (``other`` set)."""
-    names = ("token", "part", "cid", "n", "pos")
-    schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()),
+def _neighbours(num: int, den: int, reach: int, members: bool):
+    """Rows sorted by (token, part, ..) -> the filtered pairs of near neighbours
+    of different components (``other`` set) and, with ``members``, the rows
+    whose token is shared (``other`` null)."""
+    names = ("token", "part", "cid", "n", "pos", "component")
+    schema = pa.schema([("token", pa.int64()), ("part", pa.int16()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()),
                         ("other", pa.int64())])
 
     def batch(c: dict[str, np.ndarray], at: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(c["token"][at]), pa.array(c["cid"][at]), pa.array(c["n"][at]), pa.array(c["pos"][at]),
+            [pa.array(c["token"][at]), pa.array(c["part"][at]), pa.array(c["cid"][at]), pa.array(c["n"][at]), pa.array(c["pos"][at]),
              pa.nulls(len(at), pa.int64()) if other is None else pa.array(other, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,21 +193,22 @@ def _neighbours(num: int, den: int):
             shared[1:] |= same
             shared[:-1] |= same
             fresh = np.arange(max(0, old - todo), size - 1)
-            yield batch(c, fresh[shared[fresh]], None)
+            if members:
+                yield batch(c, fresh[shared[fresh]], None)
             some = np.flatnonzero(shared)  # only these have neighbours
             old = int(shared[:old].sum())
-            tok, part, n, pos = c["token"][some], c["part"][some], c["n"][some].astype(np.int64), c["pos"][some]
-            for step in range(1, NEIGHBOURS + 1):
+            tok, part, n, pos, of = c["token"][some], c["part"][some], c["n"][some].astype(np.int64), c["pos"][some], c["component"][some]
+            for step in range(1, reach + 1):
                 z = np.arange(max(step, old), len(some))
                 z = z[(tok[z] == tok[z - step]) & (part[z] == part[z - step])]
                 if not len(z):
                     break
                 a = z - step
                 need = _ceil_div(num * (n[a] + n[z]), num + den)
-                ok = (den * np.minimum(n[a], n[z]) >= num * np.maximum(n[a], n[z])) & (np.minimum(n[a] - pos[a], n[z] - pos[z]) >= need)
+                ok = (den * np.minimum(n[a], n[z]) >= num * np.maximum(n[a], n[z])) & (of[a] != of[z]) & (np.minimum(n[a] - pos[a], n[z] - pos[z]) >= need)
                 yield batch(c, some[z[ok]], c["cid"][some[a[ok]]])
-            held, linked, todo = {k: c[k][-NEIGHBOURS:] for k in names}, shared[-NEIGHBOURS:].tolist(), 1
-        if held is not None and linked[-1]:
+            held, linked, todo = {k: c[k][-reach:] for k in names}, shared[-reach:].tolist(), 1
+        if members and held is not None and linked[-1]:
             yield batch(held, np.array([len(linked) - 1]), None)
     return run
 
@@ -313,33 +316,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # prefix groups: near neighbours, and the rows that share a token.  Sets of
     # like size stand together, in an order that differs from group to group
     like = F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n")
-    mixed_up = F.xxhash64("token", "cid")
     grams = classes.select("cid", "n", "prefix").mapInArrow(
-        _prefix_rows(levels), "token long, part short, cid long, n int, pos int")
-    grouped = grams.repartition("token", "part").sortWithinPartitions("token", "part", like, mixed_up)
-    joined = stored(grouped.mapInArrow(_neighbours(num, den), "token long, cid long, n int, pos int, other long"), "prefixes")
-    members = joined.filter("other is null").drop("other")
-    pairs = joined.filter("other is not null").select(F.greatest("cid", "other").alias("x"),
-                                                       F.least("cid", "other").alias("y")).distinct()
+        _prefix_rows(levels), "token long, part short, cid long, n int, pos int").withColumn("component", F.col("cid"))
+    pair = (F.greatest("cid", "other").alias("x"), F.least("cid", "other").alias("y"))
+
+    def near(rows: DataFrame, turn: int) -> DataFrame:
+        mixed_up = F.xxhash64("token", "cid", F.lit(turn))
+        return rows.repartition("token", "part").sortWithinPartitions("token", "part", like, mixed_up).mapInArrow(
+            _neighbours(num, den, NEIGHBOURS[turn], turn == 0), "token long, part short, cid long, n int, pos int, other long")
 
-    links = _links(pairs, classes, texts, n, num, den)
+    joined = stored(near(grams, 0), "prefixes")
+    members = joined.filter("other is null").drop("other")
+    tried = joined.filter("other is not null").select(*pair).distinct()
+    links = _links(tried, classes, texts, n, num, den)
     label = stored(connected_components(links, src="x", dst="y"), "labels")
 
-    # what may still join two components
-    m = members.join(label.withColumnRenamed("node", "cid"), "cid", "left") \
-               .withColumn("component", F.coalesce("component", "cid"))
-    mixed = m.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-             .filter("lo < hi").select("token")
-    m = stored(m.join(mixed, "token", "left_semi"), "mixed")
+    def mixed() -> DataFrame:
+        """The prefix rows of tokens that more than one component holds."""
+        m = members.join(label.withColumnRenamed("node", "cid"), "cid", "left") \
+                   .withColumn("component", F.coalesce("component", "cid"))
+        tokens = m.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+                  .filter("lo < hi").select("token")
+        return stored(m.join(tokens, "token", "left_semi"), "mixed")
+
+    def linked(more: DataFrame) -> None:
+        """Verify pairs of different components and join these."""
+        nonlocal links, label
+        found = _links(more, classes, texts, n, num, den)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = stored(connected_components(links, src="x", dst="y"), "labels")
+
+    # once more among neighbours, then all that may still join two components
+    again = stored(near(mixed(), 1).select(*pair).distinct().join(tried, ["x", "y"], "left_anti"), "again")
+    linked(again)
     need = f"({num} * (a.n + b.n) + {num + den - 1}) div {num + den}"
+    m = mixed()
     cross = m.alias("a").join(m.alias("b"), F.expr(
         "a.token = b.token and a.component != b.component and (a.n < b.n or a.n = b.n and a.cid < b.cid)"
         f" and {den}L * a.n >= {num}L * b.n and least(a.n - a.pos, b.n - b.pos) >= {need}")) \
         .select(F.greatest("a.cid", "b.cid").alias("x"), F.least("a.cid", "b.cid").alias("y")).distinct()
-    tried = pairs.select("x", "y")
-    more = _links(cross.join(tried, ["x", "y"], "left_anti"), classes, texts, n, num, den)
-    if not more.isEmpty():
-        label = stored(connected_components(links.unionByName(more), src="x", dst="y"), "labels")
+    linked(cross.join(tried.unionByName(again), ["x", "y"], "left_anti"))
 
     named = classes.select("cid", *key, "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left") \
                    .withColumn("component", F.coalesce("component", "cid"))
