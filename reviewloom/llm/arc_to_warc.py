@@ -121,7 +121,7 @@ def _write_arcs(folder: str, date: str):
         part, made, size, out = TaskContext.get().partitionId(), 0, 0, []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([write_file(folder, f"pages-{part:06d}-{made:06d}.arc.gz", out)])], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([write_file(folder, f"pages-{part:06d}-{made:06d}", out, ".arc.gz")])], ["file"])
 
         version = 1 + part % 2  # both versions are written, and so both are read
         name = f"pages-{part:06d}.arc"
@@ -155,17 +155,23 @@ def _page_id(http: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-def record_id(fields: dict[str, str], page: int | None, digest: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page} {fields['URL']} {fields['Archive-date']} {digest}')}"
+def _stem(name: str) -> str:
+    """An archive's name without what tells attempts apart."""
+    return name.rsplit("-", 1)[0]
 
 
-def warc_record(r: ArcRecord, refers: tuple[int | None, str] | None) -> bytes:
+def record_id(r: ArcRecord, archive: str, digest: str) -> str:
+    """From the record's place, so the same in every run over the same archives."""
+    return f"urn:uuid:{uuid.uuid5(_NAMESPACE, f'{archive} {r.offset} {r.fields['URL']} {r.fields['Archive-date']} {digest}')}"
+
+
+def warc_record(r: ArcRecord, archive: str, refers: tuple[int | None, str] | None) -> bytes:
     """The equivalent WARC/1.1 record; ``refers`` (page, record id) makes it a revisit, which keeps the HTTP header only."""
     http, payload = r.http()
-    digest, page, d = sha1_base32(payload), _page_id(http), r.fields["Archive-date"]
+    digest, d = sha1_base32(payload), r.fields["Archive-date"]
     block = http if refers else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: <{record_id(r.fields, page, digest)}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: <{record_id(r, archive, digest)}>",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {r.fields['URL']}",
         f"WARC-IP-Address: {r.fields['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         f"WARC-Identified-Payload-Type: {r.fields['Content-type']}", f"X-Payload-Length: {len(payload)}"]
@@ -197,7 +203,7 @@ def _digests(folder: str):
                 for r in read_arc(read_file(folder, name)):
                     http, payload = r.http()
                     digest, page = sha1_base32(payload), _page_id(http)
-                    rows.append((name, r.offset, page, digest, len(payload), record_id(r.fields, page, digest)))
+                    rows.append((name, r.offset, page, digest, len(payload), record_id(r, _stem(name), digest)))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
@@ -210,8 +216,8 @@ def _convert(arcs: str, warcs: str):
         for b in batches:
             for name, revisits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 refers = {x["at"]: (x["page"], x["record"]) for x in revisits or []}
-                out = [_member(warc_record(r, refers.get(r.offset))) for r in read_arc(read_file(arcs, name))]
-                yield pa.RecordBatch.from_arrays([pa.array([write_file(warcs, name.replace(".arc.gz", ".warc.gz"), out)])], ["file"])
+                out = [_member(warc_record(r, _stem(name), refers.get(r.offset))) for r in read_arc(read_file(arcs, name))]
+                yield pa.RecordBatch.from_arrays([pa.array([write_file(warcs, _stem(name), out, ".warc.gz")])], ["file"])
     return run
 
 

@@ -22,11 +22,11 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(folder: str, stem: str, data: list[bytes]) -> str:
+def write_file(folder: str, stem: str, data: list[bytes], suffix: str = "") -> str:
     """Write one new file; returns its name within ``folder``."""
     fs, path = open_folder(folder)
     fs.create_dir(path, recursive=True)
-    name = f"{stem}-{uuid.uuid4().hex[:12]}"
+    name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
     with fs.open_output_stream(posixpath.join(path, name)) as out:
         for part in data:
             out.write(part)
