@@ -53,7 +53,8 @@ def _within(va: np.ndarray, vb: np.ndarray, eps: float) -> np.ndarray:
     d2 = np.maximum(na[:, None] + nb[None, :] - 2.0 * (va @ vb.T), 0.0)
     d = np.sqrt(d2)
     hit = d <= eps
-    amb = np.argwhere(np.abs(d - eps) <= BAND * max(1.0, eps))
+    # the product form's error grows with the norms
+    amb = np.argwhere(np.abs(d2 - eps * eps) <= BAND * max(1.0, eps * eps) + 1e-14 * (na[:, None] + nb[None, :]))
     for i, j in amb:
         hit[i, j] = _exact_dist(va[i], vb[j]) <= eps
     return hit
@@ -127,6 +128,10 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
            group_cols: list[str] | None = None, block_size: int = 2048) -> DataFrame:
     """Return (group..., id, cluster_id INT, is_core BOOLEAN, n_neighbors LONG)."""
     g = list(group_cols or [])
+    if not isinstance(points.schema[id_col].dataType, T.LongType):  # such as string ids: an integer stands for each point
+        keyed = materialize(points.withColumn("__key", F.monotonically_increasing_id()))
+        out = dbscan(keyed, eps, min_pts, "__key", vec_col, order_col, group_cols, block_size)
+        return out.join(keyed.select("__key", id_col), "__key").select(*g, id_col, "cluster_id", "is_core", "n_neighbors")
     spark = points.sparkSession
     pts = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
                                     F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("__vec")))

@@ -10,7 +10,8 @@ it is reading).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import doc_edit_url, section_header, section_url
@@ -21,6 +22,7 @@ LOG_ENTRY = "struct<timestamp:string,status:string,docUrl:string,gmailId:string>
 THEME_STRUCT = ("struct<themeName:string,themeDescription:string,representativeQuotes:array<string>,"
                 "actionIdeas:array<string>>")
 REPORT_JSON_SCHEMA = f"week string, timestamp string, docUrl string, gmailId string, status string, themes array<{THEME_STRUCT}>"
+REPORT_FILE = r"^(.+)_(\d{4}-W\d{2})\.json$"  # the product may hold underscores itself
 RUN_LOG_COLUMNS = ["product", "week", "run_ts", "status", "doc_url", "mail_id"]
 REPORT_COLUMNS = ["product", "week", "report_ts", "doc_url", "mail_id", "status", "themes"]
 
@@ -35,10 +37,10 @@ def read_reports(spark: SparkSession, path: str, now: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path) \
         .withColumn("__file", F.col("_metadata.file_name"))
     ok = raw.filter(F.col("_corrupt_record").isNull()) \
-            .filter(F.col("__file").rlike(r"^[^_]+_.+\.json$"))
+            .filter(F.col("__file").rlike(REPORT_FILE))
     return ok.select(
-        F.regexp_extract("__file", r"^([^_]+)_", 1).alias("product"),
-        F.regexp_extract("__file", r"^[^_]+_(.+)\.json$", 1).alias("week"),
+        F.regexp_extract("__file", REPORT_FILE, 1).alias("product"),
+        F.regexp_extract("__file", REPORT_FILE, 2).alias("week"),
         F.coalesce(F.nullif(F.col("timestamp"), F.lit("")), F.lit(now)).alias("report_ts"),
         F.coalesce(F.col("docUrl"), F.lit("")).alias("doc_url"),
         F.coalesce(F.col("gmailId"), F.lit("")).alias("mail_id"),
@@ -63,7 +65,9 @@ def parse_run_log(text_df: DataFrame, text_col: str = "value") -> DataFrame:
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     try:
         txt = spark.read.text(path, wholetext=True)
-    except Exception:  # missing log -> empty state
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other failure must not read as "no runs"
+            raise
         txt = spark.createDataFrame([], "value string")
     return parse_run_log(txt)
 
@@ -128,6 +132,11 @@ def plan_outbox(sections: DataFrame, recipients: DataFrame, environment: str, ca
             .withColumn("is_draft", F.col("action") == "draft")
 
 
+def planned_mail_id(action: Column) -> Column:
+    """Delivery id of a planned mail; without recipients no mail exists."""
+    return F.when(action == "skipped-no-recipients", action).otherwise(F.concat(F.lit("mock-"), action, F.lit("-id")))
+
+
 # ---------------------------------------------------------------- J6-J9, U1, W7, W8
 
 def log_only_weeks(run_log: DataFrame, reports: DataFrame) -> DataFrame:
@@ -184,7 +193,7 @@ def default_week(listing: DataFrame, choices: DataFrame) -> DataFrame:
     a choice not present in the listing falls back to the newest."""
     newest = listing.groupBy("product").agg(F.max("week").alias("newest"))
     present = listing.select("product", F.col("week").alias("__w")).distinct()
-    c = choices.select("product", F.coalesce(F.col("forced_week"), F.col("active_week")).alias("__w"))
+    c = choices.select("product", F.coalesce(F.nullif(F.col("forced_week"), F.lit("")), F.col("active_week")).alias("__w"))
     c = c.join(present, ["product", "__w"], "left_semi")
     return newest.join(c, "product", "left").select(
         "product", F.coalesce(F.col("__w"), F.col("newest")).alias("selected_week"))

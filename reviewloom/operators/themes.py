@@ -103,7 +103,7 @@ def offline_themes(members: DataFrame, key_cols: list[str], group_cols: list[str
     cluster / term count across the group's clusters)); quotes = first
     sentence of the first ``n_quotes`` sampled reviews; no action ideas."""
     words = members.select(*key_cols, F.explode(split_words(F.lower(F.col(text_col)))).alias("w")) \
-                   .withColumn("w", F.regexp_replace("w", "[^\\p{L}\\p{N}]", "")).filter(F.length("w") >= 4)
+                   .withColumn("w", F.regexp_replace("w", "[^\\p{L}\\p{N}]", "")).filter(F.length("w") > 0)
     tf = words.groupBy(*key_cols, "w").agg(F.count(F.lit(1)).alias("n"))
     tot = tf.groupBy(*key_cols).agg(F.sum("n").alias("total"))
     df_w = tf.groupBy(*group_cols, "w").agg(F.sum("n").alias("freq"))
@@ -119,6 +119,7 @@ def offline_themes(members: DataFrame, key_cols: list[str], group_cols: list[str
     q = sample.filter(F.col("rank") <= n_quotes).groupBy(*key_cols).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", first_sentence.alias("s")))),
                     lambda s: s["s"]).alias("representative_quotes"))
+    names = members.select(*key_cols).distinct().join(names, key_cols, "left").withColumn("terms", F.coalesce("terms", F.lit("")))
     return names.join(q, key_cols, "left").select(
         *key_cols,
         F.initcap(F.col("terms")).alias("theme_name"),

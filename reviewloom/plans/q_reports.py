@@ -389,16 +389,16 @@ def q_redraft_outbox(spark, sf_dir):
     from .redraft import redraft
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     lists = stakeholders.recipient_strings_from_documents(docs).join(
-        docs.select(F.col("doc_id").alias("product"), "lang"), "product") \
-        .select(F.col("lang").alias("product"), "recipients")
-    lists = lists.groupBy("product").agg(F.min("recipients").alias("recipients"))
+        docs.select(F.col("doc_id").alias("product"), "lang"), "product")
+    lists = lists.groupBy(F.col("lang").alias("product")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct(F.col("product").alias("doc"), "recipients"))), lambda x: x["recipients"]), ",").alias("recipients"))
     out = redraft(lists, _log(spark, sf_dir), _reports(spark, sf_dir), _log(spark, sf_dir))
     return out["outbox"].select("product", "week", "subject", "to_field", "action")
 
 
 register("redraft_outbox", _SQL_STATE + f""",
 {stakeholders.SQL_STAKEHOLDER_CTES.strip().replace("SELECT doc_id AS product,", "SELECT doc_id AS product, lang,")},
-lists AS (SELECT d.lang AS product, min(s.recipients) AS recipients FROM src s JOIN documents d ON d.doc_id = s.product
+lists AS (SELECT d.lang AS product, string_agg(s.recipients, ',' ORDER BY s.product) AS recipients FROM src s JOIN documents d ON d.doc_id = s.product
           GROUP BY d.lang),
 parts2 AS (SELECT product, string_split(recipients, ',') AS p FROM lists),
 u2 AS (SELECT product, unnest(p) AS raw, unnest(generate_series(0, len(p) - 1)) AS pos FROM parts2),

@@ -3,10 +3,11 @@ H1-H10, H17-H19, A3, A4, W9)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import display, scrub, text, weeks
-from ..operators.window import expand_to_requests, scan_cap, week_keys_of
+from ..operators.window import expand_to_requests, week_keys_of
 from ..sources import raw as raw_src
 from ..sources import stakeholders
 from ..session import materialize
@@ -265,13 +266,12 @@ GROUP BY 1, 2, 3
 
 
 def scan_newest(spark, sf_dir):
-    """Newest-first read capped per (product, week) request; the cap is
-    the feature (150 rows/page x 50 pages in the original; here 40)."""
+    """Newest-first read of every (product, week) request, with each row's place."""
     r, req = _requests(spark, sf_dir)
     req = req.filter(F.col("lookback_weeks") == 4)
     x = expand_to_requests(r.select("product", "review_id", "review_ts", "ord"), req)
-    x = scan_cap(x, ["product", "week"], 40)
-    return x.select("product", "week", "review_id")
+    place = F.row_number().over(Window.partitionBy("product", "week").orderBy("ord"))
+    return x.select("product", "week", "review_id", place.cast("long").alias("place"))
 
 
 register("scan_newest", f"""
@@ -282,7 +282,7 @@ x AS (SELECT q.product, q.week, r.review_id,
        AND r.review_ts >= {weeks.sql_week_end('q.week')} - to_days(7 * q.lookback_weeks)
        AND r.review_ts <= {weeks.sql_week_end('q.week')}
       WHERE q.lookback_weeks = 4)
-SELECT product, week, review_id FROM x WHERE rn <= 40
+SELECT product, week, review_id, rn AS place FROM x
 """)(scan_newest)
 
 # ---------------------------------------------------------------- sources

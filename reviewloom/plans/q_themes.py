@@ -141,7 +141,7 @@ _SQL_TERMS = """,
 mg AS (SELECT label % 2 AS grp, label, content FROM m),
 w0 AS (SELECT grp, label, unnest(regexp_extract_all(lower(content), '([^\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+)', 1)) AS w FROM mg),
 w1 AS (SELECT grp, label, regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g') AS w FROM w0),
-tf AS (SELECT grp, label, w, count(*) AS n FROM w1 WHERE length(w) >= 4 GROUP BY 1, 2, 3),
+tf AS (SELECT grp, label, w, count(*) AS n FROM w1 WHERE length(w) > 0 GROUP BY 1, 2, 3),
 tot AS (SELECT grp, label, sum(n) AS total FROM tf GROUP BY 1, 2),
 dfw AS (SELECT grp, w, sum(n) AS freq FROM tf GROUP BY 1, 2),
 aw AS (SELECT grp, avg(total) AS avg_total FROM tot GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.render import render_email
-from ..operators.reports import patch_mail_id, plan_outbox, redraft_eligible
+from ..operators.reports import patch_mail_id, plan_outbox, planned_mail_id, redraft_eligible
 from ..sources.stakeholders import split_recipients
 
 DEFAULT_DOC_URL = "https://docs.example.com/document/d/doc-id/edit"
@@ -24,7 +24,7 @@ def redraft(recipient_lists: DataFrame, active: DataFrame, reports: DataFrame, r
                  .withColumn("url", F.coalesce(F.nullif(F.col("doc_url"), F.lit("")), F.lit(DEFAULT_DOC_URL)))
     mails = render_email(rep, "product", "week", "themes", "url").withColumn("skipped", F.lit(False))
     outbox = plan_outbox(mails, cleaned, environment)
-    ids = outbox.select("product", "week", F.concat(F.lit("mock-"), F.col("action"), F.lit("-id")).alias("mail_id"))
+    ids = outbox.select("product", "week", planned_mail_id(F.col("action")).alias("mail_id"))
     log_ids = ids.join(run_log.select("product", "week"), ["product", "week"], "left_semi")
     return {"stakeholders": cleaned, "outbox": outbox, "reports": patch_mail_id(reports, ids),
             "run_log": patch_mail_id(run_log, log_ids)}

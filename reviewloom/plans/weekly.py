@@ -14,7 +14,10 @@ run-log row always implies a stored report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -24,7 +27,7 @@ from ..operators.centroid import fallback_quotes, nearest_to_centroid
 from ..operators.dbscan import dbscan
 from ..operators.quotes import validate_quotes
 from ..operators.render import render_report
-from ..operators.reports import plan_outbox, plan_sections, runs_to_do
+from ..operators.reports import RUN_LOG_COLUMNS, plan_outbox, plan_sections, planned_mail_id, runs_to_do
 from ..operators.themes import collect_themes, ingest_responses, prompt_table
 from ..operators.window import expand_to_requests
 
@@ -37,6 +40,11 @@ def window_stage(reviews: DataFrame, requests: DataFrame, run_log: DataFrame | N
     """J8 + H8/F2 once per review + F1/W9 windows + A3/A4/F3 audit counts."""
     if "force" not in requests.columns:
         requests = requests.withColumn("force", F.lit(False))
+    requests = materialize(requests)
+    twice = requests.groupBy(*KEY).agg(F.countDistinct("lookback_weeks").alias("n")).filter("n > 1").limit(5).collect()
+    if twice:  # results are keyed by product and week
+        raise ValueError(f"more than one look-back for {[(r.product, r.week) for r in twice]}: request them in separate runs")
+    requests = requests.filter(weeks.is_valid_week_key(F.col("week")))
     todo = runs_to_do(requests, run_log) if run_log is not None else requests
     todo = materialize(todo)  # request-sized; read by the span, size checks, joins and audit
     # Bound the scan by the requests' overall span (two scalars from the small
@@ -113,7 +121,12 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
         *KEY, F.lit(run_ts).alias("run_ts"), F.lit("SUCCESS").alias("status"),
         F.col("section_url").alias("doc_url"),
         F.when(F.col("skipped"), F.lit("skipped"))
-         .otherwise(F.concat(F.lit("mock-"), F.coalesce(F.col("action"), F.lit("draft")), F.lit("-id"))).alias("mail_id"))
+         .otherwise(planned_mail_id(F.coalesce(F.col("action"), F.lit("draft")))).alias("mail_id"), "skipped")
+    # a section that stands already was mailed by an earlier run: keep that id
+    old = run_log if run_log is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in RUN_LOG_COLUMNS))
+    log_rows = log_rows.join(old.select(*KEY, F.col("mail_id").alias("__old")), KEY, "left") \
+        .withColumn("mail_id", F.when(F.col("skipped"), F.coalesce(F.nullif(F.col("__old"), F.lit("")), F.col("mail_id")))
+                    .otherwise(F.col("mail_id"))).select(*RUN_LOG_COLUMNS)
     # One audit row per request joining every stage's counts
     cl = assigned.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_clustered_points"),
@@ -129,24 +142,57 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                      .join(subst, KEY, "left").fillna(0)
     return {"todo": todo, "audit": audit, "run_audit": run_audit, "skipped_empty": skipped_empty, "assignments": assigned,
             "sample": sample, "prompts": prompts, "themes": themes, "quote_checks": checks,
-            "reports": reports, "sections": sections, "outbox": outbox, "run_log_rows": log_rows}
+            "reports": reports, "sections": sections, "outbox": outbox, "run_log_rows": log_rows,
+            "quarantine": requests.filter(~F.coalesce(weeks.is_valid_week_key(F.col("week")), F.lit(False)))}
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_run_log(spark: SparkSession, store_dir: str) -> DataFrame | None:
+    """The run log that the newest pointer names; None before the first run."""
+    base = store_dir.rstrip("/")
+    pointers = _stored(spark, f"{base}/run_log_pointers")
+    if pointers is None:
+        return None
+    return spark.read.parquet(f"{base}/run_log/{pointers.orderBy(F.desc('no')).first().snapshot}")
 
 
 def commit_run(out: dict[str, DataFrame], store_dir: str, existing_log: DataFrame | None = None,
-               snapshot: str = "current") -> DataFrame:
-    """Write one run: reports (K2, dynamic partition overwrite), outbox rows
-    (append) and a new run-log snapshot (K1, last write per key wins; a new
-    directory because Spark cannot overwrite a path it is reading).
-    Returns the new run log."""
+               snapshot: str | None = None) -> DataFrame:
+    """Write one run: reports (K2, dynamic partition overwrite), sections with
+    their text (K3), outbox rows (K4), and last a new run-log snapshot (K1, last
+    write per key wins) with a pointer to it.  A section or mail that an earlier,
+    perhaps broken-off, run has written is not written again.  A snapshot is
+    never overwritten.  Returns the new run log."""
     from ..operators.reports import REPORT_COLUMNS, upsert_run_log, write_reports
     base = store_dir.rstrip("/")
+    spark = out["reports"].sparkSession
+    if existing_log is None:
+        existing_log = current_run_log(spark, base)
     rep = out["reports"].join(out["run_log_rows"].select(*KEY, "run_ts", "doc_url", "mail_id", "status"), KEY) \
         .select(*KEY, F.col("run_ts").alias("report_ts"), "doc_url", "mail_id", "status", "themes")
     write_reports(rep.select(*REPORT_COLUMNS), f"{base}/reports")
-    out["outbox"].select(*KEY, "header", "section_url", "to_field", "action", "is_draft") \
-        .write.mode("append").parquet(f"{base}/outbox")
-    new_log = out["run_log_rows"]
-    log = upsert_run_log(existing_log, new_log) if existing_log is not None else new_log
-    path = f"{base}/run_log/{snapshot}"
-    log.write.mode("overwrite").parquet(path)
-    return log.sparkSession.read.parquet(path)
+    for name, columns in (("sections", [*KEY, "header", "doc_id", "section_url", "report_text"]),
+                          ("outbox", [*KEY, "header", "section_url", "to_field", "action", "is_draft"])):
+        rows = out[name].filter(~F.col("skipped")) if name == "sections" else out[name]
+        rows = rows.select(*[c for c in columns if c in rows.columns])
+        have = _stored(spark, f"{base}/{name}")
+        if have is not None:
+            rows = materialize(rows.join(have.select("product", "header"), ["product", "header"], "left_anti"))
+        rows.write.mode("append").parquet(f"{base}/{name}")
+    log = out["run_log_rows"]
+    log = upsert_run_log(existing_log, log) if existing_log is not None else log
+    snapshot = snapshot or uuid.uuid4().hex
+    log.write.mode("error").parquet(f"{base}/run_log/{snapshot}")
+    pointers = _stored(spark, f"{base}/run_log_pointers")
+    no = pointers.count() if pointers is not None else 0
+    spark.createDataFrame([(no, snapshot)], "no long, snapshot string").coalesce(1).write.mode("append").parquet(f"{base}/run_log_pointers")
+    return spark.read.parquet(f"{base}/run_log/{snapshot}")

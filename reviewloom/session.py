@@ -25,8 +25,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
-# Only applied when this module launches the JVM (bench, tests, scripts).
-LAUNCH_CONF = {"spark.driver.memory": "16g"}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -36,7 +34,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf.update(LAUNCH_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -65,12 +62,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if configured:
             sc.setCheckpointDir(configured)
             return sc.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         scratch = tempfile.mkdtemp(prefix="reviewloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(scratch)
         return sc.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="reviewloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return configured
 
 

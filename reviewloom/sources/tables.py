@@ -22,17 +22,19 @@ REVIEW_EPOCH_SECONDS = 1704067200
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
+# Most scan splits (of spark.sql.files.maxPartitionBytes) that are dealt out over the cores.
+SMALL_SPLITS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cores when a scan produced fewer splits
-    than there are cores (a small file with one row group).  At cluster scale
-    the scan already yields thousands of splits and this is a no-op, so no
-    shuffle of the big text columns is ever added there."""
+    """Round-robin the rows over the cores when a scan has at most SMALL_SPLITS
+    splits (a small file with one row group); larger inputs are never moved."""
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # Spark Connect: leave partitioning to the server
         return df
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

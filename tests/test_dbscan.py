@@ -1,8 +1,7 @@
-"""DBSCAN: distributed result == a sequential reading of the rules, for any
+"""DBSCAN: distributed result == the definition, for any
 block count; zero vectors; connected components."""
 
-import math
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,50 +12,31 @@ from reviewloom.sources.tables import embeddings_view
 from .conftest import SF_SMALL
 
 
-def sequential_dbscan(vectors, eps, min_pts):
-    n = len(vectors)
-
-    def dist(a, b):
-        s = 0.0
-        for x, y in zip(a, b):
-            s += (x - y) * (x - y)
-        return math.sqrt(s)
-
-    nbrs = [[j for j in range(n) if j != i and dist(vectors[i], vectors[j]) <= eps] for i in range(n)]
-    lab = [-2] * n
-    cid = 0
-    for i in range(n):
-        if lab[i] != -2:
-            continue
-        if len(nbrs[i]) < min_pts:
-            lab[i] = -1
-            continue
-        lab[i] = cid
-        queue = list(nbrs[i])
-        seen = set(queue)
-        j = 0
-        while j < len(queue):
-            p = queue[j]
-            j += 1
-            if lab[p] == -1:
-                lab[p] = cid
-            if lab[p] != -2:
-                continue
-            lab[p] = cid
-            if len(nbrs[p]) >= min_pts:
-                for q in nbrs[p]:
-                    if q not in seen:
-                        seen.add(q)
-                        queue.append(q)
-        cid += 1
-    return lab
+def defined_dbscan(vectors, eps, min_pts):
+    """Labels by the definition: clusters are the components of the core points,
+    numbered by their first core; a border point takes the smallest cluster
+    number among its core neighbours; the rest is noise."""
+    v = np.array(vectors, float)
+    near = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(2)) <= eps
+    np.fill_diagonal(near, False)
+    core = near.sum(1) >= min_pts
+    reach = (near & core[:, None] & core[None, :]) | np.diag(core)
+    while True:
+        wider = (reach.astype(float) @ reach.astype(float)) > 0
+        if (wider == reach).all():
+            break
+        reach = wider
+    first = [int(np.flatnonzero(reach[i])[0]) if core[i] else -1 for i in range(len(v))]
+    number = {f: k for k, f in enumerate(sorted(set(first) - {-1}))}
+    return [number[first[i]] if core[i] else min((number[first[j]] for j in np.flatnonzero(near[i] & core)), default=-1)
+            for i in range(len(v))]
 
 
 @pytest.mark.parametrize("block_size", [64, 1024])
 def test_matches_sequential(spark, block_size):
     e = embeddings_view(spark, SF_SMALL)
     rows = sorted(e.select("vec_id", "embedding").collect())
-    want = sequential_dbscan([[float(x) for x in r.embedding] for r in rows], 1.14, 3)
+    want = defined_dbscan([[float(x) for x in r.embedding] for r in rows], 1.14, 3)
     got = dict(dbscan(e, 1.14, 3, "vec_id", "embedding", "ord", block_size=block_size)
                .select("vec_id", "cluster_id").collect())
     assert [got[r.vec_id] for r in rows] == want
@@ -115,5 +95,14 @@ def test_grouped_blocked_matches_sequential(spark):
            dbscan(e, 1.14, 3, "vec_id", "embedding", "ord", group_cols=["label"], block_size=16).collect()}
     for lab in {r.label for r in rows}:
         grp = [r for r in rows if r.label == lab]
-        want = sequential_dbscan([[float(x) for x in r.embedding] for r in grp], 1.14, 3)
+        want = defined_dbscan([[float(x) for x in r.embedding] for r in grp], 1.14, 3)
         assert [got[(lab, r.vec_id)] for r in grp] == want
+
+
+def test_string_ids_and_large_norms(spark):
+    rows = [(f"r-{i}", i, [1.6e4, float(i // 5)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, ord long, v array<double>")
+    for block in (4, 64):
+        out = {r.id: r for r in dbscan(df, 1e-4, 3, "id", "v", "ord", block_size=block).collect()}
+        assert [out[f"r-{i}"].cluster_id for i in range(20)] == [i // 5 for i in range(20)]
+        assert {r.n_neighbors for r in out.values()} == {4}

@@ -1,4 +1,4 @@
-"""Quote validation: the original unit-test cases, plus scale-path checks."""
+"""Quote validation: exact, changed and invented quotes, plus scale-path checks."""
 
 import random
 
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.quotes import substring_matches, validate_quotes
 
-REVIEWS = [(1, "Groww app is extremely slow and crash on login."),
-           (2, "I love this app, investment process is very easy!")]
+REVIEWS = [(1, "Opening my account page takes ages and then it freezes."),
+           (2, "Great tool, setting up a plan was simple!")]
 
 
 def _run(spark, quotes):
@@ -19,28 +19,28 @@ def _run(spark, quotes):
 
 
 def test_exact(spark):
-    _, roll = _run(spark, ["extremely slow and crash", "investment process is very easy!"])
-    assert roll.valid_quotes == ["extremely slow and crash", "investment process is very easy!"]
+    _, roll = _run(spark, ["takes ages and then", "setting up a plan was simple!"])
+    assert roll.valid_quotes == ["takes ages and then", "setting up a plan was simple!"]
     assert roll.warnings == []
 
 
 def test_recovered_whole_review(spark):
-    _, roll = _run(spark, ["Extremely Slow And Crash on login"])
+    _, roll = _run(spark, ["Takes Ages AND then it freezes"])
     assert roll.valid_quotes == [REVIEWS[0][1]]
     assert len(roll.warnings) == 1 and "Quote modified to match verbatim content" in roll.warnings[0]
 
 
 def test_fabricated_falls_back_to_first_review(spark):
-    checks, roll = _run(spark, ["This is a completely fabricated quote that does not exist."])
+    checks, roll = _run(spark, ["Nobody ever wrote these words in a review."])
     assert checks[0].outcome == "discarded"
     assert roll.valid_quotes == [REVIEWS[0][1]] and roll.substituted
     assert len(roll.warnings) == 2 and "Quote discarded (not found in source texts)" in roll.warnings[0]
 
 
 def test_blank_and_short_quotes(spark):
-    checks, roll = _run(spark, ["   ", "app", "crash", "q"])
+    checks, roll = _run(spark, ["   ", "page", "freezes", "q"])
     assert [c.outcome for c in checks] == ["exact", "exact", "discarded"]
-    assert roll.valid_quotes == ["app", "crash"]
+    assert roll.valid_quotes == ["page", "freezes"]
 
 
 def test_substring_matches_equals_brute_force(spark):
