@@ -35,8 +35,9 @@ MAGIC = b"EFTOKEN1"
 FILE_IDS = 1 << 23
 #: Words of which the ids are kept by a worker.
 CACHE_WORDS = 500_000
-#: Words of at most so many characters outlast the others in the cache.
-SHORT_WORD = 8
+#: Words of at most so many characters, the common ones, outlast the others in
+#: the cache: when it is full, and (fewer) when a task ends and others need its memory.
+SHORT_WORD, SHORT_BETWEEN_TASKS = 8, 5
 _SAMPLE = 256
 #: White space other than space and line feed: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n]").search
@@ -164,12 +165,12 @@ class _Words(dict):
         self[word] = got
         return got
 
-    def shrink(self, most: int) -> None:
-        """Beyond ``most`` words keep the short ones, which are the common ones."""
+    def shrink(self, most: int, length: int = SHORT_WORD) -> None:
+        """Beyond ``most`` words keep those of at most ``length`` characters."""
         if len(self) > most:
-            kept = {w: x for w, x in self.items() if len(w) <= SHORT_WORD}
+            kept = {w: x for w, x in self.items() if len(w) <= length}
             self.clear()
-            if len(kept) <= most // 2:
+            if len(kept) <= CACHE_WORDS // 2:
                 self.update(kept)
 
 
@@ -253,6 +254,8 @@ def _write(path: str, end_id: int, width: int, folder: str, file_ids: int):
                     docs, lengths, ids, total, made = [], [], [], 0, made + 1
         if docs:
             yield flush()
+        for known in (cache.first, cache.after_space):
+            known.shrink(0, SHORT_BETWEEN_TASKS)
     return run
 
 
