@@ -13,14 +13,23 @@ from ..session import apply_session_defaults, ensure_checkpoint_dir
 #: Rows per Arrow batch sent to Python: texts may be long, so batches are short.
 BATCH_ROWS = 256
 
+#: The setting that fixes how scans are split, whatever the number of cores.
+MIN_SPLITS = "spark.sql.files.minPartitionNum"
+
 #: The contracts' word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that every operator here relies on (shared checkpoint
-    folder, package shipped to the workers, short Arrow batches)."""
+    folder, package shipped to the workers, short Arrow batches).
+
+    Splits of a scan depend on the number of cores unless their least number is
+    set.  It is fixed here, so that a table that is scanned again after executors
+    came or went has the same splits, and its rows the same numbers."""
     apply_session_defaults(spark)
+    if not spark.conf.get(MIN_SPLITS, None):
+        spark.conf.set(MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.arc_to_warc import ArcRecord, arc_header, arc_record, members, pages_to_warc, read_arc, read_warc, sha1_base32, warc_record
 from reviewloom.llm.block_naming import exact_duplicates
-from reviewloom.llm.common import id_remainder, shingle_set, word_count
+from reviewloom.llm.common import MIN_SPLITS, id_remainder, prepare, shingle_set, word_count
 from reviewloom.llm.compression_quality import classify_quality
 from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.jaccard_join import jaccard_components
@@ -159,6 +159,18 @@ def test_mix_sources(spark):
     assert mix_sources(empty).count() == 0 and mixed_rows(empty).count() == 0
 
 
+def test_scan_splits_stay_as_first_set(spark):
+    prepare(spark)
+    first = spark.conf.get(MIN_SPLITS)
+    assert int(first) >= 1
+    try:
+        spark.conf.set(MIN_SPLITS, "37")
+        prepare(spark)  # a deployment's own number holds
+        assert spark.conf.get(MIN_SPLITS) == "37"
+    finally:
+        spark.conf.set(MIN_SPLITS, first)
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a", "a ", "a\x0b\x0cb\r\nc", " ", "a b c"]
     got = [r.n for r in frame(spark, texts).orderBy("doc_id").select(word_count(F.col("text")).alias("n")).collect()]
