@@ -21,3 +21,13 @@ def test_join_small_same_result_either_way(spark):
     a = {tuple(r) for r in join_small(big, small, "k", max_rows=100).collect()}
     b = {tuple(r) for r in join_small(big, small, "k", max_rows=1).collect()}
     assert a == b and len(a) == 1000
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text", "array(1.0D, 2.0D) AS vec",
+                                      "array(named_struct('s', 'abc'), null) AS parts", "cast(null AS string) AS none")
+
+    assert _hinted(bounded_broadcast(wide))
+    assert not _hinted(bounded_broadcast(wide, max_bytes=10_000))
+    assert _hinted(bounded_broadcast(wide, max_bytes=13_000))
+    assert not _hinted(bounded_broadcast(wide, max_rows=9))
