@@ -53,9 +53,30 @@ FROM s GROUP BY product, week
 # ---------------------------------------------------------------- scrub rules
 
 
+# The documents hold no account references or instructions, so these two rules
+# get each whole text with a closing phrase of its row, some of which only
+# come near the rule.  Spark and DuckDB read the expressions alike.
+_CLOSING = {
+    "id": """text || CASE doc_id % 6
+        WHEN 0 THEN ' ref-' || CAST(1000000 + doc_id AS STRING)
+        WHEN 1 THEN ' Customer ID: A' || CAST(1000000 + doc_id AS STRING) || '.'
+        WHEN 2 THEN ' user_' || CAST(doc_id % 1000 AS STRING)
+        WHEN 3 THEN ' reference of ' || CAST(doc_id AS STRING)
+        WHEN 4 THEN ' acc ' || CAST(1000000000000000 + doc_id AS STRING)
+        ELSE ' xref-' || CAST(1000000 + doc_id AS STRING) END""",
+    "injection": """text || CASE doc_id % 9
+        WHEN 0 THEN ' Ignore any  previous instructions ' WHEN 1 THEN ' ignore instructions '
+        WHEN 2 THEN ' YOU must now forget ' WHEN 3 THEN ' act as a ' WHEN 4 THEN ' System prompt '
+        WHEN 5 THEN ' override   rules ' WHEN 6 THEN ' instead of summarizing '
+        WHEN 7 THEN ' ignore the instructions ' ELSE ' actasa ' END || CAST(doc_id AS STRING)""",
+}
+
+
 def _scrub_query(step: str):
     def q(spark, sf_dir):
         d = table(spark, sf_dir, "documents", "doc_id", "text")
+        if step in _CLOSING:
+            d = d.select("doc_id", F.expr(_CLOSING[step]).alias("text"))
         col = {"email": scrub.scrub_email, "phone": scrub.scrub_phone,
                "id": scrub.scrub_id, "injection": scrub.scrub_injection}[step]
         pat = {"email": scrub.EMAIL_RE, "phone": scrub.PHONE_RE, "id": scrub.ID_RE}.get(step)
@@ -67,6 +88,10 @@ def _scrub_query(step: str):
     return q
 
 
+def _scrub_input(step: str) -> str:
+    return f"(SELECT doc_id, {_CLOSING[step]} AS text FROM documents)" if step in _CLOSING else "documents"
+
+
 def _scrub_sql(step: str) -> str:
     from ..functions.scrub import (EMAIL_TOKEN, ID_TOKEN, INJECTION_TOKEN, PHONE_TOKEN, SQL_EMAIL_RE,
                                    SQL_ID_RE, SQL_INJECTION_RES, SQL_PHONE_RE)
@@ -75,11 +100,11 @@ def _scrub_sql(step: str) -> str:
         for p in SQL_INJECTION_RES:
             cur = f"regexp_replace({cur}, '{p}', '{INJECTION_TOKEN}', 'g')"
         hit = " OR ".join(f"regexp_matches(text, '{p}')" for p in SQL_INJECTION_RES)
-        return f"SELECT doc_id AS review_id, {cur} AS scrubbed, ({hit}) AS hit FROM documents"
+        return f"SELECT doc_id AS review_id, {cur} AS scrubbed, ({hit}) AS hit FROM {_scrub_input(step)}"
     pat, tok = {"email": (SQL_EMAIL_RE, EMAIL_TOKEN), "phone": (SQL_PHONE_RE, PHONE_TOKEN),
                 "id": (SQL_ID_RE, ID_TOKEN)}[step]
     return (f"SELECT doc_id AS review_id, regexp_replace(text, '{pat}', '{tok}', 'g') AS scrubbed, "
-            f"regexp_matches(text, '{pat}') AS hit FROM documents")
+            f"regexp_matches(text, '{pat}') AS hit FROM {_scrub_input(step)}")
 
 
 for _step in ("email", "phone", "id", "injection"):
