@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from importlib.metadata import distribution
 
 import numpy as np
 import public_tokenizers
@@ -191,6 +192,39 @@ def test_license_scan(spark):
     assert license_scan(files.limit(0)).count() == 0
 
 
+def test_license_scan_real_files(spark):
+    def installed(package, name):
+        """A real licence file of an installed package."""
+        (f,) = [f for f in distribution(package).files if str(f).endswith(name)]
+        return f.read_text()
+
+    mit, apache, bsd = installed("pluggy", "LICENSE"), installed("requests", "LICENSE"), installed("idna", "LICENSE.md")
+    header = """#!/usr/bin/perl
+# Copyright (C) 1999 Some One
+#
+# This is free software: you can redistribute it and/or
+# modify it under the terms of the GNU General Public
+# License as published by the Free Software
+# Foundation, either version 3 of the License, or (at
+# your option) any later version.
+#
+# It is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied
+# warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+# PURPOSE.  See the GNU General Public License for more details.
+""" + "print 1;\n" * 60
+    rng = random.Random(5)
+    noise = [" ".join(words(rng, 60)) + " the of and to this is in or" for _ in range(40)]
+    files = {"a/LICENSE": mit, "b/LICENSE": apache, "c/LICENSE": bsd, "d/x.pl": header, "e/x.c": "// SPDX-License-Identifier: Apache-2.0\nint x;",
+             "f/x.c": "MIT License", "g/x.c": "/* SPDX-License-Identifier: Zlib OR MIT */", "a/b/y.c": "int y;",
+             "h/x.txt": " ".join(words(rng, 900)) + "\n" + mit + " ".join(words(rng, 900))} | {f"n/{i}": t for i, t in enumerate(noise)}
+    frame_ = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r.path: r.license for r in license_scan(frame_).collect()}
+    want = {"a/LICENSE": "MIT", "b/LICENSE": "Apache-2.0", "c/LICENSE": "BSD-3-Clause", "d/x.pl": "GPL-3.0", "e/x.c": "Apache-2.0",
+            "f/x.c": "MIT", "g/x.c": "Zlib OR MIT", "a/b/y.c": "MIT", "h/x.txt": "MIT"}
+    assert got == want | {f"n/{i}": None for i in range(40)}
+
+
 # --------------------------------------------------------- decontamination --
 def brute_contamination(text, items, window=13):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
