@@ -342,6 +342,28 @@ def test_languages(spark):
     assert bytes(characters("A1b É!").astype(np.uint8).tolist()) == b"   a b \xe9 "
 
 
+def test_languages_in_shards(spark, monkeypatch):
+    """Many grams of a hot language take none from a small one, and change no result."""
+    rng = random.Random(16)
+    hot = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(hot) for _ in range(80)), "hot", "s", 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(["acorn", "bean", "cedar", "dahlia", "elm", "fig"]) for _ in range(8)), "small", "s", 0) for i in range(12)]
+    rows += [(2000, None, "hot", "s", 0), (2001, "12 $", None, "s", 0), (None, "elm cedar", None, "s", 0), (2002, "QJX ZZKW " * 9, None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def run():
+        return {r.id: r for r in identify_languages(docs, id_remainder(F.col("doc_id"), 4) != 2).collect()}
+
+    want = run()
+    monkeypatch.setattr("reviewloom.llm.language_id.MOST_GRAMS", 1500)
+    got = run()
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r.learned, r.lang_pred, r.rejected) == (want[k].learned, want[k].lang_pred, want[k].rejected)
+        assert r.score == pytest.approx(want[k].score) and r.entropy == (want[k].entropy and pytest.approx(want[k].entropy))
+    assert all(got[1000 + i].lang_pred == "small" for i in range(12)) and got[None].lang_pred == "small"
+
+
 # ------------------------------------------------------------- token files --
 def test_elias_fano():
     rng = np.random.default_rng(0)
