@@ -7,9 +7,9 @@ and tokens form a bipartite graph, counted over all documents.  Scores go back
 and forth: a pattern's confidence is the score of the tokens it precedes over
 their number (smoothed), a token's score is the chance that at least one of its
 patterns is right.  Tokens of high-confidence patterns are added as spans of
-the pattern's kind, but for patterns whose word mostly stands elsewhere, such
-as articles: of all occurrences of the word, a part of LEAST_SPECIFIC must
-precede an identifier.
+the pattern's kind, but for patterns that mostly stand elsewhere, such as
+articles: of all occurrences of the whole pattern (its words and what stands
+between and after them), a part of LEAST_SPECIFIC must precede an identifier.
 
 The graph has a row per distinct (pattern, token), aggregated by Spark; each
 round joins and aggregates it once.
@@ -126,20 +126,42 @@ def learn_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return conf
 
 
+#: Most last words of patterns that are broadcast; beyond, words are shuffled.
+MOST_BROADCAST = 1 << 16
+
+
+def _last_word(text: Column) -> Column:
+    """Last word in lower case without digits, as patterns have it."""
+    return F.substring_index(F.trim(F.translate(F.lower(text), "0123456789", "")), " ", -1)
+
+
 def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the ``good`` patterns (kind, pattern, confidence, seeds) of whose
-    word's occurrences in all texts enough precede a base span or a token."""
-    word = F.regexp_extract("pattern", r"(\p{L}+)\P{L}*$", 1)
-    good = stored(good.withColumn("word", word), "good")
-    before = base.select(_pattern(F.col("gap")).alias("pattern")).unionByName(free.select("pattern")) \
-        .join(good.select("pattern", "word").distinct(), "pattern").groupBy("word").agg(F.count(F.lit(1)).alias("before"))
-    if good.isEmpty():
-        return good.drop("word")
-    # counted before they are joined: a common word comes to the join once
-    words = texts.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    total = words.join(good.select("word").distinct(), "word")
-    apt = before.join(total, "word").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("word")
-    return good.join(apt, "word", "left_semi").drop("word")
+    occurrences in all texts enough precede a base span or a token.
+
+    A pattern occurs where white space ends a word and _pattern() gives it for
+    the words up to there; tokens stand only behind white space."""
+    good = stored(good, "good")
+    n = good.count()
+    if not n:
+        return good
+    patterns = good.select("pattern").distinct()
+    before = base.filter(F.col("gap").rlike(r"\s$")).select(_pattern(F.col("gap")).alias("pattern")).unionByName(free.select("pattern")) \
+        .join(patterns, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("before"))
+    # a pattern reaches over at most three words
+    none = F.lit("")
+    words = texts.select(F.split("text", r"\s+").alias("w"))
+    three = F.arrays_zip(F.concat(F.array(none, none), "w").alias("a"), F.concat(F.array(none), F.col("w"), F.array(none)).alias("b"),
+                         F.concat(F.col("w"), F.array(none, none)).alias("c"))
+    upto = words.select(F.explode(three).alias("t")).filter("t.c != ''").select(F.ltrim(F.concat_ws(" ", "t.a", "t.b", "t.c")).alias("gap"))
+    last = patterns.select(_last_word(F.col("pattern")).alias("last")).distinct()
+    ends = upto.withColumn("last", _last_word(F.col("gap"))) \
+        .join(F.broadcast(last) if n <= MOST_BROADCAST else last, "last", "left_semi")
+    # counted before they are joined: a common pattern comes to the join once
+    total = ends.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).select(_pattern(F.col("gap")).alias("pattern"), "n") \
+        .groupBy("pattern").agg(F.sum("n").alias("total"))
+    apt = before.join(total, "pattern").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("pattern")
+    return good.join(apt, "pattern", "left_semi")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -305,6 +305,21 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert sum(r.n_added for r in got.values()) == 2
 
 
+def test_bootstrap_counts_whole_patterns(spark):
+    """Contexts of several words are judged as a whole, however common their last word is."""
+    rng = random.Random(13)
+    texts = [f"my phone number is +49 30 {rng.randrange(10**6, 10**7)} so far" for _ in range(30)]
+    texts += [f"you may reach me at user{i}@mail{i}.example.org or so" for i in range(30)]
+    texts += ["it is what it is and she is at home, at rest, at last " * 20 for _ in range(30)]
+    texts += [f"and it is item{i} at place{i} now" for i in range(30)]
+    texts += ["my phone number is 030/9988-77 today", "do reach me at jane7(at)host today"]
+    got = {r.id: r for r in find_personal_data(frame(spark, texts)).collect()}
+    for i, (kind, token) in ((120, ("phone", "030/9988-77")), (121, ("email", "jane7(at)host"))):
+        k, a, z = got[i].added.split(":")
+        assert (k, texts[i][int(a):int(z)]) == (kind, token)
+    assert sum(r.n_added for r in got.values()) == 2
+
+
 # ----------------------------------------------------- quality and language --
 def test_quality(spark):
     rng = random.Random(4)
