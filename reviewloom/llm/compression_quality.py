@@ -9,7 +9,7 @@ curve over both, fitted on labelled texts that built no dictionary, gives a
 calibrated score.
 
 Dictionaries and curve come from bounded samples of labelled rows (SAMPLE_ROWS and
-SAMPLE_BYTES a class); scoring covers every whole text.
+SAMPLE_BYTES a class, SPREAD pieces of a long text); scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SAMPLE_BYTES = 6 << 20
 #: Bytes of a dictionary and of a piece of text.
 DICTIONARY = 64 << 10
 PIECE = 2 << 10
+#: A longer text gives so many pieces, spread evenly over it, to the sample.
+SPREAD = 16
 LEVEL = 3
 
 
@@ -104,13 +106,18 @@ def _samples(docs: DataFrame, known: DataFrame) -> tuple[dict[int, int], dict[in
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [labelled.filter(F.col("label") == k).orderBy("key", "id").limit(SAMPLE_ROWS) for k in (0, 1)]
     drawn = stored(drawn[0].unionByName(drawn[1]).dropDuplicates(["id"]), "drawn")
-    texts = stored(docs.join(F.broadcast(drawn), "id").select("label", "key", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "samples")
+    data = docs.join(F.broadcast(drawn), "id").select("label", "key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    room = F.octet_length("text") - PIECE
+    spread = F.concat(*[F.substr(F.col("text"), F.floor(room * i / (SPREAD - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(SPREAD)])
+    texts = stored(data.withColumn("text", F.when(room > PIECE * (SPREAD - 1), spread).otherwise(F.col("text"))), "samples")
     taken: dict[int, list[bytes]] = {}
     for label in (0, 1):
         size, got = 0, []
         for r in texts.filter(F.col("label") == label).orderBy("key").select("text").toLocalIterator():
-            if got and size + len(r.text) > SAMPLE_BYTES or len(got) == SAMPLE_ROWS:
+            if len(got) == SAMPLE_ROWS:
                 break
+            if size + len(r.text) > SAMPLE_BYTES:  # a shorter one may fit
+                continue
             size += len(r.text)
             got.append(bytes(r.text))
         taken[label] = got

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.arc_to_warc import ArcRecord, arc_header, arc_record, members, pages_to_warc, read_arc, read_warc, sha1_base32, warc_record
 from reviewloom.llm.block_naming import exact_duplicates
-from reviewloom.llm.common import MIN_SPLITS, id_remainder, prepare, shingle_set, word_count
-from reviewloom.llm.compression_quality import classify_quality
+from reviewloom.llm.common import MIN_SPLITS, id_remainder, prepare, scratch_path, shingle_set, word_count
+from reviewloom.llm.compression_quality import PIECE, SAMPLE_BYTES, SPREAD, _samples, classify_quality
 from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.jaccard_join import jaccard_components
 from reviewloom.llm.language_id import characters, identify_languages
@@ -340,6 +340,20 @@ def test_quality(spark):
     assert {r.score for r in classify_quality(docs, labels.limit(0), out).collect()} == {0.5}
 
 
+def test_quality_sample_with_long_texts(spark):
+    """A text of more than the sample's bytes in first place leaves the others in."""
+    ids = spark.range(60).orderBy(F.xxhash64(F.col("id").cast("string"))).toPandas()["id"].tolist()
+    texts = [f"text {i} " * 30 for i in range(60)]
+    texts[ids[0]] = "".join(f"long {i} " for i in range(700_000))
+    assert len(texts[ids[0]]) > SAMPLE_BYTES
+    docs = frame(spark, texts).select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held_out"))
+    known = spark.range(60).select("id", (F.col("id") == -1).cast("int").alias("label"))
+    counts, taken = _samples(docs, known)
+    assert counts == {0: 60} and len(taken[0]) == 60 and not taken[1]
+    long = taken[0][0]
+    assert len(long) == SPREAD * PIECE and texts[ids[0]].encode().startswith(long[:PIECE]) and texts[ids[0]].encode().endswith(long[-PIECE:])
+
+
 def test_languages(spark):
     rng = random.Random(6)
     parts = {"en": ["th", "er", "ing", "and", "of"], "fr": ["eau", "é", "ou", "ment", "què"], "el": ["αλ", "φα", "βη", "τα", "ος"]}
