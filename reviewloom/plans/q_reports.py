@@ -377,7 +377,7 @@ register("weekly_clusters", _weekly_clusters_sql())(q_weekly_clusters)
 def q_run_audit(spark, sf_dir):
     """Per product-week audit row (ingested, short, redacted, clusters,
     noise, token estimate, quote outcomes); rows-only check."""
-    return _weekly(spark, sf_dir)["run_audit"]
+    return _weekly(spark, sf_dir)["run_audit"].drop("n_without_vector", "n_zero_vector")
 
 
 register("run_audit")(q_run_audit)  # SQL oracle attached below, after its helpers

@@ -15,6 +15,7 @@ run-log row always implies a stored report.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +82,24 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                     existing_sections: DataFrame | None = None, recipients: DataFrame | None = None,
                     doc_id: str = "doc-id", environment: str = "development", generated_on: str = "2024-06-01",
                     run_ts: str = "2024-06-01 00:00:00", keep_zero_vectors: bool = False,
-                    upper_bound: bool = True, block_size: int = 2048) -> dict[str, DataFrame]:
+                    upper_bound: bool = True, block_size: int = 2048,
+                    embedder: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """``embedder`` gives rows (product, review_id, content) an ``embedding`` in the
+    space of the given vectors; it gets the scrubbed reviews that have none or
+    a zero one.  Without it they take no part in clusters and are counted
+    in ``run_audit`` (n_without_vector, n_zero_vector)."""
     spark = reviews.sparkSession
     todo, x, audit, skipped_empty, scrubbed = window_stage(reviews, requests, run_log, min_words, upper_bound)
 
     kept = x.filter(F.col("long_enough"))
     has_vec = F.col("embedding").isNotNull() & ~vectors.is_zero_vector("embedding")
+    if embedder is not None:
+        lacking = scrubbed.filter(F.col("long_enough") & ~has_vec).select("product", "review_id", "content")
+        made = embedder(lacking).select("product", "review_id", F.col("embedding").cast("array<float>").alias("__made"))
+        kept = materialize(kept.join(materialize(made), ["product", "review_id"], "left")
+                           .withColumn("embedding", F.when(has_vec, F.col("embedding")).otherwise(F.coalesce("__made", "embedding"))).drop("__made"))
+    lost = kept.groupBy(*KEY).agg(F.count_if(F.col("embedding").isNull()).alias("n_without_vector"),
+                                  F.count_if(F.col("embedding").isNotNull() & vectors.is_zero_vector("embedding")).alias("n_zero_vector"))
     pts = kept if keep_zero_vectors else kept.filter(has_vec)
     pts = pts.withColumn("embedding", F.coalesce(F.col("embedding"), F.array().cast("array<float>")))
     assigned = dbscan(pts.select(*KEY, "review_id", "ord", "embedding"), eps, min_pts, "review_id", "embedding",
@@ -138,7 +151,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
         F.count_if(F.col("outcome") == "recovered").alias("quotes_modified"),
         F.count_if(F.col("outcome") == "discarded").alias("quotes_discarded"))
     subst = roll.groupBy(*KEY).agg(F.count_if("substituted").alias("quotes_substituted"))
-    run_audit = audit.join(cl, KEY, "left").join(tok, KEY, "left").join(qc, KEY, "left") \
+    run_audit = audit.join(lost, KEY, "left").join(cl, KEY, "left").join(tok, KEY, "left").join(qc, KEY, "left") \
                      .join(subst, KEY, "left").fillna(0)
     return {"todo": todo, "audit": audit, "run_audit": run_audit, "skipped_empty": skipped_empty, "assignments": assigned,
             "sample": sample, "prompts": prompts, "themes": themes, "quote_checks": checks,
