@@ -71,7 +71,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every row, from the token files."""
     prepare(spark)
-    return encode_documents(docs, TOKENIZER, END_ID).withColumnRenamed("id", "doc_id")
+    return encode_documents(docs, TOKENIZER, END_ID, special=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -94,7 +94,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as files and read back."""
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_documents(docs, TOKENIZER, END_ID).withColumnRenamed("id", "doc_id")
+    return encode_documents(docs, TOKENIZER, END_ID, special=True).withColumnRenamed("id", "doc_id")
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

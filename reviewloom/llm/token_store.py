@@ -182,19 +182,23 @@ class WordCache:
     its own.  So texts without adjacent or outer white space are cut there and
     the words' ids come from a cache.  A new word in Latin script is cut by the
     pre-tokenizer's pattern and goes to the tokenizer's model directly; other
-    words and texts are encoded whole by the tokenizer."""
+    words and texts are encoded whole by the tokenizer, as are texts with an
+    added token's content.  ``special`` takes special tokens' contents in a
+    text as those tokens, which is the library's default; else they are ordinary text."""
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
-        self.tokenizer.encode_special_tokens = True
+        if not special:
+            self.tokenizer.encode_special_tokens = True
         about = json.loads(self.tokenizer.to_str())
         cut = about["pre_tokenizer"] or {}
         self.byte_level = about["model"]["type"] == "BPE" and not about["normalizer"] and cut.get("type") == "ByteLevel" \
             and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.added = [t["content"] for t in about["added_tokens"] if special or not t["special"]]
         self.model, self.cut, self.chars = self.tokenizer.model, regex.compile(_PATTERN).findall, _byte_characters()
         self.pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
         self.feed = self.whole(["\n"])[0]
@@ -210,7 +214,7 @@ class WordCache:
         return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{self.width}").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.byte_level or _ODD_SPACE(text):
+        if not self.byte_level or _ODD_SPACE(text) or any(t in text for t in self.added):
             return self.whole([text])[0]
         first, after, out = self.first, self.after_space.__getitem__, []
         for line in text.split("\n"):
@@ -223,14 +227,14 @@ class WordCache:
         return self.feed.join(out)
 
 
-_cache: dict[tuple[str, int], WordCache] = {}
+_cache: dict[tuple[str, int, bool], WordCache] = {}
 
 
-def _write(path: str, end_id: int, width: int, folder: str, file_ids: int):
+def _write(path: str, end_id: int, width: int, folder: str, file_ids: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, width) not in _cache:
-            _cache[path, width] = WordCache(path, width)
-        cache = _cache[path, width]
+        if (path, width, special) not in _cache:
+            _cache[path, width, special] = WordCache(path, width, special)
+        cache = _cache[path, width, special]
         part, end = TaskContext.get().partitionId(), int(end_id).to_bytes(width, "little")
         docs: list[int | None] = []
         lengths: list[int] = []
@@ -260,12 +264,13 @@ def _write(path: str, end_id: int, width: int, folder: str, file_ids: int):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-                 folder: str | None = None, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
+                 folder: str | None = None, file_ids: int = FILE_IDS, special: bool = False) -> tuple[str, DataFrame]:
     """Write token files in ascending id order (null ids first; rows that
     repeat an id in the order of their texts' hashes); returns their folder and
     the manifest (file, part, no, n_docs, n_ids, base), ``base`` being the ids
     in all files before.  ``tokenizer`` is the path of a tokenizer file that
-    every executor can read.  Null texts are empty and get the end id alone."""
+    every executor can read; ``special`` is that of WordCache.  Null texts are
+    empty and get the end id alone."""
     from tokenizers import Tokenizer
 
     spark = prepare(docs.sparkSession)
@@ -274,7 +279,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     manifest = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order)
-                      .mapInArrow(_write(tokenizer, end_id, width, folder, file_ids),
+                      .mapInArrow(_write(tokenizer, end_id, width, folder, file_ids, special),
                                   "file string, part int, no int, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return folder, manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
@@ -300,7 +305,8 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
         _read(folder), "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                     special: bool = False) -> DataFrame:
     """Write all documents as token files and read them back."""
-    folder, manifest = write_tokens(docs, tokenizer, end_id, id_col, text_col)
+    folder, manifest = write_tokens(docs, tokenizer, end_id, id_col, text_col, special=special)
     return read_tokens(folder, stored(manifest, "bases"))

@@ -417,6 +417,22 @@ def test_word_cache_equals_whole_encoding():
     assert [cache.encode(t) for t in texts] == cache.whole(texts) == [cache.encode(t) for t in texts]
 
 
+def test_special_tokens_as_the_library_encodes(spark):
+    from tokenizers import Tokenizer
+
+    from reviewloom.llm.queries import op9_token_files
+
+    t = Tokenizer.from_file(TOKENIZER)
+    rows = list(enumerate([*ODD_TEXTS, "x <|endoftext|> y", "a<|endoftext|>b c", "plain words here"]))
+    assert len(t.encode("x <|endoftext|> y", add_special_tokens=False).ids) == 4
+    path = scratch_path(prepare(spark), "tables")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op9_token_files(spark, path).collect()}
+    for i, x in rows:
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_encode_documents(spark):
     from tokenizers import Tokenizer
 
