@@ -13,9 +13,12 @@ from .compression_quality import classify_quality
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
-from .license_scan import TEMPLATES, license_scan
+from .license_scan import license_scan
+from .merkle_manifest import folded, leaf_digest, merkle_manifest, siblings_text
 from .mixing import mix_sources
 from .pii_bootstrap import find_personal_data
+from .spelling_variants import spelling_variants
+from .substring_dedup import repeated_passages
 from .token_store import encode_documents
 
 #: The id that ends each document in op9 and the pipeline's last stage.
@@ -104,6 +107,33 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each document; every fifth one's text is tampered with and checked."""
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), 5) == 0),
+                      leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lowered))
+    found = merkle_manifest(docs, leaf_digest(*[F.col(c) for c in docs.columns]), keep={"tampered": tampered})
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                        F.sha2(siblings_text(F.col("path")), 256).alias("proof_sha256"),
+                        folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document outside the 50-word windows that an earlier document has too."""
+    prepare(spark)
+    found = repeated_passages(read_table(spark, sf_dir, "documents", "doc_id", "text"), words=50)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with the near word that each is most likely a spelling of."""
+    prepare(spark)
+    return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"), drop_every=97)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -113,7 +143,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_exact_dedup, op3_source_mixing, op4_license_scan, op5_decontamination,
-    op6_personal_data, op7_quality, op8_language_id, op9_token_files, op10_arc_to_warc, pipeline)}
+    op6_personal_data, op7_quality, op8_language_id, op9_token_files, op10_arc_to_warc,
+    op11_merkle_manifest, op12_substring_dedup, op13_spelling_variants, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,7 +155,11 @@ def _words(pattern: str) -> str:
     return f"regexp_extract_all({_LOWER}, '{pattern}')"
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    bit = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))"
+    data = (f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))")
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: {bit}), 4294967295)"
 
 ORACLES = {
     "op1_ngram_jaccard_join": f"""
@@ -183,4 +218,60 @@ d AS (SELECT page_id, url, octet_length(b) AS payload_bytes, min(page_id) OVER (
       FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS hit,
+       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+f AS (SELECT *, {" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM d),
+h AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS low_leaf, hit FROM f),
+-- the trees of the sources
+a AS (SELECT 0 AS l, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, leaf AS hash, doc_id FROM h
+      UNION ALL
+      SELECT l + 1, source, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)), NULL FROM a WHERE n > 1 GROUP BY l, source, pos // 16),
+subs AS (SELECT source, l AS height, hash AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS pos FROM a WHERE n = 1),
+-- the tree over them
+b AS (SELECT 0 AS l, pos, (SELECT count(*) FROM subs) AS n, subroot AS hash FROM subs
+      UNION ALL
+      SELECT l + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY l, pos // 16),
+-- one list of levels for each leaf: its source's, then those above
+ways AS (SELECT h.doc_id, h.source, s.height, s.pos AS top, s.subroot, a.pos, CASE WHEN hit THEN low_leaf ELSE leaf END AS start, leaf
+         FROM h JOIN a ON a.l = 0 AND a.doc_id = h.doc_id JOIN subs s ON s.source IS NOT DISTINCT FROM h.source),
+steps AS (SELECT w.doc_id, a.l AS step, coalesce(string_agg(a.hash, '' ORDER BY a.pos) FILTER (a.pos < (w.pos >> (4 * a.l))), '') AS lft,
+                 coalesce(string_agg(a.hash, '' ORDER BY a.pos) FILTER (a.pos > (w.pos >> (4 * a.l))), '') AS rgt
+          FROM ways w JOIN a ON a.source IS NOT DISTINCT FROM w.source AND a.n > 1 AND a.pos // 16 = (w.pos >> (4 * (a.l + 1))) GROUP BY w.doc_id, a.l
+          UNION ALL
+          SELECT w.doc_id, w.height + b.l, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (b.pos < (w.top >> (4 * b.l))), ''),
+                 coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (b.pos > (w.top >> (4 * b.l))), '')
+          FROM ways w JOIN b ON b.n > 1 AND b.pos // 16 = (w.top >> (4 * (b.l + 1))) GROUP BY w.doc_id, w.height, b.l),
+proof AS (SELECT doc_id, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof FROM steps GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS step, start AS node FROM ways
+         UNION ALL SELECT f.doc_id, f.step + 1, sha256(lft || node || rgt) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.step = f.step),
+ends AS (SELECT doc_id, arg_max(node, step) AS folded FROM fold GROUP BY doc_id)
+SELECT w.doc_id, w.leaf, w.subroot, r.hash AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = r.hash AS verified
+FROM ways w JOIN ends e ON e.doc_id = w.doc_id LEFT JOIN proof p ON p.doc_id = w.doc_id JOIN b r ON r.n = 1""",
+    "op12_substring_dedup": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS a FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(a) - 48)) AS i, unnest(list_transform(range(1, len(a) - 48), lambda i: array_to_string(a[i : i + 49], ' '))) AS g FROM w WHERE len(a) >= 50),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM g JOIN f USING (g) WHERE least < doc_id),
+o AS (SELECT doc_id, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS i FROM w),
+k AS (SELECT doc_id, count(x.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (x.i IS NULL) AS kept FROM o LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+c AS (SELECT run, doc_id || ':' || run AS key, count(*) AS n FROM o GROUP BY ALL),
+h AS (SELECT run, n, {_crc32("key")} AS h FROM c),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+-- words with one code point left out, and its place
+x AS (SELECT word, unnest(range(1, length(word) + 1)) AS i, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS rest FROM w),
+p AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM x a JOIN w b ON a.rest = b.word
+      UNION SELECT b.word, a.word FROM x a JOIN w b ON a.rest = b.word),
+m AS (SELECT p.word, count(*) AS n_near, arg_min(other, (-w.n, encode(other))) AS best, max(w.n) AS best_n FROM p JOIN w ON w.word = p.other GROUP BY p.word),
+f AS (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+      FROM w LEFT JOIN m ON m.word = w.word),
+r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, e.root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) e ON e.word = f.word""",
 }
