@@ -1,7 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers.  They
-seed a bootstrap: the words before a seed form lexical patterns; a pattern also
+seed a bootstrap, together with tokens that have the shape of a secret (long
+hexadecimal keys, which are reported only if a pattern finds them): the words
+before a seed form lexical patterns; a pattern also
 precedes other identifier-like tokens (tokens with a digit or '@').  Patterns
 and tokens form a bipartite graph, counted over all documents.  Scores go back
 and forth: a pattern's confidence is the score of the tokens it precedes over
@@ -31,7 +33,10 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = list(RULES)
+BASE = list(RULES)
+#: Kinds that have seeds by shape, but no base spans: the whole token, lower-cased.
+SHAPES = {"secret": r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}$"}
+KINDS = BASE + list(SHAPES)
 #: A text without these characters has no span of the kind.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -94,7 +99,7 @@ def base_spans(rows: DataFrame) -> DataFrame:
     """(row, text) -> (row, kind, start, end, match, gap) of the base rules: leftmost,
     not overlapping within a kind; matches that fail a check are dropped."""
     out = None
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(BASE):
         condition = F.col("text").rlike("[0-9]" if _NEEDS[kind] is None else "\\" + _NEEDS[kind])
         one = _occurrences(rows, RULES[kind], condition).filter(_valid(kind, F.col("match"))) \
             .select("row", F.lit(k).alias("kind"), "start", "end", "match", "gap")
@@ -126,13 +131,17 @@ def learn_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return conf
 
 
-#: Most last words of patterns that are broadcast; beyond, words are shuffled.
-MOST_BROADCAST = 1 << 16
+def _tails(text: Column) -> Column:
+    """For each word of ``text`` what _pattern() takes from there, digits still in it: the word, and one or two before it
+    if it has less than three code points (the second one only if both are single ones)."""
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
+    def tail(x: Column, i: Column) -> Column:
+        one, two = F.get(w, i - 1), F.get(w, i - 2)
+        short = F.concat_ws(" ", F.when((F.length(x) == 1) & (F.length(one) == 1), two), one, x)
+        return F.when(F.length(x) > 2, x).otherwise(short)
 
-def _last_word(text: Column) -> Column:
-    """Last word in lower case without digits, as patterns have it."""
-    return F.substring_index(F.trim(F.translate(F.lower(text), "0123456789", "")), " ", -1)
+    return F.transform(w, tail)
 
 
 def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFrame) -> DataFrame:
@@ -140,39 +149,30 @@ def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFram
     occurrences in all texts enough precede a base span or a token.
 
     A pattern occurs where white space ends a word and _pattern() gives it for
-    the words up to there; tokens stand only behind white space."""
+    the words up to there; tokens stand only behind white space.  All words of
+    the corpus are counted before digits are taken out and patterns joined, so
+    what is shuffled are the distinct words of a task."""
     good = stored(good, "good")
-    n = good.count()
-    if not n:
+    if good.isEmpty():
         return good
     patterns = good.select("pattern").distinct()
     before = base.filter(F.col("gap").rlike(r"\s$")).select(_pattern(F.col("gap")).alias("pattern")).unionByName(free.select("pattern")) \
         .join(patterns, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("before"))
-    # a pattern reaches over at most three words
-    none = F.lit("")
-    words = texts.select(F.split("text", r"\s+").alias("w"))
-    three = F.arrays_zip(F.concat(F.array(none, none), "w").alias("a"), F.concat(F.array(none), F.col("w"), F.array(none)).alias("b"),
-                         F.concat(F.col("w"), F.array(none, none)).alias("c"))
-    upto = words.select(F.explode(three).alias("t")).filter("t.c != ''").select(F.ltrim(F.concat_ws(" ", "t.a", "t.b", "t.c")).alias("gap"))
-    last = patterns.select(_last_word(F.col("pattern")).alias("last")).distinct()
-    ends = upto.withColumn("last", _last_word(F.col("gap"))) \
-        .join(F.broadcast(last) if n <= MOST_BROADCAST else last, "last", "left_semi")
-    # counted before they are joined: a common pattern comes to the join once
-    total = ends.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).select(_pattern(F.col("gap")).alias("pattern"), "n") \
-        .groupBy("pattern").agg(F.sum("n").alias("total"))
+    words = texts.select(F.explode(_tails(F.lower("text"))).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    total = words.select(F.trim(F.regexp_replace("tail", "[0-9]", "")).alias("pattern"), "n").groupBy("pattern").agg(F.sum("n").alias("total"))
     apt = before.join(total, "pattern").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("pattern")
     return good.join(apt, "pattern", "left_semi")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, added) for every row.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, added, n_spans) for every row.
 
     The counts and ``base_sha256`` are of the base rules; ``spans`` lists base
-    and added spans as kind:start:end (code points, end exclusive) by kind, then
-    start.  A span that the bootstrap adds has the kind of its pattern, never
-    overlaps a base span and is listed again in ``added``.  Null texts are empty
-    and have none.  Rows with null or repeated ids each get a row.  ``docs``
-    is read more than once, so must be stable."""
+    and added spans as kind:start:end (code points, end exclusive) by kind (secret last), then
+    start; ``n_spans`` counts them.  A span that the bootstrap adds has the kind of its pattern, never
+    overlaps a base span and is listed again in ``added``.  Null and empty texts
+    have none; texts of any length are read as a whole.  Rows with null or repeated ids each get a row,
+    an empty table gives none.  ``docs`` is read more than once, so must be stable.  Its other columns are ignored."""
     prepare(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -194,8 +194,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = both.withColumn("ends", ends).withColumn("begins", begins)
     free = stored(both.filter("free = 1 and (ends is null or ends <= start) and (begins is null or begins >= end)")
                   .select("row", "start", "end", "token", "pattern"), "tokens")
-    seeds = base.select("kind", _pattern(F.col("gap")).alias("pattern"), F.lower("match").alias("token")).filter("pattern is not null") \
-        .distinct().withColumn("seed", F.lit(1.0))
+    seeds = base.select("kind", _pattern(F.col("gap")).alias("pattern"), F.lower("match").alias("token")).filter("pattern is not null")
+    for k, shape in enumerate(SHAPES.values(), len(BASE)):
+        seeds = seeds.unionByName(free.filter(F.col("token").rlike(shape)).select(F.lit(k).alias("kind"), "pattern", "token"))
+    seeds = seeds.distinct().withColumn("seed", F.lit(1.0))
     seeds = stored(seeds, "seeds")
     known = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
     others = free.select("pattern", "token").distinct().join(known.select("kind", "pattern"), "pattern") \
@@ -209,18 +211,19 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = base.select("row", "kind", "start", "end", F.lit(0).alias("extra")).unionByName(added)
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     per = spans.groupBy("row").agg(
-        *[F.sum(F.when((F.col("kind") == k) & (F.col("extra") == 0), 1).otherwise(0)).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        *[F.sum(F.when((F.col("kind") == k) & (F.col("extra") == 0), 1).otherwise(0)).alias(f"n_{kind}") for k, kind in enumerate(BASE)],
         F.sort_array(F.collect_list(F.struct("kind", "start", "end", "extra", F.concat_ws(":", name, "start", "end").alias("s")))).alias("all"))
 
     def listed(condition=None):
         rows_ = F.col("all") if condition is None else F.filter("all", condition)
         return F.array_join(F.transform(rows_, lambda x: x["s"]), ",")
 
-    per = per.select("row", *[f"n_{k}" for k in KINDS], F.sha2(listed(lambda x: x["extra"] == 0), 256).alias("base_sha256"),
+    per = per.select("row", *[f"n_{k}" for k in BASE], F.sha2(listed(lambda x: x["extra"] == 0), 256).alias("base_sha256"),
                      listed().alias("spans"), F.size(F.filter("all", lambda x: x["extra"] == 1)).cast("long").alias("n_added"),
-                     listed(lambda x: x["extra"] == 1).alias("added"))
+                     listed(lambda x: x["extra"] == 1).alias("added"), F.size("all").cast("long").alias("n_spans"))
     zero = F.lit(0).cast("long")
     return rows.select("row", "id").join(per, "row", "left").select(
-        "id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS],
+        "id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in BASE],
         F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_added", zero).alias("n_added"), F.coalesce("added", F.lit("")).alias("added"))
+        F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_added", zero).alias("n_added"), F.coalesce("added", F.lit("")).alias("added"),
+        F.coalesce("n_spans", zero).alias("n_spans"))
