@@ -213,6 +213,41 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
     return run
 
 
+# -------------------------------------------------------------- components --
+#: Links that one task joins to a forest, about.
+TASK_LINKS = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (x, y) of a task -> (node, component): each node and the least node it is linked to within the task."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    links = np.concatenate(parts, 1) if parts else np.empty((2, 0), np.int64)
+    nodes, at = np.unique(links, return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:  # nodes are numbered in order, so the least number is the least node
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """Stored links (x, y) -> (node, component) for every node of a link.
+
+    Tasks of a bounded number of links join theirs to forests first.  If that takes
+    one task, its forest is the answer; else the forests' edges are joined in rounds."""
+    tasks = -(-links.count() // TASK_LINKS)
+    forest = stored(links.coalesce(max(1, tasks)).mapInArrow(_forest, "node long, component long"), "forest")
+    return forest if tasks <= 1 else stored(connected_components(forest, src="node", dst="component"), "labels")
+
+
 # ------------------------------------------------------------ verification --
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,34 +364,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = joined.filter("other is null").drop("other")
     tried = joined.filter("other is not null").select(*pair).distinct()
     links = _links(tried, classes, texts, n, num, den)
-    label = stored(connected_components(links, src="x", dst="y"), "labels")
+    label = _components(links)
 
-    def mixed() -> DataFrame:
+    def mixed(rows: DataFrame) -> DataFrame:
         """The prefix rows of tokens that more than one component holds."""
-        m = members.join(label.withColumnRenamed("node", "cid"), "cid", "left") \
-                   .withColumn("component", F.coalesce("component", "cid"))
+        m = rows.drop("component").join(label.withColumnRenamed("node", "cid"), "cid", "left") \
+                .withColumn("component", F.coalesce("component", "cid"))
         tokens = m.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
                   .filter("lo < hi").select("token")
         return stored(m.join(tokens, "token", "left_semi"), "mixed")
 
-    def linked(more: DataFrame) -> None:
-        """Verify pairs of different components and join these."""
-        nonlocal links, label
+    # once more among neighbours, then all that may still join two components.  Components
+    # only grow, so each turn looks at the tokens that the turn before left
+    need = f"({num} * (a.n + b.n) + {num + den - 1}) div {num + den}"
+    m = members
+    for turn in (1, 2):
+        m = mixed(m)
+        if m.isEmpty():
+            break
+        if turn == 1:
+            met = near(m, 1).select(*pair)
+        else:
+            met = m.alias("a").join(m.alias("b"), F.expr(
+                "a.token = b.token and a.component != b.component and (a.n < b.n or a.n = b.n and a.cid < b.cid)"
+                f" and {den}L * a.n >= {num}L * b.n and least(a.n - a.pos, b.n - b.pos) >= {need}")) \
+                .select(F.greatest("a.cid", "b.cid").alias("x"), F.least("a.cid", "b.cid").alias("y"))
+        more = stored(met.distinct().join(tried, ["x", "y"], "left_anti"), "more")
+        tried = tried.unionByName(more)
         found = _links(more, classes, texts, n, num, den)
         if not found.isEmpty():
             links = links.unionByName(found)
-            label = stored(connected_components(links, src="x", dst="y"), "labels")
-
-    # once more among neighbours, then all that may still join two components
-    again = stored(near(mixed(), 1).select(*pair).distinct().join(tried, ["x", "y"], "left_anti"), "again")
-    linked(again)
-    need = f"({num} * (a.n + b.n) + {num + den - 1}) div {num + den}"
-    m = mixed()
-    cross = m.alias("a").join(m.alias("b"), F.expr(
-        "a.token = b.token and a.component != b.component and (a.n < b.n or a.n = b.n and a.cid < b.cid)"
-        f" and {den}L * a.n >= {num}L * b.n and least(a.n - a.pos, b.n - b.pos) >= {need}")) \
-        .select(F.greatest("a.cid", "b.cid").alias("x"), F.least("a.cid", "b.cid").alias("y")).distinct()
-    linked(cross.join(tried.unionByName(again), ["x", "y"], "left_anti"))
+            label = _components(links)
 
     named = classes.select("cid", *key, "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left") \
                    .withColumn("component", F.coalesce("component", "cid"))
