@@ -161,6 +161,12 @@ def _crc32(text: str) -> str:
     data = (f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))")
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: {bit}), 4294967295)"
 
+_MIX_TURNS = "\n".join(f"""x{k} AS (SELECT *, sum(size) FILTER (NOT took AND size <= left_) OVER (PARTITION BY source ORDER BY h) AS upto FROM y{k - 1}),
+z{k} AS (SELECT *, min(h) FILTER (NOT took AND size <= left_ AND upto > left_) OVER (PARTITION BY source) AS stop FROM x{k}),
+y{k} AS (SELECT doc_id, source, h, size, source_size, target, whole, took OR (size <= left_ AND h < coalesce(stop, h + 1)) AS took,
+  CAST(left_ - coalesce(sum(size) FILTER (NOT took AND size <= left_ AND h < coalesce(stop, h + 1)) OVER (PARTITION BY source), 0) AS BIGINT) AS left_ FROM z{k}),"""
+                        for k in (1, 2, 3))
+
 ORACLES = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_words(_WORD)} AS a FROM documents),
@@ -191,10 +197,12 @@ v AS (SELECT *, first_value(rest) OVER o AS r, first_value(rest_weight) OVER o A
       WINDOW o AS (ORDER BY capped, source_size / weight ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(r AS DOUBLE) * weight / rw END AS target FROM v),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-x AS (SELECT d.*, source_size, target, whole, CAST(round(target - whole * source_size) AS BIGINT) AS budget,
-             sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto
-      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, CAST(size * least(3, whole + CASE WHEN upto <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",
+y0 AS (SELECT d.*, source_size, target, whole, CAST(round(target - whole * source_size) AS BIGINT) AS left_, false AS took FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+-- three times: by hash, those that fit into what is left, up to the first that would exceed it
+{_MIX_TURNS}
+l AS (SELECT source, min({{'miss': abs(left_ - size), 'h': h}}) AS last FROM y3 WHERE NOT took AND abs(left_ - size) < left_ GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * least(3, whole + CASE WHEN took OR (last IS NOT NULL AND last.h = h) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM y3 LEFT JOIN l ON y3.source IS NOT DISTINCT FROM l.source""",
     "op5_decontamination": f"""
 WITH b AS (SELECT item_id, {_words(_BENCH_WORD)} AS a FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(13, len(a)) AS k, unnest(list_transform(range(1, len(a) - least(13, len(a)) + 2), lambda i: array_to_string(a[i : i + least(13, len(a)) - 1], ' '))) AS g

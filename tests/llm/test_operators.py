@@ -156,10 +156,32 @@ def test_mix_sources(spark):
     mixed = Counter(r.doc_id for r in mixed_rows(docs).collect())
     assert mixed == Counter({r.id: r.copies for r in got if r.copies})
     assert mixed_rows(docs).columns == docs.columns
+    for name in sizes:  # no single document more would come nearer, nor does one less
+        mine = [r for r in got if r.source == name]
+        low = min(r.copies for r in mine)
+        gap = target[name] - taken[name]
+        assert all(abs(gap - r.size) >= abs(gap) - 1 for r in mine if r.copies == low and low < 3)
     empty = spark.createDataFrame([], DOCS)
     assert mix_sources(empty).count() == 0 and mixed_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("place", [0, 150, 299])
+def test_mix_with_a_document_above_the_budget(spark, place):
+    """A very long document anywhere in hash order costs no more than the best single step."""
+    ids = spark.range(300).orderBy(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 15)).toPandas()["id"].tolist()
+    size = {i: 10 for i in range(300)} | {ids[place]: 20_000}
+    rows = [(i, "w " * n, "en", "a", 0) for i, n in size.items()] + [(None, f"x{i} " * 50, "en", "b", 0) for i in range(600)] + [(1000, "c " * 60_000, "en", "c", 0)]
+    got = mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    # a: with all short documents, the long one is taken if that comes nearer; b: rows without id are told apart by their texts
+    gap = target["a"] % 22_990 - 2_990
+    assert gap > 0 and abs(target["a"] - taken["a"]) <= min(gap, abs(gap - 20_000)) + 1
+    assert abs(target["b"] - taken["b"]) <= 50 and len({r.copies for r in got if r.source == "b"}) == 2
+
+
 def test_scan_splits_stay_as_first_set(spark):
     prepare(spark)
     first = spark.conf.get(MIN_SPLITS)
