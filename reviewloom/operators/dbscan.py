@@ -9,16 +9,22 @@ Semantics (sequential reference behaviour):
 * cluster ids run 0.. in scan order of each cluster's first core point
   (smallest ``order_col`` among its core points), per group.
 
-Distribution: within each group the points are hashed into ``nb`` blocks
-(``nb = ceil(n_group / block_size)``) and every block pair (a <= b) becomes
-one ``applyInPandas`` task, so the n^2 distance work of a hot group is spread
-over nb(nb+1)/2 tasks of bounded size.  A task never emits all pairs:
+Distribution.  Equal vectors of a group become one point with a weight, so
+copies cost nothing.  A group of more than ``block_size`` points gets pivots,
+drawn by hash.  Every point belongs to the cell of its nearest pivot; cells
+keep their radius and are cut into blocks of bounded size.  A point x of cell a
+can have a neighbour in cell b only if it lies within eps of b's ball,
+``d(x, p_b) <= r_b + eps``, and not more than 2 eps farther from p_b than from p_a (the
+neighbour is nearer to p_b).  Points are shipped to the block pairs of such cells
+alone; all other pairs of blocks are dropped.  Each remaining pair (a <= b) is one
+``applyInPandas`` task of at most two blocks.  A task never emits all pairs:
 pass 1 emits one partial neighbour count per point, pass 2 emits a spanning
 forest of its core-core edges (<= points in the pair) and border->core edges
 (< min_pts per border point overall).  Components are then found with the
-DataFrame large-star/small-star loop.  Distances come from a float64 Gram
-matrix; pairs within a tiny band around eps are recomputed with the
-sequential sum of squares so the eps test is bit-exact.
+DataFrame large-star/small-star loop, and numbered by a range partitioning with
+counts per partition.  Distances come from a float64 Gram matrix; pairs within a
+tiny band around eps are recomputed with the sequential sum of squares so the
+eps test is bit-exact; the bounds on cells are widened by more than rounding.
 """
 
 from __future__ import annotations
@@ -33,9 +39,13 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import connected_components
-from .joins import bounded_broadcast
+from .ranks import ranked
 
 BAND = 1e-7
+#: Points of a block; also of a task that assigns points to pivots, times 8.
+BLOCK = 512
+#: Most pivots of a group; beyond, cells have several blocks.
+MOST_PIVOTS = 1024
 
 
 def _exact_dist(a: np.ndarray, b: np.ndarray) -> float:
@@ -75,6 +85,8 @@ def _vectors(df: pd.DataFrame, vec: str) -> np.ndarray:
 
 
 def _adjacency(left, right, same, vec, eps):
+    if not len(left) or not len(right):  # points may meet a block none of whose points meets theirs
+        return np.zeros((len(left), len(right)), dtype=bool)
     hit = _within(_vectors(left, vec), _vectors(right, vec), eps)
     if same:
         np.fill_diagonal(hit, False)
@@ -96,12 +108,12 @@ def _local_components(n: int, ei: np.ndarray, ej: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _local_dbscan(ids: np.ndarray, vecs: np.ndarray, eps: float, min_pts: int):
+def _local_dbscan(ids: np.ndarray, vecs: np.ndarray, weights: np.ndarray, eps: float, min_pts: int):
     """All rules inside one bounded task (points already in scan order)."""
     n = len(ids)
     hit = _within(vecs, vecs, eps) if n else np.zeros((0, 0), dtype=bool)
     np.fill_diagonal(hit, False)
-    deg = hit.sum(axis=1).astype(np.int64)
+    deg = hit @ weights + weights - 1
     core = deg >= min_pts
     ci, cj = np.nonzero(hit & core[:, None] & core[None, :])
     lab = _local_components(n, ci, cj)
@@ -124,55 +136,110 @@ def _local_dbscan(ids: np.ndarray, vecs: np.ndarray, eps: float, min_pts: int):
     return cluster, core, deg
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L2 distances, good to about 1e-7 of the norms."""
+    return np.sqrt(np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T), 0.0))
+
+
+def metric_blocks(pts: DataFrame, g: list[str], eps: float, block_size: int) -> DataFrame:
+    """Points (group..., __id, __ord, __vec, __w, __n) -> plus ``__blk``, the point's block,
+    and ``__with``, the other blocks of its group that may hold neighbours of it.
+
+    ``__n`` is the group's number of points.  Pivots meet the points in tasks of a
+    bounded number of points, so no vector goes to every block."""
+    chunks = F.ceil(F.col("__n") / F.lit(8 * block_size)).cast("int")
+    pts = pts.withColumn("__chunk", F.pmod(F.xxhash64("__id"), chunks).cast("int"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("__n") / F.lit(block_size)))
+    by_hash = Window.partitionBy(*g).orderBy(F.xxhash64("__id", F.lit(17)), "__id")
+    pivots = pts.withColumn("__cell", F.row_number().over(by_hash)).filter(F.col("__cell") <= MOST_PIVOTS) \
+        .filter(F.col("__cell") <= wanted).select(*g, "__cell", F.col("__vec").alias("__pivot"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__chunk"))
+    pivots = materialize(pivots)
+    fields = [f for f in pts.schema.fields if f.name != "__chunk"]
+    near = T.StructType(fields + [T.StructField("__chunk", T.IntegerType()), T.StructField("__cell", T.IntegerType()), T.StructField("__far", T.DoubleType())])
+
+    def assign(points: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        d = _distances(_vectors(points, "__vec"), _vectors(some, "__pivot"))
+        at = d.argmin(axis=1)
+        points["__cell"] = some["__cell"].to_numpy()[at].astype(np.int32)
+        points["__far"] = d[np.arange(len(d)), at]
+        return points[[f.name for f in near.fields]]
+
+    key = [*g, "__chunk"]
+    placed = materialize(pts.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInPandas(assign, near))
+    # a row per cell: its radius and its blocks' numbers
+    of = Window.partitionBy(*g).orderBy("__cell")
+    cells = placed.groupBy(*g, "__cell").agg(F.max("__far").alias("__radius"), F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("__parts"))
+    cells = materialize(cells.withColumn("__first", (F.sum("__parts").over(of) - F.col("__parts")).cast("int")))
+    balls = pivots.join(cells, [*g, "__cell"])
+    out = T.StructType(fields + [T.StructField("__blk", T.IntegerType()), T.StructField("__with", T.ArrayType(T.IntegerType()))])
+
+    def meet(points: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("__cell")
+        first, parts, radius = (some[c].to_numpy() for c in ("__first", "__parts", "__radius"))
+        v, p = _vectors(points, "__vec"), _vectors(some, "__pivot")
+        d = _distances(v, p)
+        slack = 1e-6 * (1.0 + np.sqrt(np.einsum("ij,ij->i", v, v)))[:, None]
+        own = np.searchsorted(some["__cell"].to_numpy(), points["__cell"].to_numpy())
+        far = points["__far"].to_numpy()[:, None]
+        ok = (d <= radius[None, :] + eps + slack) & (d <= far + 2 * eps + slack)
+        ok[np.arange(len(own)), own] = True
+        blk = first[own] + points["__part"].to_numpy() % parts[own]
+        blocks = [np.arange(a, a + n) for a, n in zip(first, parts)]
+        points["__blk"] = blk.astype(np.int32)
+        points["__with"] = [np.concatenate([blocks[c] for c in np.flatnonzero(row)]).astype(np.int32) for row in ok]
+        points["__with"] = [w[w != b] for w, b in zip(points["__with"], blk)]
+        return points[[f.name for f in out.fields]]
+
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 30)))
+    return materialize(placed.groupBy(*key).cogroup(balls.groupBy(*key)).applyInPandas(meet, out))
+
+
 def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: str, order_col: str,
-           group_cols: list[str] | None = None, block_size: int = 2048) -> DataFrame:
+           group_cols: list[str] | None = None, block_size: int = BLOCK) -> DataFrame:
     """Return (group..., id, cluster_id INT, is_core BOOLEAN, n_neighbors LONG)."""
-    g = list(group_cols or [])
+    if not group_cols:
+        out = dbscan(points.withColumn("__all", F.lit(0)), eps, min_pts, id_col, vec_col, order_col, ["__all"], block_size)
+        return out.drop("__all")
+    g = list(group_cols)
     if not isinstance(points.schema[id_col].dataType, T.LongType):  # such as string ids: an integer stands for each point
         keyed = materialize(points.withColumn("__key", F.monotonically_increasing_id()))
         out = dbscan(keyed, eps, min_pts, "__key", vec_col, order_col, group_cols, block_size)
         return out.join(keyed.select("__key", id_col), "__key").select(*g, id_col, "cluster_id", "is_core", "n_neighbors")
-    spark = points.sparkSession
-    pts = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
+    # equal vectors are one point: its first id and order, and how many they are
+    raw = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
                                     F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("__vec")))
-    if g:
-        sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-        sizes = sizes.select(*g, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(block_size))).cast("int")
-                             .alias("__nb"))
-        pts = pts.join(bounded_broadcast(sizes), g, "inner")
-    else:
-        n = pts.count()
-        pts = pts.withColumn("__nb", F.lit(max(1, math.ceil(n / block_size))).cast("int"))
-    pts = materialize(pts.withColumn("__blk", F.pmod(F.xxhash64("__id"), F.col("__nb")).cast("int")))
+    pts = materialize(raw.groupBy(*g, "__vec").agg(F.min("__id").alias("__id"), F.min("__ord").alias("__ord"), F.count(F.lit(1)).alias("__w")))
+    one_of = raw.join(pts.select(*g, "__vec", F.col("__id").alias("__point")), [*g, "__vec"]).select(*g, "__id", "__point")
+    sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+    pts = materialize(pts.join(sizes, g))
     key_fields = [points.schema[c] for c in g]
-    out_schema = T.StructType(key_fields + [T.StructField(id_col, T.LongType()), T.StructField("cluster_id", T.IntegerType()),
+    out_schema = T.StructType(key_fields + [T.StructField("__point", T.LongType()), T.StructField("cluster_id", T.IntegerType()),
                                             T.StructField("is_core", T.BooleanType()),
                                             T.StructField("n_neighbors", T.LongType())])
 
-    # ---- groups that fit one block: the whole clustering in one bounded task
+    def for_all(found: DataFrame) -> DataFrame:
+        """One row per point; read by every later stage."""
+        return materialize(one_of.join(found, [*g, "__point"]).select(*g, F.col("__id").alias(id_col), "cluster_id", "is_core", "n_neighbors"))
+
+    # ---- groups of one block: a block has all neighbours of its points, so one task does all passes
     def local_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__r", kind="stable")
-        cl, core, deg = _local_dbscan(pdf["__id"].to_numpy(), _vectors(pdf, "__vec"), eps, min_pts)
-        out = pd.DataFrame({id_col: pdf["__id"].to_numpy(dtype=np.int64), "cluster_id": cl.astype(np.int32),
+        pdf = pdf.sort_values(["__ord", "__id"], kind="stable")
+        cl, core, deg = _local_dbscan(pdf["__id"].to_numpy(), _vectors(pdf, "__vec"), pdf["__w"].to_numpy(), eps, min_pts)
+        out = pd.DataFrame({"__point": pdf["__id"].to_numpy(dtype=np.int64), "cluster_id": cl.astype(np.int32),
                             "is_core": core, "n_neighbors": deg})
         for c in g:
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in out_schema.fields]]
 
-    small = pts.filter(F.col("__nb") == 1)
-    w_small = Window.partitionBy(*g).orderBy("__ord") if g else Window.orderBy("__ord")
-    small = small.withColumn("__r", F.row_number().over(w_small)).select(*g, "__id", "__vec", "__r")
-    local_out = (small.groupBy(*g).applyInPandas(local_fn, out_schema) if g
-                 else small.withColumn("__one", F.lit(0)).groupBy("__one")
-                      .applyInPandas(lambda pdf: local_fn(pdf.drop(columns="__one")), out_schema))
-    pts = pts.filter(F.col("__nb") > 1)
-    if pts.limit(1).count() == 0:
-        return materialize(local_out)
+    local_out = pts.filter(F.col("__n") <= block_size).groupBy(*g).applyInPandas(local_fn, out_schema)
+    pts = pts.filter(F.col("__n") > block_size)
+    if pts.isEmpty():
+        return for_all(local_out)
+    pts = metric_blocks(pts, g, eps, block_size)
 
     def replicate(df):
-        j = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
-        r = df.withColumn("__j", j)
-        return r.withColumn("__a", F.least("__blk", "__j")).withColumn("__b", F.greatest("__blk", "__j")).drop("__j")
+        r = df.withColumn("__j", F.explode(F.concat(F.array("__blk"), "__with")))
+        return r.withColumn("__a", F.least("__blk", "__j")).withColumn("__b", F.greatest("__blk", "__j")).drop("__j", "__with")
 
     # ---- pass 1: neighbour counts
     count_schema = T.StructType(key_fields + [T.StructField("__id", T.LongType()), T.StructField("__cnt", T.LongType())])
@@ -181,15 +248,16 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
         a, b, left, right = _pair_sets(pdf)
         hit = _adjacency(left, right, a == b, "__vec", eps)
         keys = {c: pdf[c].iloc[0] for c in g}
-        parts = [pd.DataFrame({"__id": left["__id"].to_numpy(), "__cnt": hit.sum(axis=1).astype(np.int64)})]
+        lw, rw = left["__w"].to_numpy(), right["__w"].to_numpy()
+        parts = [pd.DataFrame({"__id": left["__id"].to_numpy(), "__cnt": hit @ rw + (lw - 1 if a == b else 0)})]
         if a != b:
-            parts.append(pd.DataFrame({"__id": right["__id"].to_numpy(), "__cnt": hit.sum(axis=0).astype(np.int64)}))
+            parts.append(pd.DataFrame({"__id": right["__id"].to_numpy(), "__cnt": lw @ hit}))
         out = pd.concat(parts, ignore_index=True)
         for c in g:
             out[c] = keys[c]
         return out[[f.name for f in count_schema.fields]]
 
-    rep = replicate(pts.select(*g, "__id", "__vec", "__blk", "__nb"))
+    rep = replicate(pts.select(*g, "__id", "__vec", "__w", "__blk", "__with"))
     counts = rep.groupBy(*g, "__a", "__b").applyInPandas(count_fn, count_schema) \
                 .groupBy(*g, "__id").agg(F.sum("__cnt").alias("__deg"))
     pts2 = materialize(pts.join(counts, [*g, "__id"]).withColumn("__core", F.col("__deg") >= F.lit(min_pts)))
@@ -238,7 +306,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in edge_schema.fields]]
 
-    rep2 = replicate(pts2.select(*g, "__id", "__vec", "__blk", "__nb", "__core"))
+    rep2 = replicate(pts2.select(*g, "__id", "__vec", "__blk", "__with", "__core"))
     edges = materialize(rep2.groupBy(*g, "__a", "__b").applyInPandas(edge_fn, edge_schema))
 
     # ---- clusters: components of core points
@@ -248,8 +316,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     core_comp = cores.join(comps, [*g, "__id"], "left") \
                      .withColumn("component", F.coalesce(F.col("component"), F.col("__id")))
     firsts = core_comp.groupBy(*g, "component").agg(F.min("__ord").alias("__first"))
-    w = Window.partitionBy(*g).orderBy(F.col("__first")) if g else Window.orderBy(F.col("__first"))
-    numbered = firsts.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).drop("__first")
+    numbered = ranked(firsts, g, ["__first"]).select(*g, "component", F.col("rank").cast("int").alias("cluster_id"))
     core_cluster = core_comp.join(numbered, [*g, "component"]).select(*g, "__id", "cluster_id")
 
     # ---- border points: smallest adjacent cluster id
@@ -260,10 +327,10 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     out = pts2.select(*g, "__id", "__core", "__deg") \
               .join(core_cluster, [*g, "__id"], "left") \
               .join(border, [*g, "__id"], "left")
-    out = out.select(*g, F.col("__id").alias(id_col),
+    out = out.select(*g, F.col("__id").alias("__point"),
                      F.coalesce(F.col("cluster_id"), F.col("__border_cluster"), F.lit(-1)).cast("int").alias("cluster_id"),
                      F.col("__core").alias("is_core"), F.col("__deg").cast("long").alias("n_neighbors"))
-    return materialize(out.unionByName(local_out))  # one row per point; read by every later stage
+    return for_all(out.unionByName(local_out))
 
 
 def cluster_stats(assigned: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -272,4 +339,4 @@ def cluster_stats(assigned: DataFrame, group_cols: list[str] | None = None) -> D
     return assigned.groupBy(*g, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
-__all__ = ["dbscan", "cluster_stats"]
+__all__ = ["dbscan", "metric_blocks", "cluster_stats"]

@@ -25,7 +25,7 @@ from ..session import materialize
 
 from ..functions import scrub, text, vectors, weeks
 from ..operators.centroid import fallback_quotes, nearest_to_centroid
-from ..operators.dbscan import dbscan
+from ..operators.dbscan import BLOCK, dbscan
 from ..operators.quotes import validate_quotes
 from ..operators.render import render_report
 from ..operators.reports import RUN_LOG_COLUMNS, plan_outbox, plan_sections, planned_mail_id, runs_to_do
@@ -82,7 +82,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                     existing_sections: DataFrame | None = None, recipients: DataFrame | None = None,
                     doc_id: str = "doc-id", environment: str = "development", generated_on: str = "2024-06-01",
                     run_ts: str = "2024-06-01 00:00:00", keep_zero_vectors: bool = False,
-                    upper_bound: bool = True, block_size: int = 2048,
+                    upper_bound: bool = True, block_size: int = BLOCK,
                     embedder: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """``embedder`` gives rows (product, review_id, content) an ``embedding`` in the
     space of the given vectors; it gets the scrubbed reviews that have none or

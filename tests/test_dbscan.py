@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators.components import connected_components
-from reviewloom.operators.dbscan import dbscan
+from reviewloom.operators.dbscan import dbscan, metric_blocks
+from reviewloom.operators.ranks import ranked
 from reviewloom.sources.tables import embeddings_view
 
 from .conftest import SF_SMALL
@@ -106,3 +107,51 @@ def test_string_ids_and_large_norms(spark):
         out = {r.id: r for r in dbscan(df, 1e-4, 3, "id", "v", "ord", block_size=block).collect()}
         assert [out[f"r-{i}"].cluster_id for i in range(20)] == [i // 5 for i in range(20)]
         assert {r.n_neighbors for r in out.values()} == {4}
+
+
+def planted(seed, copies):
+    """Points in and around 12 small clouds of the plane, a third of them copies of one point."""
+    rng = np.random.default_rng(seed)
+    centres = rng.uniform(0, 40, (12, 2))
+    v = np.concatenate([c + rng.normal(0, 0.4, (40, 2)) for c in centres] + [rng.uniform(0, 40, (60, 2)), np.repeat(centres[:1], copies, 0)])
+    order = rng.permutation(len(v))
+    return [(int(i), [float(x) for x in v[i]], int(o)) for o, i in enumerate(order)]
+
+
+@pytest.mark.parametrize("block_size", [16, 100, 5000])
+def test_pivots_and_copies(spark, block_size):
+    rows = planted(3, 250)
+    df = spark.createDataFrame(rows, "id long, v array<double>, ord long")
+    got = {r.id: r for r in dbscan(df, 0.5, 4, "id", "v", "ord", block_size=block_size).collect()}
+    want = defined_dbscan([r[1] for r in rows], 0.5, 4)
+    assert [got[r[0]].cluster_id for r in rows] == want
+    v = np.array([r[1] for r in rows])
+    near = (np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) <= 0.5).sum(1) - 1
+    assert [got[r[0]].n_neighbors for r in rows] == near.tolist()
+
+
+def test_blocks_that_cannot_meet_are_dropped(spark):
+    rows = [(0, i, v, o, 1) for i, v, o in planted(4, 0)]
+    pts = spark.createDataFrame(rows, "g int, __id long, __vec array<double>, __ord long, __w long").withColumn("__n", F.lit(len(rows)))
+    got = metric_blocks(pts, ["g"], 0.5, 20).collect()
+    assert len(got) == len(rows)
+    blocks = {r["__blk"] for r in got}
+    met = {tuple(sorted((r["__blk"], b))) for r in got for b in r["__with"]}
+    assert len(met) < 0.35 * len(blocks) * (len(blocks) - 1) / 2  # pairs dropped
+    assert sum(len(r["__with"]) for r in got) < 0.25 * len(rows) * len(blocks)  # no vector goes everywhere
+    assert max(sum(r["__blk"] == b for r in got) for b in blocks) <= 40
+    # no neighbour is lost
+    for r in got:
+        for s in got:
+            if np.hypot(r["__vec"][0] - s["__vec"][0], r["__vec"][1] - s["__vec"][1]) <= 0.5:
+                assert r["__blk"] == s["__blk"] or s["__blk"] in r["__with"]
+
+
+def test_ranked(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if x == 3 else int(x), int(o)) for x, o in zip(rng.choice([0, 0, 0, 0, 1, 2, 3], 3000), rng.permutation(3000))]
+    got = ranked(spark.createDataFrame(rows, "g int, o int").repartition(7), ["g"], ["o"]).collect()
+    by = {}
+    for g, o in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(g, []).append(o)
+    assert sorted(((r.g, r.o, r.rank) for r in got), key=str) == sorted(((g, o, k) for g, v in by.items() for k, o in enumerate(v)), key=str)
