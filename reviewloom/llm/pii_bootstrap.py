@@ -131,11 +131,14 @@ def learn_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return conf
 
 
-def _tails(text: Column) -> Column:
-    """For each word of ``text`` what _pattern() takes from there, digits still in it: the word, and one or two before it
-    if it has less than three code points (the second one only if both are single ones)."""
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+def words_of(text: Column) -> Column:
+    """The words of a text, split at white space."""
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
+
+def _tails(w: Column) -> Column:
+    """For each word of the column ``w`` of words what _pattern() takes from there, digits still in it: the word, and one or
+    two before it if it has less than three code points (the second one only if both are single ones)."""
     def tail(x: Column, i: Column) -> Column:
         one, two = F.get(w, i - 1), F.get(w, i - 2)
         short = F.concat_ws(" ", F.when((F.length(x) == 1) & (F.length(one) == 1), two), one, x)
@@ -158,7 +161,7 @@ def _specific(good: DataFrame, base: DataFrame, free: DataFrame, texts: DataFram
     patterns = good.select("pattern").distinct()
     before = base.filter(F.col("gap").rlike(r"\s$")).select(_pattern(F.col("gap")).alias("pattern")).unionByName(free.select("pattern")) \
         .join(patterns, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("before"))
-    words = texts.select(F.explode(_tails(F.lower("text"))).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(words_of(F.lower("text")).alias("w")).select(F.explode(_tails(F.col("w"))).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
     total = words.select(F.trim(F.regexp_replace("tail", "[0-9]", "")).alias("pattern"), "n").groupBy("pattern").agg(F.sum("n").alias("total"))
     apt = before.join(total, "pattern").filter(F.col("before") >= LEAST_SPECIFIC * F.col("total")).select("pattern")
     return good.join(apt, "pattern", "left_semi")

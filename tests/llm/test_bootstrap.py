@@ -115,7 +115,7 @@ def test_words_of_the_corpus_as_patterns(spark):
     texts = ["".join(rng.choice("ab1:= \n\té=") for _ in range(rng.randrange(40))) for _ in range(1500)]
     texts = [t for t in texts if t.strip()]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    tails = {r.id: r.t for r in df.select("id", F.transform(pii._tails(F.lower("text")), lambda x: F.trim(F.regexp_replace(x, "[0-9]", ""))).alias("t")).collect()}
+    tails = {r.id: r.t for r in df.select("id", pii.words_of(F.lower("text")).alias("w")).select("id", F.transform(pii._tails(F.col("w")), lambda x: F.trim(F.regexp_replace(x, "[0-9]", ""))).alias("t")).collect()}
     ups = spark.createDataFrame([(i, k, " ".join(t.split()[:k + 1]) + " ") for i, t in enumerate(texts) for k in range(len(t.split()))], "id long, k int, gap string")
     for r in ups.select("id", "k", pii._pattern(F.col("gap")).alias("p")).collect():
         tail = tails[r.id][r.k]
