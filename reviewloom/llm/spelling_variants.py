@@ -6,14 +6,14 @@ as rare as the third); among them dynamic programming chooses the two disjoint o
 the pivots, that are rarest together.  One edit changes at most one of two
 disjoint bigrams, so of two near words the one whose prefix ends earlier has
 a pivot that stands in the other's prefix.  Pivots are therefore looked up among
-prefix bigrams only, with position limits: the edit lies before or after the
-shared bigram, the untouched side (bigram included) is equal in both words, and
-the lengths differ by one at most.  Pairs found are verified by edit distance,
-once per pair.
+prefix bigrams only, with position limits: the edit lies before, in, between or behind
+the pivots, each place leaves one of them where it was, counted from the word's start or
+end, together with what lies on the far side of the edit; and the lengths differ by one at
+most.  Pairs found are verified by edit distance, once per pair.
 
 The words are counted first, so a word that makes up a third of the corpus is one
-row.  The join's keys hold the untouched side, not the bigram alone, so no group
-grows with the corpus by much more than its own near words.
+row.  The join's keys hold the untouched parts, not the bigram alone, so groups are
+small: mostly a word's own near words.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored
 
-# The runs that are words, after lower-casing A-Z.
-RUNS = r"[a-zÀ-ÿ]+"
+# The runs that are words; A-Z are lower-cased.
+RUNS = r"[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 2
 #: Edits, disjoint pivots (one more) and the bigrams of a prefix.
@@ -37,9 +37,9 @@ def corpus_words(docs: DataFrame, id_col: str, text_col: str, every: int | None)
 
     With ``every``, a run loses one code point where ``every`` divides the crc32 of
     ``<id>:<run>``; its place is that crc32 modulo the run's length."""
-    lowered = F.translate(F.col(text_col).cast("string"), _UPPER, _LOWER)
     runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
-                       F.explode(F.regexp_extract_all(lowered, F.lit(RUNS), 0)).alias("run"))
+                       F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUNS), 0)).alias("run"))
+    runs = runs.withColumn("run", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", _UPPER, _LOWER)).otherwise(F.col("run")))
     if every:
         h = F.crc32(F.concat("id", F.lit(":"), "run"))
         at = (h % F.length("run")).cast("int")
@@ -79,8 +79,8 @@ def _best_pivots(grams: Column) -> Column:
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """(word) of at least PREFIX + 1 code points -> (word, last, prefix, pivots): {pos, gram,
-    rank} of the prefix by position, the rank of its last bigram, and the pivots' positions."""
+    """(word) of at least PREFIX + 1 code points -> (word, prefix, pivots): {pos, gram,
+    rank} of the prefix by position, and the pivots' positions."""
     grams = words.select("word", F.explode(_bigrams(F.col("word"))).alias("b")).select("word", "b.pos", "b.gram")
     # one row for each bigram of the alphabet, but ranked without a sort of all: rarer is smaller, ties by name
     rank = grams.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("freq"))
@@ -89,16 +89,57 @@ def prefixes(words: DataFrame) -> DataFrame:
     end = F.col("all")[PREFIX - 1]
     inside = F.filter("all", lambda g: (g["freq"] < end["freq"]) | ((g["freq"] == end["freq"]) & (g["gram"] <= end["gram"])))
     by_place = F.array_sort(F.transform(inside, lambda g: F.struct(g["pos"].alias("pos"), g["gram"].alias("gram"), g["freq"].alias("rank"))))
-    return ranked.select("word", F.struct(end["freq"].alias("freq"), end["gram"].alias("gram")).alias("last"), by_place.alias("prefix")) \
+    return ranked.select("word", by_place.alias("prefix")) \
         .withColumn("pivots", _best_pivots(F.col("prefix")))
 
 
 # -------------------------------------------------------------------- pairs --
-def _sides(at: Column) -> Column:
-    """The parts of the word up to the end of the bigram at ``at``, and from its start."""
-    word = F.col("word")
-    return F.array(F.struct(F.lit(0).alias("side"), F.substr(word, F.lit(1), at + GRAM).alias("part")),
-                   F.struct(F.lit(1).alias("side"), F.substr(word, at + 1).alias("part")))
+#: Code points of the other end, or next to the bigram, that a key may hold besides.
+MORE = (0, 2, 4)
+
+
+def _key(kind: int, part: Column, other: Column, size: Column) -> Column:
+    return F.xxhash64(F.lit(kind), part, other, size)
+
+
+def _head(n: Column) -> Column:
+    return F.substr("word", F.lit(1), n)
+
+
+def _tail(n: Column) -> Column:
+    return F.substr("word", F.length("word") - n + 1)
+
+
+def _largest(n: Column) -> Column:
+    """The largest of MORE that is at most ``n``."""
+    return F.when(n >= MORE[2], F.lit(MORE[2])).when(n >= MORE[1], F.lit(MORE[1])).otherwise(F.lit(MORE[0]))
+
+
+def _offered(at: Column) -> Column:
+    """Keys under which a word with a prefix bigram at ``at`` is found.  Kind 0: the word up to the
+    bigram's end and some last code points; 1: some more behind the bigram; 2 and 3: the same from the other end."""
+    size, none = F.length("word"), F.lit("")
+    before, behind = at, size - at - GRAM
+    out = []
+    for k in MORE:
+        out.append(F.when(behind >= k, _key(0, _head(at + GRAM), _tail(F.lit(k)), size)))
+        out.append(F.when(before >= k, _key(2, _tail(size - at), _head(F.lit(k)), size)))
+        if k:
+            out.append(F.when(behind >= k, _key(1, _head(at + GRAM + k), none, size)))
+            out.append(F.when(before >= k, _key(3, _tail(size - at + k), none, size)))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _wanted(size: Column) -> Column:
+    """Keys of near words of ``size`` code points, for each place that the edit can have
+    to the pivots a and b: behind b, before a, between, in b, in a."""
+    a, b, n = F.col("pivots")[0], F.col("pivots")[1], F.length("word")
+    none = F.lit("")
+    gap, behind = _largest(b - a - GRAM), n - b - GRAM
+    in_b = F.when(gap > 0, _key(1, _head(a + GRAM + gap), none, size)).otherwise(_key(0, _head(a + GRAM), _tail(_largest(behind)), size))
+    in_a = F.when(gap > 0, _key(3, _tail(n - b + gap), none, size)).otherwise(_key(2, _tail(n - b), _head(_largest(a)), size))
+    return F.array(_key(0, _head(b + GRAM), none, size), _key(2, _tail(n - a), none, size),
+                   _key(0, _head(a + GRAM), _tail(_largest(n - b)), size), in_b, in_a)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -106,16 +147,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     Words are distinct and have at least PREFIX + 1 code points."""
     table = stored(prefixes(words), "prefixes")
-    size = F.length("word").alias("size")
-    pivots = table.select("word", "last", size, F.explode("pivots").alias("at")) \
-        .select("word", "last", "size", F.explode(_sides(F.col("at"))).alias("s")) \
-        .select("word", "last", "s.*", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
-    index = table.select("word", "last", size, F.explode("prefix.pos").alias("at")) \
-        .select("word", "last", "size", F.explode(_sides(F.col("at"))).alias("s")).select("word", "last", "size", "s.*")
-    p, q = pivots.alias("p"), index.alias("q")
-    met = p.join(q, F.expr("p.side = q.side and p.part = q.part and p.size = q.size and p.word != q.word and p.last <= q.last"))
-    pairs = met.select(F.least("p.word", "q.word").alias("a"), F.greatest("p.word", "q.word").alias("b")).distinct()
-    return pairs.filter(F.levenshtein("a", "b", EDITS) == EDITS)
+    n = F.length("word")
+    wanted = table.select("word", F.explode(F.array_distinct(F.flatten(F.array(*[_wanted(n + d) for d in (-1, 0, 1)])))).alias("key"))
+    offered = table.select("word", F.explode("prefix.pos").alias("at")).select("word", F.explode(_offered(F.col("at"))).alias("key"))
+    p, q = wanted.alias("p"), offered.alias("q")
+    met = p.join(q, F.expr("p.key = q.key and p.word != q.word"))
+    # verified before equal pairs, found by both of their words, are joined to one
+    near = met.filter(F.levenshtein("p.word", "q.word", EDITS) == EDITS)
+    return near.select(F.least("p.word", "q.word").alias("a"), F.greatest("p.word", "q.word").alias("b")).distinct()
 
 
 def _followed(forms: DataFrame) -> DataFrame:
