@@ -39,7 +39,7 @@ def corpus_words(docs: DataFrame, id_col: str, text_col: str, every: int | None)
     ``<id>:<run>``; its place is that crc32 modulo the run's length."""
     runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                        F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUNS), 0)).alias("run"))
-    runs = runs.withColumn("run", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", _UPPER, _LOWER)).otherwise(F.col("run")))
+    runs = runs.withColumn("run", F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(F.translate("run", _UPPER, _LOWER)))
     if every:
         h = F.crc32(F.concat("id", F.lit(":"), "run"))
         at = (h % F.length("run")).cast("int")
@@ -82,9 +82,9 @@ def prefixes(words: DataFrame) -> DataFrame:
     """(word) of at least PREFIX + 1 code points -> (word, prefix, pivots): {pos, gram,
     rank} of the prefix by position, and the pivots' positions."""
     grams = words.select("word", F.explode(_bigrams(F.col("word"))).alias("b")).select("word", "b.pos", "b.gram")
-    # one row for each bigram of the alphabet, but ranked without a sort of all: rarer is smaller, ties by name
+    # rarer is smaller, ties by name.  RUNS has 90 letters after lower-casing, so there are at most 8 100 bigrams
     rank = grams.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("freq"))
-    ranked = grams.join(rank, "gram").groupBy("word").agg(
+    ranked = grams.join(F.broadcast(rank), "gram").groupBy("word").agg(
         F.sort_array(F.collect_list(F.struct("freq", "gram", "pos"))).alias("all"))  # a word's own bigrams
     end = F.col("all")[PREFIX - 1]
     inside = F.filter("all", lambda g: (g["freq"] < end["freq"]) | ((g["freq"] == end["freq"]) & (g["gram"] <= end["gram"])))
