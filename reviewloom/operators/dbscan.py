@@ -223,7 +223,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
 
     # ---- groups of one block: a block has all neighbours of its points, so one task does all passes
     def local_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__ord", "__id"], kind="stable")
+        pdf = pdf.sort_values("__r", kind="stable")
         cl, core, deg = _local_dbscan(pdf["__id"].to_numpy(), _vectors(pdf, "__vec"), pdf["__w"].to_numpy(), eps, min_pts)
         out = pd.DataFrame({"__point": pdf["__id"].to_numpy(dtype=np.int64), "cluster_id": cl.astype(np.int32),
                             "is_core": core, "n_neighbors": deg})
@@ -231,7 +231,9 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in out_schema.fields]]
 
-    local_out = pts.filter(F.col("__n") <= block_size).groupBy(*g).applyInPandas(local_fn, out_schema)
+    in_order = Window.partitionBy(*g).orderBy("__ord", "__id")  # the order may be of any type, such as a struct
+    small = pts.filter(F.col("__n") <= block_size).withColumn("__r", F.row_number().over(in_order))
+    local_out = small.select(*g, "__id", "__vec", "__w", "__r").groupBy(*g).applyInPandas(local_fn, out_schema)
     pts = pts.filter(F.col("__n") > block_size)
     if pts.isEmpty():
         return for_all(local_out)

@@ -7,6 +7,8 @@ week whose number is not a multiple of 3, with ``week % 4`` themes."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import weeks
@@ -210,14 +212,18 @@ SELECT product, week, header, skipped, section_url FROM sec2
 """)(q_sections)
 
 
-def q_outbox(spark, sf_dir):
-    """K4: mails for appended sections; recipients from the stakeholder lists."""
+def _recipients(spark, sf_dir):
+    """(product, pos, recipient): the addresses in the documents of each language."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     rec = stakeholders.split_recipients(stakeholders.recipient_strings_from_documents(docs), "product", "recipients")
     lang_of = docs.select(F.col("doc_id").alias("product"), "lang")
-    rec = rec.join(lang_of, "product").select(F.col("lang").alias("product"),
+    return rec.join(lang_of, "product").select(F.col("lang").alias("product"),
                                                (F.col("product") * 1000 + F.col("pos")).alias("pos"), "recipient")
-    ob = plan_outbox(_sections(spark, sf_dir), rec, "development")
+
+
+def q_outbox(spark, sf_dir):
+    """K4: mails for appended sections; recipients from the stakeholder lists."""
+    ob = plan_outbox(_sections(spark, sf_dir), _recipients(spark, sf_dir), "development")
     return ob.select("product", "week", "to_field", F.col("n_recipients").cast("long").alias("n_recipients"),
                      "action", "is_draft")
 
@@ -417,6 +423,89 @@ FROM elig e LEFT JOIN tof t ON t.product = e.product
 register("weekly_reports", _weekly_reports_sql())(q_weekly_reports)
 
 
+def _weekly_with_state(spark, sf_dir):
+    """G1 over an earlier log (weeks of even number are done), stored reports, forced weeks
+    (multiples of 4) and recipients; a one-week look-back leaves some windows empty."""
+    r = reviews_view(spark, sf_dir, with_embedding=True)
+    req = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct() \
+           .withColumn("lookback_weeks", F.lit(10)).withColumn("force", F.substring("week", 7, 2).cast("int") % 4 == 0)
+    log = _log(spark, sf_dir).filter(F.substring("week", 7, 2).cast("int") % 2 == 0)
+    return weekly_feedback(r, req, eps=EPS, min_pts=3, run_log=log, stored_reports=_reports(spark, sf_dir), recipients=_recipients(spark, sf_dir))
+
+
+def q_weekly_outbox(spark, sf_dir):
+    """G1 + R2 + K4: the mails of a weekly run with recipients, done and forced weeks."""
+    ob = _weekly_with_state(spark, sf_dir)["outbox"]
+    return ob.select("product", "week", "subject", F.md5("email_text").alias("text_md5"), F.md5("email_html").alias("html_md5"), "to_field", "action")
+
+
+def q_weekly_run_log(spark, sf_dir):
+    """G1 + J8 + F3: what became of every request: new log rows, and what is stored of the weeks done before."""
+    out = _weekly_with_state(spark, sf_dir)
+    new = out["run_log_rows"].select("product", "week", "status", "doc_url", "mail_id", F.lit(-1).cast("long").alias("n_themes"))
+    done = out["already_done"].select("product", "week", F.concat(F.lit("DONE "), "status").alias("status"), "doc_url", "mail_id",
+                                      F.size("themes").cast("long").alias("n_themes"))
+    return new.unionByName(done)
+
+
+def _sql_recipients() -> str:
+    """CTE ``tof`` (product, to_field, n): recipients of each language, under names that clash with no others."""
+    ctes = re.sub(r"\b(src|parts|u)\b", r"addr_\1", stakeholders.SQL_STAKEHOLDER_CTES.strip())
+    trim = stakeholders.sql_js_trim("raw")
+    return f"""{ctes},
+tof AS (SELECT d.lang AS product, string_agg(s.recipient, ', ' ORDER BY s.product * 1000 + s.pos) AS to_field, count(*) AS n
+        FROM (SELECT product, pos, {trim} AS recipient FROM addr_u WHERE length({trim}) > 0 AND contains({trim}, '@')) s
+        JOIN documents d ON d.doc_id = s.product GROUP BY 1)"""
+
+
+_SQL_WEEK_NO = "CAST(substr({0}.week, 7, 2) AS INTEGER)"
+# done before: even weeks but for the tenth, whose run failed; forced: multiples of 4
+_SQL_TODO = "({0} % 2 = 1 OR {0} % 4 = 0 OR {0} % 10 = 0)".format(_SQL_WEEK_NO)
+_SQL_ACTION = "CASE WHEN coalesce(tof.n, 0) = 0 THEN 'skipped-no-recipients' ELSE 'draft' END"
+
+
+def _weekly_outbox_sql() -> str:
+    def esc(c):
+        return f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+    base = _weekly_reports_sql().rsplit("SELECT product, week, CAST(len(themes)", 1)[0]
+    return base.rstrip() + f""",
+{_sql_recipients()},
+m AS (SELECT txt.product, txt.week, themes, 'https://docs.example.com/document/d/doc-id/edit#heading=h.section-' || lower(week) AS url,
+             coalesce(tof.to_field, '') AS to_field, {_SQL_ACTION} AS action
+      FROM txt LEFT JOIN tof ON tof.product = txt.product WHERE {_SQL_TODO.format("txt")})
+SELECT product, week, product || ' Weekly Review Pulse — ' || week AS subject,
+  md5(product || ' — Weekly Review Pulse (' || week || ')' || chr(10) || chr(10)
+  || 'Here is a summary of customer feedback themes from the app store:' || chr(10) || chr(10)
+  || array_to_string(list_transform(themes, lambda t, i: i || '. ' || t.theme_name || chr(10) || '   ' || t.theme_description || chr(10) || chr(10)), '')
+  || 'Read the full detailed report, including verbatim user quotes and actionable ideas, in the shared document:' || chr(10) || url
+  || chr(10) || chr(10) || '---' || chr(10) || 'This pulse report was automatically generated and delivered.') AS text_md5,
+  md5('<div><h2>' || {esc("product")} || ' — Weekly Review Pulse</h2><p>Period Focus: <strong>' || week || '</strong></p><ul>'
+  || array_to_string(list_transform(themes, lambda t: '<li><strong>' || {esc("t.theme_name")} || '</strong><br/><span>' || {esc("t.theme_description")} || '</span></li>'), '')
+  || '</ul><a href="' || {esc("url")} || '">Read Full Document Report</a></div>') AS html_md5, to_field, action FROM m"""
+
+
+register("weekly_outbox", _weekly_outbox_sql())(q_weekly_outbox)
+
+
+def _weekly_run_log_sql() -> str:
+    from ..functions.text import sql_word_count
+    end = weeks.sql_week_end("k.week")
+    return _SQL_STATE.rstrip() + f""",
+{_sql_recipients()},
+ne AS (SELECT DISTINCT k.product, k.week FROM k JOIN reviews_v r ON r.product = k.product
+       AND r.review_ts >= {end} - to_days(70) AND r.review_ts <= {end} WHERE {sql_word_count('r.content')} >= 8)
+SELECT k.product, k.week, CASE WHEN ne.week IS NULL THEN 'SKIPPED_EMPTY' ELSE 'SUCCESS' END AS status,
+       CASE WHEN ne.week IS NULL THEN '' ELSE 'https://docs.example.com/document/d/doc-id/edit#heading=h.section-' || lower(k.week) END AS doc_url,
+       CASE WHEN ne.week IS NULL THEN '' WHEN coalesce(tof.n, 0) = 0 THEN 'skipped-no-recipients' ELSE 'mock-draft-id' END AS mail_id, CAST(-1 AS BIGINT) AS n_themes
+FROM k LEFT JOIN ne ON ne.product = k.product AND ne.week = k.week LEFT JOIN tof ON tof.product = k.product WHERE {_SQL_TODO.format("k")}
+UNION ALL
+SELECT l.product, l.week, 'DONE ' || coalesce(r.status, l.status), l.doc_url, l.mail_id, CAST(coalesce(len(r.themes), 0) AS BIGINT)
+FROM log_v l LEFT JOIN reports_v r ON r.product = l.product AND r.week = l.week WHERE NOT {_SQL_TODO.format("l")}"""
+
+
+register("weekly_run_log", _weekly_run_log_sql())(q_weekly_run_log)
+
+
 def _run_audit_sql() -> str:
     from ..functions.scrub import sql_scrub_steps
     from ..functions.text import sql_word_count

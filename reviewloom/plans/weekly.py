@@ -6,8 +6,9 @@ reviews to every requested look-back window (F1/W9) -> audit counts (A3/A4,
 F3) -> DBSCAN per product-week on the precomputed vectors (C2) -> noise out
 (F4) -> centroid-nearest sample (W1) -> prompt table (T2) -> responses or the
 fallback theme (T3) -> quote validation against the full cluster (T5) ->
-themes per week (A6) -> report text (R1) -> sections (K3) -> outbox (K4) ->
-run log rows (K1).  ``weekly_feedback`` only builds the frames (a dry run);
+themes per week (A6) -> report text (R1) -> sections (K3) -> mails (R2) in the
+outbox (K4) -> run log rows (K1), SKIPPED_EMPTY ones (F3) among them.  Requests that an
+earlier run has done come back with what is stored of them (J8).  ``weekly_feedback`` only builds the frames (a dry run);
 ``commit_run`` writes them in the order report -> outbox -> run log, so a
 run-log row always implies a stored report.
 """
@@ -27,9 +28,9 @@ from ..functions import scrub, text, vectors, weeks
 from ..operators.centroid import fallback_quotes, nearest_to_centroid
 from ..operators.dbscan import BLOCK, dbscan
 from ..operators.quotes import validate_quotes
-from ..operators.render import render_report
-from ..operators.reports import RUN_LOG_COLUMNS, plan_outbox, plan_sections, planned_mail_id, runs_to_do
-from ..operators.themes import collect_themes, ingest_responses, prompt_table
+from ..operators.render import render_email, render_report
+from ..operators.reports import REPORT_COLUMNS, RUN_LOG_COLUMNS, THEME_STRUCT_SNAKE, plan_outbox, plan_sections, planned_mail_id, report_lookup, runs_to_do, upsert_run_log, write_reports
+from ..operators.themes import THEME_FIELDS, collect_themes, ingest_responses, offline_themes, prompt_table
 from ..operators.window import expand_to_requests
 
 KEY = ["product", "week"]
@@ -83,11 +84,17 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                     doc_id: str = "doc-id", environment: str = "development", generated_on: str = "2024-06-01",
                     run_ts: str = "2024-06-01 00:00:00", keep_zero_vectors: bool = False,
                     upper_bound: bool = True, block_size: int = BLOCK,
-                    embedder: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+                    embedder: Callable[[DataFrame], DataFrame] | None = None, offline: bool = False,
+                    stored_reports: DataFrame | None = None) -> dict[str, DataFrame]:
     """``embedder`` gives rows (product, review_id, content) an ``embedding`` in the
     space of the given vectors; it gets the scrubbed reviews that have none or
     a zero one.  Without it they take no part in clusters and are counted
-    in ``run_audit`` (n_without_vector, n_zero_vector)."""
+    in ``run_audit`` (n_without_vector, n_zero_vector).
+
+    ``offline`` names the themes of clusters without a usable response by their
+    terms (T4) instead of the fixed fallback.  ``already_done`` has a row for every
+    request that ``run_log`` shows as done: the stored report's themes (of
+    ``stored_reports``, if given), url and mail id."""
     spark = reviews.sparkSession
     todo, x, audit, skipped_empty, scrubbed = window_stage(reviews, requests, run_log, min_words, upper_bound)
 
@@ -111,6 +118,10 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     sample = materialize(nearest_to_centroid(members, CKEY, "ord", k=k))
     prompts = prompt_table(sample, CKEY)
     themes_raw = ingest_responses(prompts, responses, fallback_quotes(sample, CKEY), CKEY)
+    if offline:
+        own = offline_themes(members, CKEY, KEY, sample).select(*CKEY, F.struct(*THEME_FIELDS).alias("__own"))
+        themes_raw = themes_raw.join(own, CKEY, "left").withColumns(
+            {c: F.when(F.col("used_fallback") & F.col("__own").isNotNull(), F.col(f"__own.{c}")).otherwise(F.col(c)) for c in THEME_FIELDS}).drop("__own")
 
     quotes = themes_raw.select(*CKEY, F.posexplode("representative_quotes").alias("quote_ord", "quote"))
     checks, roll = validate_quotes(quotes, members.select(*CKEY, "review_id", "ord", "content"),
@@ -129,7 +140,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
         spark.createDataFrame([], "product string, header string")
     sections = plan_sections(reports.withColumn("doc_id", F.lit(doc_id)), existing)
     rec = recipients if recipients is not None else spark.createDataFrame([], "product string, pos long, recipient string")
-    outbox = plan_outbox(sections, rec, environment)
+    outbox = plan_outbox(render_email(sections, "product", "week", "themes", "section_url"), rec, environment)
     log_rows = sections.join(outbox.select(*KEY, "action"), KEY, "left").select(
         *KEY, F.lit(run_ts).alias("run_ts"), F.lit("SUCCESS").alias("status"),
         F.col("section_url").alias("doc_url"),
@@ -140,6 +151,13 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     log_rows = log_rows.join(old.select(*KEY, F.col("mail_id").alias("__old")), KEY, "left") \
         .withColumn("mail_id", F.when(F.col("skipped"), F.coalesce(F.nullif(F.col("__old"), F.lit("")), F.col("mail_id")))
                     .otherwise(F.col("mail_id"))).select(*RUN_LOG_COLUMNS)
+    nothing = F.lit("")
+    log_rows = log_rows.unionByName(skipped_empty.select(*KEY, F.lit(run_ts).alias("run_ts"), "status", nothing.alias("doc_url"), nothing.alias("mail_id")))
+    valid = requests.filter(weeks.is_valid_week_key(F.col("week"))).select(*KEY).distinct()
+    if stored_reports is None:
+        kinds = ", ".join(f"{c} array<{THEME_STRUCT_SNAKE}>" if c == "themes" else f"{c} string" for c in REPORT_COLUMNS)
+        stored_reports = spark.createDataFrame([], kinds)
+    already_done = report_lookup(valid.join(todo.select(*KEY), KEY, "left_anti"), stored_reports, old)
     # One audit row per request joining every stage's counts
     cl = assigned.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_clustered_points"),
@@ -155,7 +173,8 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
                      .join(subst, KEY, "left").fillna(0)
     return {"todo": todo, "audit": audit, "run_audit": run_audit, "skipped_empty": skipped_empty, "assignments": assigned,
             "sample": sample, "prompts": prompts, "themes": themes, "quote_checks": checks,
-            "reports": reports, "sections": sections, "outbox": outbox, "run_log_rows": log_rows,
+            "reports": reports, "already_done": already_done, "sections": sections, "outbox": outbox, "run_log_rows": log_rows,
+            "failed_rows": todo.select(*KEY, F.lit(run_ts).alias("run_ts"), F.lit("FAILED").alias("status"), nothing.alias("doc_url"), nothing.alias("mail_id")),
             "quarantine": requests.filter(~F.coalesce(weeks.is_valid_week_key(F.col("week")), F.lit(False)))}
 
 
@@ -180,29 +199,44 @@ def current_run_log(spark: SparkSession, store_dir: str) -> DataFrame | None:
 
 def commit_run(out: dict[str, DataFrame], store_dir: str, existing_log: DataFrame | None = None,
                snapshot: str | None = None) -> DataFrame:
-    """Write one run: reports (K2, dynamic partition overwrite), sections with
-    their text (K3), outbox rows (K4), and last a new run-log snapshot (K1, last
+    """Write one run: requests with an impossible week (quarantine), reports (K2, dynamic partition overwrite),
+    sections with their text (K3), outbox rows with their mails (K4), and last a new run-log snapshot (K1, last
     write per key wins) with a pointer to it.  A section or mail that an earlier,
     perhaps broken-off, run has written is not written again.  A snapshot is
-    never overwritten.  Returns the new run log."""
-    from ..operators.reports import REPORT_COLUMNS, upsert_run_log, write_reports
+    never overwritten.  If a write fails, the run's weeks are logged as FAILED, so that the
+    next run does them again, and the error is raised.  Returns the new run log."""
     base = store_dir.rstrip("/")
-    spark = out["reports"].sparkSession
     if existing_log is None:
-        existing_log = current_run_log(spark, base)
+        existing_log = current_run_log(out["reports"].sparkSession, base)
+    try:
+        _write_results(out, base)
+    except Exception:
+        failed = out["failed_rows"]
+        _write_log(failed, existing_log, base, snapshot)
+        raise
+    return _write_log(out["run_log_rows"], existing_log, base, snapshot)
+
+
+def _write_results(out: dict[str, DataFrame], base: str) -> None:
+    spark = out["reports"].sparkSession
+    out["quarantine"].select(*KEY).write.mode("append").parquet(f"{base}/quarantine")
     rep = out["reports"].join(out["run_log_rows"].select(*KEY, "run_ts", "doc_url", "mail_id", "status"), KEY) \
         .select(*KEY, F.col("run_ts").alias("report_ts"), "doc_url", "mail_id", "status", "themes")
     write_reports(rep.select(*REPORT_COLUMNS), f"{base}/reports")
     for name, columns in (("sections", [*KEY, "header", "doc_id", "section_url", "report_text"]),
-                          ("outbox", [*KEY, "header", "section_url", "to_field", "action", "is_draft"])):
+                          ("outbox", [*KEY, "header", "section_url", "subject", "email_text", "email_html", "to_field", "action", "is_draft"])):
         rows = out[name].filter(~F.col("skipped")) if name == "sections" else out[name]
         rows = rows.select(*[c for c in columns if c in rows.columns])
         have = _stored(spark, f"{base}/{name}")
         if have is not None:
             rows = materialize(rows.join(have.select("product", "header"), ["product", "header"], "left_anti"))
         rows.write.mode("append").parquet(f"{base}/{name}")
-    log = out["run_log_rows"]
-    log = upsert_run_log(existing_log, log) if existing_log is not None else log
+
+
+def _write_log(rows: DataFrame, existing_log: DataFrame | None, base: str, snapshot: str | None) -> DataFrame:
+    """A new snapshot of the log with ``rows``, and a pointer to it."""
+    spark = rows.sparkSession
+    log = upsert_run_log(existing_log, rows) if existing_log is not None else rows
     snapshot = snapshot or uuid.uuid4().hex
     log.write.mode("error").parquet(f"{base}/run_log/{snapshot}")
     pointers = _stored(spark, f"{base}/run_log_pointers")

@@ -121,7 +121,7 @@ def planted(seed, copies):
 @pytest.mark.parametrize("block_size", [16, 100, 5000])
 def test_pivots_and_copies(spark, block_size):
     rows = planted(3, 250)
-    df = spark.createDataFrame(rows, "id long, v array<double>, ord long")
+    df = spark.createDataFrame(rows, "id long, v array<double>, ord long").withColumn("ord", F.struct("ord"))
     got = {r.id: r for r in dbscan(df, 0.5, 4, "id", "v", "ord", block_size=block_size).collect()}
     want = defined_dbscan([r[1] for r in rows], 0.5, 4)
     assert [got[r[0]].cluster_id for r in rows] == want

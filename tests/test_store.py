@@ -149,6 +149,35 @@ def test_commit_run_writes_report_outbox_log(spark):
     assert current_run_log(spark, d).count() == len(ids)
 
 
+def test_failed_commit_offline_themes_and_done_requests(spark):
+    from reviewloom.plans.weekly import commit_run, current_run_log
+    d = _scratch()
+    r = reviews_view(spark, SF_SMALL, with_embedding=True)
+    req = r.select("product", iso_week_key("review_ts").alias("week")).distinct().filter("product = 'en'").withColumn("lookback_weeks", F.lit(10))
+    rec = spark.createDataFrame([("en", 0, "a@example.org")], "product string, pos long, recipient string")
+    out = weekly_feedback(r, req.unionByName(spark.createDataFrame([("en", "2024-W99", 1)], "product string, week string, lookback_weeks int")),
+                          eps=1.14, recipients=rec, offline=True)
+    names = [t.theme_name for x in out["reports"].collect() for t in x.themes]
+    assert names and "Uncategorized Issues" not in names
+    mails = out["outbox"].collect()
+    assert mails and all(x.subject.endswith(x.week) and x.section_url in x.email_text and x.email_html.startswith("<div>") for x in mails)
+    # a write that fails is logged, and its weeks are done again
+    broken = dict(out, reports=out["reports"].withColumn("themes", F.when(F.length("week") > 0, F.raise_error(F.lit("disk full"))).otherwise(F.col("themes"))))
+    with pytest.raises(Exception, match="disk full"):
+        commit_run(broken, d)
+    log = current_run_log(spark, d)
+    assert {x.status for x in log.collect()} == {"FAILED"} and log.count() == out["todo"].count()
+    assert weekly_feedback(r, req, eps=1.14, run_log=log)["todo"].count() == log.count()
+    log = commit_run(out, d)
+    assert {x.status for x in log.collect()} <= {"SUCCESS", "SKIPPED_EMPTY"}
+    assert {x.week for x in spark.read.parquet(os.path.join(d, "quarantine")).collect()} == {"2024-W99"}
+    # what is done comes back with what is stored of it
+    stored = spark.read.parquet(os.path.join(d, "reports"))
+    done = weekly_feedback(r, req, eps=1.14, run_log=log, stored_reports=stored)["already_done"].collect()
+    themes = {x.week: len(x.themes) for x in out["reports"].collect()}
+    assert {x.week: len(x.themes) for x in done} == themes and all(x.doc_url and x.mail_id for x in done)
+
+
 def test_requests_are_checked(spark):
     r = reviews_view(spark, SF_SMALL, with_embedding=True)
     two = spark.createDataFrame([("en", "2024-W05", 1), ("en", "2024-W05", 2)], "product string, week string, lookback_weeks int")
