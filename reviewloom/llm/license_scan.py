@@ -1,7 +1,8 @@
 """License scans with DataFrame functions only.
 
 Files are compared with licence templates by the cosine of sparse TF-IDF
-vectors; inverse document frequencies come from the whole corpus.  Templates
+vectors; inverse document frequencies come from the whole corpus, for terms of the
+templates; a term that no template has weighs as one that no file has.  Templates
 are of two kinds.
 
 Notices and titles take one line, so each line is compared with them.  A line
@@ -48,23 +49,33 @@ TEMPLATES = {
 
 # Other one-line notices and titles.
 TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
     ("Apache-2.0", "Apache License 2.0"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
     ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("GPL-1.0-or-later", "GNU GENERAL PUBLIC LICENSE"),
     ("ISC", "ISC License"),
     ("LGPL-2.0-or-later", "GNU LESSER GENERAL PUBLIC LICENSE"),
     ("MIT", "MIT License"),
     ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "The Unlicense"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "zlib License"),
 ]
 #: Licences whose full text is a file of this name under ``licenses``.
-FULL_TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1",
-              "LGPL-3.0", "MIT", "MPL-2.0"]
+FULL_TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1",
+              "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
 _GNU = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published "
         "by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {what} is "
         "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
@@ -132,6 +143,9 @@ def template_weights(docs: DataFrame, templates: DataFrame) -> tuple[DataFrame,
 def block_templates() -> list[tuple[str, str, str]]:
     """(template, license, text) of full texts and headers; ``template`` is the license with "text" or a number."""
     texts = [(f"{x} text", x, pkgutil.get_data(__package__, f"licenses/{x}.txt").decode()) for x in FULL_TEXTS]
+    gpl = next(t for _, x, t in texts if x == "GPL-3.0")
+    agpl = re.sub(r"(?i)\b(GNU)(\s+)(General Public License)", r"\1\2Affero \3", re.sub(r"(?i)\bGNU Affero\b", "GNU", gpl))
+    texts.append(("AGPL-3.0 text", "AGPL-3.0", agpl))  # the GPL's words but for the name, and so apart from it by the name alone
     return texts + [(f"{x} {i}", x, t) for i, (x, t) in enumerate(HEADERS)]
 
 
@@ -247,7 +261,9 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     licence files in a directory the best cosine counts, then the smallest
     licence name.  ``n_lines`` counts the file's own licence lines.  Null
     texts have no line; a null path has no ancestor.  Repeated rows each
-    get a row.  ``files`` is read more than once, so must be stable."""
+    get a row, an empty table gives none.  Texts are read whole, whatever their length.
+    Columns other than ``keep`` are ignored, whatever their names.  ``files`` is read more
+    than once, so must be stable."""
     spark = prepare(files.sparkSession)
     notices = sorted(templates.items()) if templates else sorted(TEMPLATES.items()) + [(f"{k}\t{i}", t) for i, (k, t) in enumerate(TITLES)]
     frame = spark.createDataFrame(notices, "license string, text string")
