@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from reviewloom.llm.common import id_remainder, prepare, read_table, scratch_path
+from reviewloom.llm.common import id_remainder, prepare, read_table, scratch_path, stored
 from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.jaccard_join import jaccard_components
 from reviewloom.llm.language_id import identify_languages
 from reviewloom.llm.mixing import mixed_rows
 from reviewloom.llm.queries import END_ID, TOKENIZER
 from reviewloom.llm.token_store import encode_documents
+from reviewloom.operators.joins import bounded_broadcast
 
 ROW = "__row"
+#: Row numbers (8 bytes each) that are broadcast at most.
+MOST_BROADCAST_ROWS = 1 << 20
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -30,8 +33,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows numbered in ``gone`` (id)."""
-    return _numbered(docs).join(gone.select(F.col("id").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    """``docs`` but for the rows numbered in ``gone`` (id), which are few as a rule: up to
+    MOST_BROADCAST_ROWS their numbers go to the texts, beyond that both are shuffled."""
+    gone = bounded_broadcast(stored(gone.select(F.col("id").alias(ROW)), "gone"), MOST_BROADCAST_ROWS)
+    return _numbered(docs).join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
