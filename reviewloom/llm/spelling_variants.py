@@ -127,7 +127,7 @@ def _offered(at: Column) -> Column:
         if k:
             out.append(F.when(behind >= k, _key(1, _head(at + GRAM + k), none, size)))
             out.append(F.when(before >= k, _key(3, _tail(size - at + k), none, size)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array(*out)
 
 
 def _wanted(size: Column) -> Column:
@@ -149,8 +149,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     table = stored(prefixes(words), "prefixes")
     n = F.length("word")
     wanted = table.select("word", F.explode(F.array_distinct(F.flatten(F.array(*[_wanted(n + d) for d in (-1, 0, 1)])))).alias("key"))
-    offered = table.select("word", F.explode("prefix.pos").alias("at")).select("word", F.explode(_offered(F.col("at"))).alias("key"))
-    p, q = wanted.alias("p"), offered.alias("q")
+    offered = table.select("word", F.explode("prefix.pos").alias("at")).select("word", F.explode(_offered(F.col("at"))).alias("key")) \
+        .filter("key is not null")
+    # estimates know nothing of the keys that a word explodes to, so no side may be taken for a small one
+    p, q = wanted.alias("p"), offered.hint("merge").alias("q")
     met = p.join(q, F.expr("p.key = q.key and p.word != q.word"))
     # verified before equal pairs, found by both of their words, are joined to one
     near = met.filter(F.levenshtein("p.word", "q.word", EDITS) == EDITS)
