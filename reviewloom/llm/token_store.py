@@ -1,14 +1,15 @@
 """Token-id files with Elias-Fano document boundaries.
 
 Documents are dealt into ranges of ascending id, tokenised there and written as
-files: the concatenated ids, the document ids, and the boundaries as an
-Elias-Fano sequence (low bits packed, high bits as a bitmap in unary).  A
-boundary is found with ``select``: sampled positions of every 256th one-bit,
-then a scan of a few words; no table of 64-bit offsets is kept.
-
-File: 8 bytes ``EFTOKEN1``; little-endian uint64 each: documents, ids, bytes of an
-id, low bits, high words, low words, samples; then document ids (int64), their
-null flags (uint8), samples (uint32), high words, low words (uint64), ids.
+files: the concatenated ids, and the boundaries and the document ids as an
+Elias-Fano sequence each (low bits packed, high bits as a bitmap in unary).  A
+value is found with ``select``: sampled positions of every 256th one-bit,
+then a scan of a few words; no table of 64-bit offsets or ids is kept.
+
+File: 8 bytes ``EFTOKEN2``; little-endian 64-bit each: documents, those of them with a
+null id (they come first), least id (signed), ids, bytes of an id; then low bits, high
+words, low words and samples of the boundaries, and the same of the document ids less the least;
+then samples (uint32), high words, low words (uint64) of both, and the ids.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from codecs import charmap_decode
 from collections.abc import Iterator
 
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import prepare, scratch_path, stored
 from .files import read_file, write_file
 
-MAGIC = b"EFTOKEN1"
+MAGIC = b"EFTOKEN2"
+_HEAD = "<2Qq10Q"
 #: Ids in a file, but for a single longer document.
 FILE_IDS = 1 << 23
 #: Words of which the ids are kept by a worker.
@@ -39,6 +42,8 @@ CACHE_WORDS = 500_000
 #: the cache: when it is full, and (fewer) when a task ends and others need its memory.
 SHORT_WORD, SHORT_BETWEEN_TASKS = 8, 5
 _SAMPLE = 256
+#: Documents in a batch that a reader hands on.
+READ_ROWS = 1 << 14
 #: White space other than space and line feed: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n]").search
 
@@ -88,34 +93,36 @@ class EliasFano:
             value = pair >> (start % 64) & ((1 << self.low) - 1)
         return (self._select(i) - i) << self.low | value
 
-    def all(self) -> np.ndarray:
-        """Every value, for readers that take all documents."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        if self.low:
-            lows = np.unpackbits(self.packed.view(np.uint8), bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-            out |= (lows.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return out
-
 
 # ------------------------------------------------------------------ format --
 def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: list[bytes], width: int) -> list[bytes]:
-    """Parts of a file; ``ids`` are little-endian with ``width`` bytes each."""
+    """Parts of a file; ``ids`` are little-endian with ``width`` bytes each.  ``doc_ids``
+    ascend, nulls first, and may repeat."""
+    known = np.array([d for d in doc_ids if d is not None], "<i8")
+    nulls = len(doc_ids) - len(known)
+    if any(d is not None for d in doc_ids[:nulls]) or (known[1:] < known[:-1]).any():
+        raise ValueError("document ids do not ascend")
+    least = int(known[0]) if len(known) else 0
+    above = known.view("<u8") - np.array(known[:1]).view("<u8")  # modulo 2^64, so any span of ids fits
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64)
-    low, high, packed, samples = ef_encode(bounds)
-    head = MAGIC + struct.pack("<7Q", len(doc_ids), int(bounds[-1]), width, low, len(high), len(packed), len(samples))
-    return [head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-            samples.tobytes(), high.tobytes(), packed.tobytes(), *ids]
+    head, parts = [len(doc_ids), nulls, least, int(bounds[-1]), width], []
+    for values in (bounds, above):
+        low, high, packed, samples = ef_encode(values)
+        head += [low, len(high), len(packed), len(samples)]
+        parts += [samples.tobytes(), high.tobytes(), packed.tobytes()]
+    return [MAGIC + struct.pack(_HEAD, *head), *parts, *ids]
 
 
 class TokenFile:
-    """A file's documents: ``bounds`` is an EliasFano, ``ids(i)`` those of document ``i``."""
+    """A file's documents by number: ``doc_id(i)`` and ``ids(i)`` of document ``i``, ``find`` by id.
+
+    ``bounds`` and the ids of documents are read where they lie, each value by a select."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        n, self.n_ids, self.width, low, highs, lows, samples = struct.unpack_from("<7Q", data, 8)
-        at = 64
+        self.n, self.nulls, self.least, self.n_ids, self.width, *sizes = struct.unpack_from(_HEAD, data, 8)
+        at = 8 + struct.calcsize(_HEAD)
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -123,12 +130,22 @@ class TokenFile:
             at += got.nbytes
             return got
 
-        ids, none = take("<i8", n), take("u1", n)
-        self.doc_ids = [None if z else int(d) for d, z in zip(ids, none, strict=True)]
-        s, h = take("<u4", samples), take("<u8", highs)
-        self.bounds = EliasFano(n + 1, low, h, take("<u8", lows), s)
+        def sequence(n: int, low: int, highs: int, lows: int, samples: int) -> EliasFano:
+            s, h = take("<u4", samples), take("<u8", highs)
+            return EliasFano(n, low, h, take("<u8", lows), s)
+
+        self.bounds = sequence(self.n + 1, *sizes[:4])
+        self._above = sequence(self.n - self.nulls, *sizes[4:])
         self._ids = take(f"<u{self.width}", self.n_ids)
 
+    def doc_id(self, i: int) -> int | None:
+        return None if 0 <= i < self.nulls else self.least + self._above[i - self.nulls]
+
+    def find(self, doc_id: int) -> int | None:
+        """Number of the first document with this id, by bisection; None without one."""
+        i = self.nulls + bisect_left(range(self.n - self.nulls), doc_id - self.least, key=self._above.__getitem__)
+        return i if i < self.n and self.doc_id(i) == doc_id else None
+
     def ids(self, i: int) -> np.ndarray:
         return self._ids[self.bounds[i]: self.bounds[i + 1]]
 
@@ -290,11 +307,15 @@ def _read(folder: str):
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = TokenFile(read_file(folder, name))
-                bounds = f.bounds.all().astype(np.int64)
-                crc = [zlib.crc32(f._ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.doc_ids, pa.int64()), pa.array(bounds[:-1] + base, pa.int64()),
-                     pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                start = 0
+                for first in range(0, f.n, READ_ROWS):
+                    rows = []
+                    for i in range(first, min(f.n, first + READ_ROWS)):
+                        end = f.bounds[i + 1]
+                        rows.append((f.doc_id(i), base + start, end - start, zlib.crc32(f._ids[start:end].astype("<u4").tobytes())))
+                        start = end
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
+                                                     ["id", "start", "n_tokens", "ids_crc32"])
     return run
 
 
@@ -307,6 +328,10 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
                      special: bool = False) -> DataFrame:
-    """Write all documents as token files and read them back."""
+    """(id, start, n_tokens, ids_crc32): all documents written as token files and read back from them.
+
+    Ids are integers or text of integers; null ids come first.  Rows that repeat an id each get a
+    row, in the order of their texts' hashes.  A null or empty text has the end id alone; a text longer
+    than a file may hold is a file of its own.  An empty table gives no row and no file.  Other columns are ignored."""
     folder, manifest = write_tokens(docs, tokenizer, end_id, id_col, text_col, special=special)
     return read_tokens(folder, stored(manifest, "bases"))

@@ -421,14 +421,32 @@ def test_elias_fano():
     for n, top in ((1, 1), (2, 1), (300, 5), (1000, 10**6), (5000, 2**40), (700, 700)):
         v = np.sort(rng.integers(0, top, n)).astype(np.uint64)
         ef = EliasFano(n, *ef_encode(v))
-        assert [ef[i] for i in range(n)] == v.tolist() == ef.all().tolist()
+        assert [ef[i] for i in range(n)] == v.tolist()
         assert 8 * (ef.high.nbytes + ef.packed.nbytes) <= n * (3 + max(0, np.log2(top / n))) + 256  # about two bits over the minimum
     f = TokenFile(b"".join(encode_file([None, 7], np.array([2, 0]), [np.array([5, 6], "<u2").tobytes()], 2)))
-    assert f.doc_ids == [None, 7] and f.ids(0).tolist() == [5, 6] and f.ids(1).tolist() == []
+    assert [f.doc_id(0), f.doc_id(1)] == [None, 7] and f.ids(0).tolist() == [5, 6] and f.ids(1).tolist() == []
     with pytest.raises(ValueError):
         TokenFile(b"x" * 80)
 
 
+def test_token_file_document_ids():
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    for keys in ([], [None], [7], [None, None, -5, -5, 0, 3, 3, 3, 900], [lowest, -1, 0, highest], [None, highest, highest]):
+        f = TokenFile(b"".join(encode_file(keys, np.ones(len(keys), np.int64), [np.arange(len(keys), dtype="<u2").tobytes()], 2)))
+        assert [f.doc_id(i) for i in range(f.n)] == keys
+        assert [f.ids(i).tolist() for i in range(f.n)] == [[i] for i in range(len(keys))]
+        assert all(f.find(k) == keys.index(k) for k in keys if k is not None)
+        assert f.find(1) is None and f.find(lowest + 1) is None and f.find(highest - 1) is None
+    for wrong in ([2, 1], [1, None]):
+        with pytest.raises(ValueError):
+            encode_file(wrong, np.ones(2, np.int64), [b"\0" * 4], 2)
+    # ids and boundaries together: two sequences near log2(range / n) + 2 bits, where 64-bit tables take 16 bytes
+    n = 20_000
+    keys = np.sort(np.random.default_rng(1).choice(n * 50, n, replace=False)).tolist()
+    parts = encode_file(keys, np.full(n, 300), [], 2)
+    assert sum(map(len, parts)) <= n * (np.log2(50) + 2.5 + np.log2(300) + 2.5) / 8 + 200
+
+
 ODD_TEXTS = ["", "a  b", "a \nb", " lead", "trail ", "x\n\ny", "it's we'll I'd 12a3 $$$ a-b", "日本語 テキスト ab", "é́ ñ ǆ ɐ", "a\tb\r\nc", " x y", "x y z", "'s 't", "a 's",
              "😀 ok 👍🏽", "<|endoftext|> x", "½ ² x²", "ªº _a__b", "word, word. Word! (x) a.b", "\x1c \x85 z", "\n", "q" * 300]
 
