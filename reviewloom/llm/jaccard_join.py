@@ -170,10 +170,12 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
     schema = pa.schema([("token", pa.int64()), ("part", pa.int16()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()),
                         ("other", pa.int64())])
 
-    def batch(c: dict[str, np.ndarray], at: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+    def batch(c: dict[str, np.ndarray], alone: np.ndarray, pairs: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+        """One batch of the rows ``alone`` and of all pairs: many small ones cost the JVM memory."""
+        at = np.concatenate([alone, *pairs])
+        other = pa.array(np.concatenate([np.zeros(len(alone), np.int64), *others]), mask=np.arange(len(at)) < len(alone))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c["token"][at]), pa.array(c["part"][at]), pa.array(c["cid"][at]), pa.array(c["n"][at]), pa.array(c["pos"][at]),
-             pa.nulls(len(at), pa.int64()) if other is None else pa.array(other, pa.int64())], schema=schema)
+            [pa.array(c["token"][at]), pa.array(c["part"][at]), pa.array(c["cid"][at]), pa.array(c["n"][at]), pa.array(c["pos"][at]), other], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None   # the last rows so far, which are neighbours of the next ones
@@ -193,8 +195,7 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
             shared[1:] |= same
             shared[:-1] |= same
             fresh = np.arange(max(0, old - todo), size - 1)
-            if members:
-                yield batch(c, fresh[shared[fresh]], None)
+            alone, pairs, others = fresh[shared[fresh]] if members else fresh[:0], [], []
             some = np.flatnonzero(shared)  # only these have neighbours
             old = int(shared[:old].sum())
             tok, part, n, pos, of = c["token"][some], c["part"][some], c["n"][some].astype(np.int64), c["pos"][some], c["component"][some]
@@ -206,10 +207,13 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
                 a = z - step
                 need = _ceil_div(num * (n[a] + n[z]), num + den)
                 ok = (den * np.minimum(n[a], n[z]) >= num * np.maximum(n[a], n[z])) & (of[a] != of[z]) & (np.minimum(n[a] - pos[a], n[z] - pos[z]) >= need)
-                yield batch(c, some[z[ok]], c["cid"][some[a[ok]]])
+                pairs.append(some[z[ok]])
+                others.append(c["cid"][some[a[ok]]])
+            if len(alone) or any(map(len, pairs)):
+                yield batch(c, alone, pairs, others)
             held, linked, todo = {k: c[k][-reach:] for k in names}, shared[-reach:].tolist(), 1
         if members and held is not None and linked[-1]:
-            yield batch(held, np.array([len(linked) - 1]), None)
+            yield batch(held, np.array([len(linked) - 1]), [], [])
     return run
 
 
