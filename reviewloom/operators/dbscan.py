@@ -17,12 +17,16 @@ can have a neighbour in cell b only if it lies within eps of b's ball,
 ``d(x, p_b) <= r_b + eps``, and not more than 2 eps farther from p_b than from p_a (the
 neighbour is nearer to p_b).  Points are shipped to the block pairs of such cells
 alone; all other pairs of blocks are dropped.  Each remaining pair (a <= b) is one
-``applyInPandas`` task of at most two blocks.  A task never emits all pairs:
-pass 1 emits one partial neighbour count per point, pass 2 emits a spanning
-forest of its core-core edges (<= points in the pair) and border->core edges
-(< min_pts per border point overall).  Components are then found with the
-DataFrame large-star/small-star loop, and numbered by a range partitioning with
-counts per partition.  Distances come from a float64 Gram matrix; pairs within a
+``applyInPandas`` task of at most two blocks.  Blocks grow with their group
+(``block_points``), so a point meets a bounded number of blocks and what is
+shuffled grows with the points, up to LARGEST_BLOCK points a block; only the
+distances, computed in tiles, grow with their square where the bounds on cells cut
+nothing.  A task never emits all pairs: pass 1 emits one partial neighbour count
+per point; pass 2 joins the cores of each block to components; pass 3, over pairs
+of different blocks, emits a spanning forest between such components and the
+components next to border points (< min_pts per point and pair).  Components of these are
+then found with the DataFrame large-star/small-star loop, and numbered by a range
+partitioning with counts per partition.  Distances come from a float64 Gram matrix; pairs within a
 tiny band around eps are recomputed with the sequential sum of squares so the
 eps test is bit-exact; the bounds on cells are widened by more than rounding.
 """
@@ -33,7 +37,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +46,17 @@ from .components import connected_components
 from .ranks import ranked
 
 BAND = 1e-7
-#: Points of a block; also of a task that assigns points to pivots, times 8.
+#: Most points of a group that one task clusters alone, and fewest of a block.
 BLOCK = 512
+#: Blocks of a group, but for cells that are cut, until blocks hold LARGEST_BLOCK points.
+BLOCKS = 8
+#: Most points of a block: two make a task.
+LARGEST_BLOCK = 1 << 16
+#: Points of a task that assigns points to pivots, at most.
+CHUNK = 1 << 15
+#: Rows and columns of a matrix of distances.
+TILE = 512
+WIDE = 4096
 #: Most pivots of a group; beyond, cells have several blocks.
 MOST_PIVOTS = 1024
 
@@ -60,16 +73,59 @@ def _within(va: np.ndarray, vb: np.ndarray, eps: float) -> np.ndarray:
     """Boolean matrix of L2(va[i], vb[j]) <= eps, exact near the boundary."""
     na = np.einsum("ij,ij->i", va, va)
     nb = np.einsum("ij,ij->i", vb, vb)
-    d2 = np.maximum(na[:, None] + nb[None, :] - 2.0 * (va @ vb.T), 0.0)
-    d = np.sqrt(d2)
-    hit = d <= eps
+    d2 = va @ (-2.0 * vb.T)
+    d2 += na[:, None]
+    d2 += nb[None, :]
+    hit = d2 <= eps * eps
     # the product form's error grows with the norms
-    amb = np.argwhere(np.abs(d2 - eps * eps) <= BAND * max(1.0, eps * eps) + 1e-14 * (na[:, None] + nb[None, :]))
-    for i, j in amb:
+    band = BAND * max(1.0, eps * eps)
+    most = band + 1e-14 * (na.max(initial=0.0) + nb.max(initial=0.0))
+    d2 -= eps * eps
+    np.abs(d2, out=d2)
+    ai, aj = np.nonzero(~(d2 > most))
+    close = ~(d2[ai, aj] > band + 1e-14 * (na[ai] + nb[aj]))
+    for i, j in zip(ai[close], aj[close]):
         hit[i, j] = _exact_dist(va[i], vb[j]) <= eps
     return hit
 
 
+def _tiles(v: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of ``v`` in tiles of at most TILE near ones, with the tiles' centres and radii."""
+    some = v[::TILE]
+    cell = np.concatenate([_distances(v[i:i + WIDE], some).argmin(axis=1) for i in range(0, len(v), WIDE)])
+    order = np.argsort(cell, kind="stable")
+    runs = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)
+    tiles = [run[i:i + TILE] for run in runs for i in range(0, len(run), TILE)]
+    centres = np.stack([v[t].mean(axis=0) for t in tiles])
+    radii = np.array([np.sqrt(((v[t] - c) ** 2).sum(axis=1).max()) for t, c in zip(tiles, centres)])
+    return tiles, centres, radii
+
+
+def _near(va: np.ndarray, vb: np.ndarray | None, eps: float):
+    """Matrices of L2(va[i], vb[j]) <= eps over tiles that may hold such pairs, as (i, j, matrix).
+    Without ``vb`` the pairs are those of ``va``, each once and none of a row with itself."""
+    same = vb is None
+    if not len(va) or (not same and not len(vb)):  # points may meet a block none of whose points meets theirs
+        return
+    ta, ca, ra = _tiles(va)
+    tb, cb, rb = (ta, ca, ra) if same else _tiles(vb)
+    vb = va if same else vb
+    slack = 1e-6 * (1.0 + math.sqrt(max(float(np.einsum("ij,ij->i", v, v).max()) for v in (va, vb))))
+    for k, rows in enumerate(ta):
+        apart = np.sqrt(((cb - ca[k]) ** 2).sum(axis=1))
+        ok = ~(apart > rb + ra[k] + eps + slack)
+        if same:
+            ok[:k + 1] = False
+            yield rows, rows, np.triu(_within(va[rows], va[rows], eps), 1)
+        met = np.flatnonzero(ok)
+        if not len(met):
+            continue
+        columns = np.concatenate([tb[m] for m in met])
+        for i in range(0, len(columns), WIDE):
+            some = columns[i:i + WIDE]
+            yield rows, some, _within(va[rows], vb[some], eps)
+
+
 def _pair_sets(pdf: pd.DataFrame):
     a = int(pdf["__a"].iloc[0])
     b = int(pdf["__b"].iloc[0])
@@ -84,13 +140,20 @@ def _vectors(df: pd.DataFrame, vec: str) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in df[vec].to_numpy()])
 
 
-def _adjacency(left, right, same, vec, eps):
-    if not len(left) or not len(right):  # points may meet a block none of whose points meets theirs
-        return np.zeros((len(left), len(right)), dtype=bool)
-    hit = _within(_vectors(left, vec), _vectors(right, vec), eps)
-    if same:
-        np.fill_diagonal(hit, False)
-    return hit
+def _weigh(hit: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weight of the columns hit in each row."""
+    if (weights == 1).all():
+        return np.count_nonzero(hit, axis=1)
+    return (hit @ weights.astype(np.float64)).astype(np.int64)
+
+
+def _joined(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after rows i and j are joined, pair by pair; the smaller label stays."""
+    a, b = lab[i], lab[j]
+    other = a != b
+    if not other.any():
+        return lab
+    return _local_components(len(lab), a[other], b[other])[lab]
 
 
 def _local_components(n: int, ei: np.ndarray, ej: np.ndarray) -> np.ndarray:
@@ -141,15 +204,21 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T), 0.0))
 
 
-def metric_blocks(pts: DataFrame, g: list[str], eps: float, block_size: int) -> DataFrame:
+def block_points(block_size: int) -> Column:
+    """Points of a block in a group of ``__n`` points."""
+    return F.greatest(F.lit(block_size), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("__n") / F.lit(BLOCKS)))).cast("int")
+
+
+def metric_blocks(pts: DataFrame, g: list[str], eps: float, block_size: int | Column) -> DataFrame:
     """Points (group..., __id, __ord, __vec, __w, __n) -> plus ``__blk``, the point's block,
     and ``__with``, the other blocks of its group that may hold neighbours of it.
 
-    ``__n`` is the group's number of points.  Pivots meet the points in tasks of a
+    ``__n`` is the group's number of points; ``block_size`` may depend on it.  Pivots meet the points in tasks of a
     bounded number of points, so no vector goes to every block."""
-    chunks = F.ceil(F.col("__n") / F.lit(8 * block_size)).cast("int")
+    size = block_size if isinstance(block_size, Column) else F.lit(block_size)
+    chunks = F.ceil(F.col("__n") / F.least(F.lit(CHUNK), 8 * size)).cast("int")
     pts = pts.withColumn("__chunk", F.pmod(F.xxhash64("__id"), chunks).cast("int"))
-    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("__n") / F.lit(block_size)))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("__n") / size))
     by_hash = Window.partitionBy(*g).orderBy(F.xxhash64("__id", F.lit(17)), "__id")
     pivots = pts.withColumn("__cell", F.row_number().over(by_hash)).filter(F.col("__cell") <= MOST_PIVOTS) \
         .filter(F.col("__cell") <= wanted).select(*g, "__cell", F.col("__vec").alias("__pivot"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__chunk"))
@@ -168,7 +237,8 @@ def metric_blocks(pts: DataFrame, g: list[str], eps: float, block_size: int) ->
     placed = materialize(pts.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInPandas(assign, near))
     # a row per cell: its radius and its blocks' numbers
     of = Window.partitionBy(*g).orderBy("__cell")
-    cells = placed.groupBy(*g, "__cell").agg(F.max("__far").alias("__radius"), F.ceil(F.count(F.lit(1)) / F.lit(block_size)).cast("int").alias("__parts"))
+    cells = placed.groupBy(*g, "__cell").agg(F.max("__far").alias("__radius"), F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    cells = cells.withColumn("__parts", F.ceil(F.col("__c") / size).cast("int")).drop("__c", "__n")
     cells = materialize(cells.withColumn("__first", (F.sum("__parts").over(of) - F.col("__parts")).cast("int")))
     balls = pivots.join(cells, [*g, "__cell"])
     out = T.StructType(fields + [T.StructField("__blk", T.IntegerType()), T.StructField("__with", T.ArrayType(T.IntegerType()))])
@@ -206,8 +276,11 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
         out = dbscan(keyed, eps, min_pts, "__key", vec_col, order_col, group_cols, block_size)
         return out.join(keyed.select("__key", id_col), "__key").select(*g, id_col, "cluster_id", "is_core", "n_neighbors")
     # equal vectors are one point: its first id and order, and how many they are
-    raw = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"),
-                                    F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("__vec")))
+    kind = points.schema[vec_col].dataType
+    vec = F.col(vec_col)  # tasks compute in doubles; floats, which are doubles, take half the room
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType | T.DoubleType)):
+        vec = F.transform(vec, lambda x: x.cast("double"))
+    raw = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"), vec.alias("__vec")))
     pts = materialize(raw.groupBy(*g, "__vec").agg(F.min("__id").alias("__id"), F.min("__ord").alias("__ord"), F.count(F.lit(1)).alias("__w")))
     one_of = raw.join(pts.select(*g, "__vec", F.col("__id").alias("__point")), [*g, "__vec"]).select(*g, "__id", "__point")
     sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
@@ -237,93 +310,108 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
     pts = pts.filter(F.col("__n") > block_size)
     if pts.isEmpty():
         return for_all(local_out)
-    pts = metric_blocks(pts, g, eps, block_size)
+    pts = metric_blocks(pts, g, eps, block_points(block_size))
+    pair = [*g, "__a", "__b"]
+    # a number of its own: few bytes, but much work for each, are not put together into few tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def replicate(df):
-        r = df.withColumn("__j", F.explode(F.concat(F.array("__blk"), "__with")))
-        return r.withColumn("__a", F.least("__blk", "__j")).withColumn("__b", F.greatest("__blk", "__j")).drop("__j", "__with")
+    def replicate(df, to):
+        r = df.withColumn("__j", F.explode(to))
+        r = r.withColumn("__a", F.least("__blk", "__j")).withColumn("__b", F.greatest("__blk", "__j")).drop("__j", "__with")
+        return r.repartition(tasks, *pair)
 
     # ---- pass 1: neighbour counts
     count_schema = T.StructType(key_fields + [T.StructField("__id", T.LongType()), T.StructField("__cnt", T.LongType())])
 
     def count_fn(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, left, right = _pair_sets(pdf)
-        hit = _adjacency(left, right, a == b, "__vec", eps)
-        keys = {c: pdf[c].iloc[0] for c in g}
-        lw, rw = left["__w"].to_numpy(), right["__w"].to_numpy()
-        parts = [pd.DataFrame({"__id": left["__id"].to_numpy(), "__cnt": hit @ rw + (lw - 1 if a == b else 0)})]
+        lv, lw = _vectors(left, "__vec"), left["__w"].to_numpy()
+        rv, rw = (None, lw) if a == b else (_vectors(right, "__vec"), right["__w"].to_numpy())
+        lc = lw - 1 if a == b else np.zeros(len(left), dtype=np.int64)
+        rc = lc if a == b else np.zeros(len(right), dtype=np.int64)
+        for i, j, hit in _near(lv, rv, eps):
+            lc[i] += _weigh(hit, rw[j])
+            rc[j] += _weigh(hit.T, lw[i])
+        out = pd.DataFrame({"__id": left["__id"].to_numpy(), "__cnt": lc})
         if a != b:
-            parts.append(pd.DataFrame({"__id": right["__id"].to_numpy(), "__cnt": lw @ hit}))
-        out = pd.concat(parts, ignore_index=True)
+            out = pd.concat([out, pd.DataFrame({"__id": right["__id"].to_numpy(), "__cnt": rc})], ignore_index=True)
         for c in g:
-            out[c] = keys[c]
+            out[c] = pdf[c].iloc[0]
         return out[[f.name for f in count_schema.fields]]
 
-    rep = replicate(pts.select(*g, "__id", "__vec", "__w", "__blk", "__with"))
-    counts = rep.groupBy(*g, "__a", "__b").applyInPandas(count_fn, count_schema) \
+    rep = replicate(pts.select(*g, "__id", "__vec", "__w", "__blk", "__with"), F.concat(F.array("__blk"), "__with"))
+    counts = rep.groupBy(*pair).applyInPandas(count_fn, count_schema) \
                 .groupBy(*g, "__id").agg(F.sum("__cnt").alias("__deg"))
-    pts2 = materialize(pts.join(counts, [*g, "__id"]).withColumn("__core", F.col("__deg") >= F.lit(min_pts)))
-
-    # ---- pass 2: core-core spanning forest + border->core edges
+    pts2 = pts.join(counts, [*g, "__id"]).withColumn("__core", F.col("__deg") >= F.lit(min_pts))
+
+    # ---- pass 2: within a block, components of its cores (named by their smallest id; other points by their own) and those next to border points
+    fields = [f for f in pts2.schema.fields if f.name not in ("__w", "__n")]
+    block_schema = T.StructType(fields + [T.StructField("__comp", T.LongType()), T.StructField("__next", T.ArrayType(T.LongType()))])
+
+    def block_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__id", ignore_index=True)
+        v, core, ids = _vectors(pdf, "__vec"), pdf["__core"].to_numpy(dtype=bool), pdf["__id"].to_numpy(dtype=np.int64)
+        lab = np.arange(len(pdf))
+        met: list[list[int]] = [[] for _ in ids]
+        for i, j, hit in _near(v, None, eps):
+            ci, cj = np.nonzero(hit & core[i][:, None] & core[j][None, :])
+            lab = _joined(lab, i[ci], j[cj])
+            for m, n, bordering in ((i, j, hit), (j, i, hit.T)):
+                for x, y in zip(*np.nonzero(bordering & ~core[m][:, None] & core[n][None, :])):
+                    met[m[x]].append(n[y])
+        pdf["__comp"] = ids[lab]
+        pdf["__next"] = [np.unique(ids[lab[m]]) if m else np.zeros(0, np.int64) for m in met]
+        return pdf[[f.name for f in block_schema.fields]]
+
+    pts2 = materialize(pts2.select([f.name for f in fields]).repartition(tasks, *g, "__blk").groupBy(*g, "__blk").applyInPandas(block_fn, block_schema))
+
+    # ---- pass 3: between blocks, a spanning forest of components, and components next to border points
     edge_schema = T.StructType(key_fields + [T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
-                                             T.StructField("kind", T.StringType())])
+                                             T.StructField("border", T.BooleanType())])
 
     def edge_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, left, right = _pair_sets(pdf)
-        hit = _adjacency(left, right, a == b, "__vec", eps)
-        lid, rid = left["__id"].to_numpy(), right["__id"].to_numpy()
+        _, _, left, right = _pair_sets(pdf)
+        lid, rid = left["__id"].to_numpy(dtype=np.int64), right["__id"].to_numpy(dtype=np.int64)
         lc, rc = left["__core"].to_numpy(dtype=bool), right["__core"].to_numpy(dtype=bool)
-        srcs, dsts, kinds = [], [], []
-        # border -> core edges (both directions of the rectangle)
-        bi, bj = np.nonzero(hit & (~lc)[:, None] & rc[None, :])
-        srcs.append(lid[bi]); dsts.append(rid[bj]); kinds.append(np.full(len(bi), "bc"))
-        if a != b:
-            ci, cj = np.nonzero(hit & lc[:, None] & (~rc)[None, :])
-            srcs.append(rid[cj]); dsts.append(lid[ci]); kinds.append(np.full(len(ci), "bc"))
-        # core-core edges -> local spanning forest
-        ci, cj = np.nonzero(hit & lc[:, None] & rc[None, :])
-        if len(ci):
-            if a == b:
-                ids = lid
-                ui, uj = ci, cj
-            else:
-                ids = np.concatenate([lid, rid])
-                ui, uj = ci, cj + len(lid)
-            lab = _local_components(len(ids), ui, uj)
-            touched = np.unique(np.concatenate([ui, uj]))
-            # representative = member with the smallest id in each local component
-            rep_of = {}
-            for t in touched:
-                r = lab[t]
-                if r not in rep_of or ids[t] < ids[rep_of[r]]:
-                    rep_of[r] = t
-            nodes = touched
-            reps = np.array([rep_of[lab[t]] for t in nodes], dtype=np.int64)
-            keep = nodes != reps
-            srcs.append(ids[nodes[keep]]); dsts.append(ids[reps[keep]]); kinds.append(np.full(int(keep.sum()), "cc"))
-        out = pd.DataFrame({"src": np.concatenate(srcs).astype(np.int64) if srcs else np.zeros(0, np.int64),
-                            "dst": np.concatenate(dsts).astype(np.int64) if dsts else np.zeros(0, np.int64),
-                            "kind": np.concatenate(kinds) if kinds else np.zeros(0, object)})
+        names = np.unique(pdf["__comp"].to_numpy(dtype=np.int64))
+        lp, rp = (np.searchsorted(names, d["__comp"].to_numpy(dtype=np.int64)) for d in (left, right))
+        lab = np.arange(len(names))
+        border = [np.zeros((0, 2), np.int64)]
+        for i, j, hit in _near(_vectors(left, "__vec"), _vectors(right, "__vec"), eps):
+            ci, cj = np.nonzero(hit & lc[i][:, None] & rc[j][None, :])
+            lab = _joined(lab, lp[i[ci]], rp[j[cj]])
+            x, y = np.nonzero(hit & ~lc[i][:, None] & rc[j][None, :])
+            border.append(np.column_stack([lid[i[x]], names[rp[j[y]]]]))
+            x, y = np.nonzero(hit & lc[i][:, None] & ~rc[j][None, :])
+            border.append(np.column_stack([rid[j[y]], names[lp[i[x]]]]))
+        other = np.flatnonzero(lab != np.arange(len(lab)))
+        border = np.unique(np.concatenate(border), axis=0)
+        out = pd.DataFrame({"src": np.concatenate([names[other], border[:, 0]]).astype(np.int64),
+                            "dst": np.concatenate([names[lab[other]], border[:, 1]]).astype(np.int64),
+                            "border": np.repeat([False, True], [len(other), len(border)])})
         for c in g:
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in edge_schema.fields]]
 
-    rep2 = replicate(pts2.select(*g, "__id", "__vec", "__blk", "__with", "__core"))
-    edges = materialize(rep2.groupBy(*g, "__a", "__b").applyInPandas(edge_fn, edge_schema))
+    rep2 = replicate(pts2.select(*g, "__id", "__vec", "__blk", "__with", "__core", "__comp"), F.col("__with"))
+    edges = materialize(rep2.groupBy(*pair).applyInPandas(edge_fn, edge_schema))
 
     # ---- clusters: components of core points
-    cores = pts2.filter("__core").select(*g, "__id", "__ord")
-    cc_edges = edges.filter(F.col("kind") == "cc").select(*g, "src", "dst")
-    comps = connected_components(cc_edges, g, "src", "dst").withColumnRenamed("node", "__id")
-    core_comp = cores.join(comps, [*g, "__id"], "left") \
-                     .withColumn("component", F.coalesce(F.col("component"), F.col("__id")))
+    cores = pts2.filter("__core").select(*g, "__id", "__ord", "__comp")
+    cc_edges = edges.filter(~F.col("border")).select(*g, "src", "dst")
+    comps = connected_components(cc_edges, g, "src", "dst").withColumnRenamed("node", "__comp")
+    core_comp = cores.join(comps, [*g, "__comp"], "left") \
+                     .withColumn("component", F.coalesce(F.col("component"), F.col("__comp")))
     firsts = core_comp.groupBy(*g, "component").agg(F.min("__ord").alias("__first"))
     numbered = ranked(firsts, g, ["__first"]).select(*g, "component", F.col("rank").cast("int").alias("cluster_id"))
-    core_cluster = core_comp.join(numbered, [*g, "component"]).select(*g, "__id", "cluster_id")
+    core_cluster = materialize(core_comp.join(numbered, [*g, "component"]).select(*g, "__id", "__comp", "cluster_id"))
+    named = core_cluster.select(*g, "__comp", "cluster_id").distinct()
+    core_cluster = core_cluster.drop("__comp")
 
     # ---- border points: smallest adjacent cluster id
-    bc = edges.filter(F.col("kind") == "bc").select(*g, F.col("src").alias("__id"), F.col("dst").alias("__core_id"))
-    border = bc.join(core_cluster.withColumnRenamed("__id", "__core_id"), [*g, "__core_id"]) \
+    bc = edges.filter("border").select(*g, F.col("src").alias("__id"), F.col("dst").alias("__comp"))
+    bc = bc.unionByName(pts2.select(*g, "__id", F.explode("__next").alias("__comp")))
+    border = bc.join(named, [*g, "__comp"]) \
                .groupBy(*g, "__id").agg(F.min("cluster_id").alias("__border_cluster"))
 
     out = pts2.select(*g, "__id", "__core", "__deg") \

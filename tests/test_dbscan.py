@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators.components import connected_components
+from reviewloom.operators import dbscan as operator
 from reviewloom.operators.dbscan import dbscan, metric_blocks
 from reviewloom.operators.ranks import ranked
 from reviewloom.sources.tables import embeddings_view
@@ -147,6 +148,34 @@ def test_blocks_that_cannot_meet_are_dropped(spark):
                 assert r["__blk"] == s["__blk"] or s["__blk"] in r["__with"]
 
 
+def test_points_meet_a_bounded_number_of_blocks(spark):
+    """Where no bound cuts anything, points of a group four times larger still meet as many blocks."""
+    met = []
+    for n in (400, 1600):
+        rng = np.random.default_rng(n)
+        rows = [(0, i, [float(x) for x in v], i, 1, n) for i, v in enumerate(rng.normal(size=(n, 8)))]
+        pts = spark.createDataFrame(rows, "g int, __id long, __vec array<double>, __ord long, __w long, __n long")
+        met.append(max(len(r["__with"]) for r in metric_blocks(pts, ["g"], 100.0, operator.block_points(16)).collect()))
+    assert 3 <= met[0] <= 4 * operator.BLOCKS and met[1] <= 4 * operator.BLOCKS
+
+
+def test_tiles_lose_no_neighbour(monkeypatch):
+    monkeypatch.setattr(operator, "TILE", 7)
+    monkeypatch.setattr(operator, "WIDE", 30)
+    v = np.array([r[1] for r in planted(5, 40)])
+    want = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) <= 0.5
+    got, looked = np.zeros(want.shape, int), 0
+    for i, j, hit in operator._near(v, None, 0.5):
+        got[np.ix_(i, j)] += hit
+        got[np.ix_(j, i)] += hit.T
+        looked += hit.size
+    assert (got == (want & ~np.eye(len(v), dtype=bool))).all() and looked < 0.5 * want.size
+    got = np.zeros((200, len(v) - 200), int)
+    for i, j, hit in operator._near(v[:200], v[200:], 0.5):
+        got[np.ix_(i, j)] += hit
+    assert (got == want[:200, 200:]).all()
+
+
 def test_ranked(spark):
     rng = np.random.default_rng(1)
     rows = [(None if x == 3 else int(x), int(o)) for x, o in zip(rng.choice([0, 0, 0, 0, 1, 2, 3], 3000), rng.permutation(3000))]
