@@ -12,12 +12,14 @@ its probability needs of orders 3 and 4 then lies in its shard, and orders 1 and
 
 A text is given the language of the lowest cross-entropy per character.  A
 logistic curve over the lead on the second gives the score, and a text is
-rejected if it has no letter or its cross-entropy lies above all that a bounded
-sample of labelled texts shows, by a margin.
+rejected if it has no letter or its cross-entropy lies above all that the
+labelled texts show, by a margin.  Curve and bound come from all labelled texts,
+by sums over the table of their leads.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,16 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, scratch_path, stored
-from .compression_quality import fit_logistic
 
 ORDER = 4
 #: Counts of 4-grams by language in a shard, and cells (distinct 4-grams x languages) of
 #: its tables, about.  They bound the memory of what is built and broadcast at once; no gram and no language is left out.
 MOST_GRAMS = 2_000_000
 MOST_CELLS = 8_000_000
-#: Labelled texts that calibrate score and rejection.
-SAMPLE_ROWS = 4000
-#: Nats by which a rejected text exceeds every cross-entropy in that sample.
+#: Nats by which a rejected text exceeds every cross-entropy of labelled texts.
 MARGIN = 0.5
 #: Fewest characters of a text that sets the bound of rejection.
 LEAST_CHARS = 40
@@ -296,21 +295,36 @@ def _measure(spread):
     return run
 
 
-def _sampled(labelled: DataFrame) -> Column:
-    """Whether a row of (id, ..) belongs to the bounded sample by the id's hash."""
-    part = int(min(1.0, SAMPLE_ROWS / max(1, labelled.count())) * 1_000_003) + 1
-    return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) < part
-
-
-def calibrate(models: Models, some: DataFrame) -> None:
-    """Score curve and bound of rejection from (lang, best, entropy, lead, chars) of sampled labelled texts."""
-    got = some.filter("best is not null").limit(2 * SAMPLE_ROWS).toPandas()
-    if len(got):
-        right = (got["lang"] == got["best"]).to_numpy()
-        slope, models.offset = fit_logistic(got[["lead"]].to_numpy(), right.astype(float))
-        models.slope = float(slope[0])
-        long = got["entropy"][right & (got["chars"] >= LEAST_CHARS)]
-        models.most = float((long if len(long) else got["entropy"]).max()) + MARGIN
+def _fit_curve(cases: DataFrame) -> tuple[float, float]:
+    """(slope, offset) of 1 / (1 + exp(-(slope * lead + offset))) over all rows (lead, right), with smoothed
+    targets and a small penalty: a job that sums over the rows for each Newton step, as in ``fit_logistic``."""
+    at = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("n1"), F.avg("lead").alias("mean"), F.stddev_pop("lead").alias("std")).first()
+    n1, n0 = at.n1, at.n - at.n1
+    if not n1 or not n0:
+        return 0.0, math.log((n1 + 1) / (n0 + 1))
+    scale = at.std if at.std > 0 else 1.0
+    x = (F.col("lead") - at.mean) / scale
+    t = F.when(F.col("right"), (n1 + 1) / (n1 + 2)).otherwise(1 / (n0 + 2))
+    w, offset = 0.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x * w + offset))))
+        h, e = p * (1 - p) + 1e-9, p - t
+        got = cases.agg(F.sum(h * x * x), F.sum(h * x), F.sum(h), F.sum(e * x), F.sum(e)).first()
+        step = np.linalg.solve([[got[0] + 0.01, got[1]], [got[1], got[2]]], [got[3] + 0.01 * w, got[4]])
+        w, offset = (float(v - s) for v, s in zip((w, offset), np.clip(step, -2, 2)))
+        if np.abs(step).max() < 1e-9:
+            break
+    return w / scale, offset - w * at.mean / scale
+
+
+def calibrate(models: Models, labelled: DataFrame) -> None:
+    """Score curve and bound of rejection from (lang, best, entropy, lead, chars) of all labelled texts."""
+    right = F.col("lang") == F.col("best")
+    cases = labelled.filter("best is not null").select("lead", right.alias("right"), "entropy", (right & (F.col("chars") >= LEAST_CHARS)).alias("long"))
+    most = cases.agg(F.coalesce(F.max(F.when(F.col("long"), F.col("entropy"))), F.max("entropy"))).first()[0]
+    if most is not None:
+        models.slope, models.offset = _fit_curve(cases)
+        models.most = most + MARGIN
 
 
 def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -329,20 +343,18 @@ def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     labelled = rows.filter("learned and lang is not null and text is not null").select("id", "lang", "text")
     shards = train(labelled)
     models = next(shards)
-    kind = dict(rows.dtypes)["id"]
+    has_text = F.col("text").isNotNull().alias("has_text")
     if models.shards > 1:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
         found = stored(_measured(rows, scratch_path(spark, "parts"), models, shards), "measured")
-        told = rows.select("row", "id", "learned", "lang", F.col("text").isNotNull().alias("has_text")).join(found, "row")
-        sample = told.filter("learned and lang is not null and has_text").filter(_sampled(labelled)).select("lang", "best", "entropy", "lead", "chars")
-        calibrate(models, sample)
-        out = told.select("id", "learned", "best", "entropy", "lead", "chars")
+        told = rows.select("row", "id", "learned", "lang", has_text).join(found, "row")
     else:
-        if models.languages:
-            some = labelled.filter(_sampled(labelled)).select("lang", "text")
-            calibrate(models, some.mapInArrow(_measure(spark.sparkContext.broadcast(models)), "lang string, best string, entropy double, lead double, chars long"))
-        out = rows.select("id", "learned", "text").mapInArrow(
-            _measure(spark.sparkContext.broadcast(models)), f"id {kind}, learned boolean, best string, entropy double, lead double, chars long")
+        kind = dict(rows.dtypes)["id"]
+        told = stored(rows.select("id", "learned", "lang", has_text, "text").mapInArrow(
+            _measure(spark.sparkContext.broadcast(models)),
+            f"id {kind}, learned boolean, lang string, has_text boolean, best string, entropy double, lead double, chars long"), "measured")
+    calibrate(models, stored(told.filter("learned and lang is not null and has_text").select("lang", "best", "entropy", "lead", "chars"), "leads"))
+    out = told.select("id", "learned", "best", "entropy", "lead", "chars")
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), models.slope * F.col("lead") + models.offset))))
     return out.select("id", "learned", F.coalesce("best", F.lit("und")).alias("lang_pred"),
                       F.when(F.col("best").isNull(), 0.0).otherwise(score).alias("score"), "entropy",
