@@ -9,8 +9,8 @@ verified with ``contains``.
   (i = 0..S-1); texts index only the grams starting at positions that are
   multiples of S.  Any occurrence at position P has an aligned anchor
   i = (-P) mod S with P + i + G <= P + L, so no match is lost while the text
-  index is S times smaller than a full gram index.  Long quotes use a large
-  stride, shorter ones a small stride, the full (stride 1) index or, below G
+  index is S times smaller than a full gram index.  Long quotes use long grams
+  and a large stride, shorter ones short grams and that stride, a small stride, the full (stride 1) index or, below G
   characters, an index of grams of their own length; each index is built
   only when quotes of its tier exist (a bounded metadata check).
 
@@ -22,6 +22,8 @@ Everything runs inside Spark tasks as Column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ from .joins import bounded_broadcast
 
 GRAM = 8
 STRIDES = (32, 4)
+#: Gram length of quotes long enough: shorter grams of common words would make
+#: nearly every text a candidate of every quote.
+LONG_GRAM = 32
 
 
 def _grams(text: Column, g: int, stride: int) -> Column:
@@ -44,49 +49,57 @@ def _grams(text: Column, g: int, stride: int) -> Column:
 
 
 def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str], text_id: str, text_col: str,
-                      quote_id: str, quote_col: str, gram: int = GRAM, strides: tuple[int, ...] = STRIDES) -> DataFrame:
+                      quote_id: str, quote_col: str, gram: int = GRAM, strides: tuple[int, ...] = STRIDES,
+                      of_text: Callable[[Column], Column] | None = None) -> DataFrame:
     """All (key..., quote_id, text_id) with ``text contains quote`` (quote non-empty).
 
-    Quotes are split into tiers by length: a quote of length L >= gram + S - 1
+    With ``of_text``, ``of_text(text)`` is searched; it is computed for the index, and then
+    for the texts of candidate pairs alone.
+
+    Quotes are split into tiers by length: a quote of length L >= LONG_GRAM + S - 1
+    has anchors of LONG_GRAM characters, one of length L >= gram + S - 1
     goes to the largest stride S it supports (its S aligned anchors), then the
     dense gram index, then an index of grams of the quote's own length.  Only
     tiers that hold quotes get an index (decided from one small aggregate of
     the quote lengths)."""
     k = list(key_cols)
+    of_text = of_text or (lambda text: text)
     q = quotes.select(*k, quote_id, F.col(quote_col).alias("__q")).filter(F.length("__q") > 0)
     q = materialize(q.withColumn("__L", F.length("__q")))  # small; read by several size checks
-    tiers = sorted(set(strides) | {1}, reverse=True)
-    need = [gram + s - 1 for s in tiers]  # minimum quote length per tier
+    steps = sorted(set(strides) | {1}, reverse=True)
+    tiers = [(max(gram, LONG_GRAM), steps[0])] + [(gram, s) for s in steps]
     tier_of = F.lit(None).cast("int")
-    for s_, n_ in reversed(list(zip(tiers, need))):
-        tier_of = F.when(F.col("__L") >= n_, F.lit(s_)).otherwise(tier_of)
+    for i, (g, s) in reversed(list(enumerate(tiers))):  # a tier needs quotes of g + s - 1 characters
+        tier_of = F.when(F.col("__L") >= g + s - 1, F.lit(i)).otherwise(tier_of)
     q = q.withColumn("__tier", F.coalesce(tier_of, -F.col("__L")))  # negative: short quote of that length
     present = sorted(r[0] for r in q.select("__tier").distinct().collect())  # <= len(tiers) + gram - 1 values
 
     anchors = []
     for t in present:
         sel = q.filter(F.col("__tier") == t)
-        if t > 0:
-            a = sel.select(*k, quote_id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(t - 1)),
-                                                               lambda i: F.substring(F.col("__q"), i + 1, gram)))
+        if t >= 0:
+            g, s = tiers[t]
+            a = sel.select(*k, quote_id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(s - 1)),
+                                                               lambda i: F.substring(F.col("__q"), i + 1, g)))
                            .alias("__gram"))
-            anchors.append((a, gram, t))
+            anchors.append((a, g, s))
         else:
             anchors.append((sel.select(*k, quote_id, F.col("__q").alias("__gram")), -t, 1))
 
     tx = texts.select(*k, text_id, F.col(text_col).alias("__t"))
     cands = None
     for aq, g, s in anchors:
-        idx = tx.select(*k, text_id, F.explode(_grams(F.col("__t"), g, s)).alias("__gram"))
+        # outer, or Spark first filters by the grams, which computes them again; the join drops the nulls
+        idx = tx.select(*k, text_id, F.explode_outer(_grams(of_text(F.col("__t")), g, s)).alias("__gram"))
         c = idx.join(bounded_broadcast(aq.distinct()), [*k, "__gram"]).select(*k, quote_id, text_id)
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
         return tx.select(*k, F.lit(None).cast(q.schema[quote_id].dataType).alias(quote_id), text_id).limit(0)
-    cands = cands.distinct()
-    # verify: candidates are few; bring texts and quotes back by key
+    cands = materialize(cands.distinct())
+    # verify: candidates are few; quotes are brought to the texts by key, so that texts are shuffled only beyond the bound
     v = cands.join(bounded_broadcast(q.select(*k, quote_id, "__q")), [*k, quote_id])
-    v = v.join(tx, [*k, text_id])
-    return v.filter(F.col("__t").contains(F.col("__q"))).select(*k, quote_id, text_id)
+    v = tx.join(bounded_broadcast(v), [*k, text_id])
+    return v.filter(of_text(F.col("__t")).contains(F.col("__q"))).select(*k, quote_id, text_id)
 
 
 def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str], match_cols: list[str],

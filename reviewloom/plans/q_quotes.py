@@ -62,11 +62,10 @@ GROUP BY q.item_id
 def quote_normalised(spark, sf_dir):
     """J3 + W3: altered passages matched after normalisation (length > 5);
     the *last* matching review in scan order wins."""
-    r = reviews_view(spark, sf_dir).select("review_id", "content", "ord") \
-        .withColumn("norm", normalize_for_match("content"))
+    r = reviews_view(spark, sf_dir).select("review_id", "content", "ord")
     q = quotes_view(spark, sf_dir).filter(F.col("quote_ord") == 1) \
         .select("item_id", normalize_for_match(js_trim("quote")).alias("nq")).filter(F.length("nq") > 5)
-    m = substring_matches(r, q, [], "review_id", "norm", "item_id", "nq", gram=6)
+    m = substring_matches(r, q, [], "review_id", "content", "item_id", "nq", gram=6, of_text=normalize_for_match)
     m = m.join(r.select("review_id", "ord"), "review_id")
     return m.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_matches"),
                                     F.max_by("review_id", "ord").alias("last_review_id"))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from reviewloom.operators import quotes as operator
 from reviewloom.operators.quotes import substring_matches, validate_quotes
 
 REVIEWS = [(1, "Opening my account page takes ages and then it freezes."),
@@ -54,3 +55,17 @@ def test_substring_matches_equals_brute_force(spark):
     got = {(r.qid, r.tid) for r in substring_matches(tdf, qdf, [], "tid", "t", "qid", "q").collect()}
     want = {(qi, ti) for qi, q in enumerate(quotes) for ti, t in enumerate(texts) if q and q in t}
     assert got == want
+
+
+def test_common_short_grams_make_no_candidates(spark, monkeypatch):
+    """Texts of the quotes' words in another order share short grams with each quote, but none as long as LONG_GRAM."""
+    words = [f"word{i % 7}common" for i in range(40)]
+    texts = [(i, " ".join(words[i % 5:] + [f"tail{i}"])) for i in range(60)]
+    quotes = [(1, texts[7][1][11:140]), (2, ("commonword" * 20)[:150]), (3, texts[9][1][-25:])]
+    seen = []
+    kept = operator.materialize
+    monkeypatch.setattr(operator, "materialize", lambda df: seen.append(kept(df)) or seen[-1])
+    found = operator.substring_matches(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(quotes, "q long, s string"),
+                                       [], "id", "t", "q", "s", gram=6, of_text=F.lower)
+    assert sorted(map(tuple, found.select("q", "id").collect())) == [(q, i) for q, s in quotes for i, t in texts if s in t]
+    assert {r.q for r in seen[-1].collect()} <= {1, 3}
