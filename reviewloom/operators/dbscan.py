@@ -10,8 +10,9 @@ Semantics (sequential reference behaviour):
   (smallest ``order_col`` among its core points), per group.
 
 Distribution.  Equal vectors of a group become one point with a weight, so
-copies cost nothing.  A group of more than ``block_size`` points gets pivots,
-drawn by hash.  Every point belongs to the cell of its nearest pivot; cells
+copies cost nothing.  A group of at most ``block_size`` points, or at most a sixteenth of all
+points (and LARGEST_BLOCK), is clustered by one task, in tiles of distances, so its vectors
+are shuffled once; with fewer or larger groups, a group gets pivots, drawn by hash.  Every point belongs to the cell of its nearest pivot; cells
 keep their radius and are cut into blocks of bounded size.  A point x of cell a
 can have a neighbour in cell b only if it lies within eps of b's ball,
 ``d(x, p_b) <= r_b + eps``, and not more than 2 eps farther from p_b than from p_a (the
@@ -43,6 +44,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import connected_components
+from .joins import bounded_broadcast
 from .ranks import ranked
 
 BAND = 1e-7
@@ -50,6 +52,8 @@ BAND = 1e-7
 BLOCK = 512
 #: Blocks of a group, but for cells that are cut, until blocks hold LARGEST_BLOCK points.
 BLOCKS = 8
+#: A group of at most this part of all points is one block.
+SHARES = 16
 #: Most points of a block: two make a task.
 LARGEST_BLOCK = 1 << 16
 #: Points of a task that assigns points to pivots, at most.
@@ -172,30 +176,27 @@ def _local_components(n: int, ei: np.ndarray, ej: np.ndarray) -> np.ndarray:
 
 
 def _local_dbscan(ids: np.ndarray, vecs: np.ndarray, weights: np.ndarray, eps: float, min_pts: int):
-    """All rules inside one bounded task (points already in scan order)."""
+    """All rules inside one bounded task (points already in scan order), in tiles of distances."""
     n = len(ids)
-    hit = _within(vecs, vecs, eps) if n else np.zeros((0, 0), dtype=bool)
-    np.fill_diagonal(hit, False)
-    deg = hit @ weights + weights - 1
+    deg = weights.astype(np.int64) - 1
+    for i, j, hit in _near(vecs, None, eps):
+        deg[i] += _weigh(hit, weights[j])
+        deg[j] += _weigh(hit.T, weights[i])
     core = deg >= min_pts
-    ci, cj = np.nonzero(hit & core[:, None] & core[None, :])
-    lab = _local_components(n, ci, cj)
+    at, rest = np.flatnonzero(core), np.flatnonzero(~core)
     cluster = np.full(n, -1, dtype=np.int64)
-    # components of cores, numbered by their first core in scan order
-    next_id = 0
-    first_of = {}
-    for i in range(n):
-        if core[i]:
-            r = lab[i]
-            if r not in first_of:
-                first_of[r] = next_id
-                next_id += 1
-            cluster[i] = first_of[r]
+    # components of cores, named and so numbered by their first core in scan order
+    lab = np.arange(len(at))
+    for i, j, hit in _near(vecs[at], None, eps):
+        ci, cj = np.nonzero(hit)
+        lab = _joined(lab, i[ci], j[cj])
+    cluster[at] = np.unique(lab, return_inverse=True)[1]
     # border points: smallest adjacent cluster id
-    for i in np.nonzero(~core)[0]:
-        adj = np.nonzero(hit[i] & core)[0]
-        if len(adj):
-            cluster[i] = cluster[adj].min()
+    first = np.full(len(rest), n)
+    for i, j, hit in _near(vecs[rest], vecs[at], eps):
+        x, y = np.nonzero(hit)
+        np.minimum.at(first, i[x], cluster[at[j[y]]])
+    cluster[rest] = np.where(first < n, first, -1)
     return cluster, core, deg
 
 
@@ -204,9 +205,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T), 0.0))
 
 
-def block_points(block_size: int) -> Column:
-    """Points of a block in a group of ``__n`` points."""
-    return F.greatest(F.lit(block_size), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("__n") / F.lit(BLOCKS)))).cast("int")
+def block_points(block_size: int, total: int = 0) -> Column:
+    """Points of a block in a group of ``__n`` points; ``total``: points of all groups.  Where there are many groups these give
+    tasks enough, so a group is cut only if it holds more than its share of all points."""
+    share = F.greatest(F.ceil(F.col("__n") / F.lit(BLOCKS)), F.lit(-(-total // SHARES)))
+    return F.greatest(F.lit(block_size), F.least(F.lit(LARGEST_BLOCK), share)).cast("int")
 
 
 def metric_blocks(pts: DataFrame, g: list[str], eps: float, block_size: int | Column) -> DataFrame:
@@ -282,9 +285,15 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
         vec = F.transform(vec, lambda x: x.cast("double"))
     raw = materialize(points.select(*g, F.col(id_col).alias("__id"), F.col(order_col).alias("__ord"), vec.alias("__vec")))
     pts = materialize(raw.groupBy(*g, "__vec").agg(F.min("__id").alias("__id"), F.min("__ord").alias("__ord"), F.count(F.lit(1)).alias("__w")))
-    one_of = raw.join(pts.select(*g, "__vec", F.col("__id").alias("__point")), [*g, "__vec"]).select(*g, "__id", "__point")
-    sizes = pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-    pts = materialize(pts.join(sizes, g))
+    # only rows that have copies are looked up by their vector
+    copied = pts.filter("__w > 1").select(*g, "__vec", F.col("__id").alias("__point"))
+    one_of = pts.filter("__w = 1").select(*g, "__id", F.col("__id").alias("__point")) \
+        .unionByName(raw.join(bounded_broadcast(copied), [*g, "__vec"]).select(*g, "__id", "__point"))
+    sizes = materialize(pts.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")))
+    pts = pts.join(bounded_broadcast(sizes), g)
+    size = block_points(block_size, sizes.agg(F.sum("__n")).first()[0] or 0)
+    # a number of its own: few bytes, but much work for each, are not put together into few tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_fields = [points.schema[c] for c in g]
     out_schema = T.StructType(key_fields + [T.StructField("__point", T.LongType()), T.StructField("cluster_id", T.IntegerType()),
                                             T.StructField("is_core", T.BooleanType()),
@@ -305,15 +314,13 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, id_col: str, vec_col: st
         return out[[f.name for f in out_schema.fields]]
 
     in_order = Window.partitionBy(*g).orderBy("__ord", "__id")  # the order may be of any type, such as a struct
-    small = pts.filter(F.col("__n") <= block_size).withColumn("__r", F.row_number().over(in_order))
+    small = pts.filter(F.col("__n") <= size).repartition(tasks, *g).withColumn("__r", F.row_number().over(in_order))
     local_out = small.select(*g, "__id", "__vec", "__w", "__r").groupBy(*g).applyInPandas(local_fn, out_schema)
-    pts = pts.filter(F.col("__n") > block_size)
-    if pts.isEmpty():
+    pts = pts.filter(F.col("__n") > size)
+    if sizes.filter(F.col("__n") > size).isEmpty():
         return for_all(local_out)
-    pts = metric_blocks(pts, g, eps, block_points(block_size))
+    pts = metric_blocks(pts, g, eps, size)
     pair = [*g, "__a", "__b"]
-    # a number of its own: few bytes, but much work for each, are not put together into few tasks
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def replicate(df, to):
         r = df.withColumn("__j", F.explode(to))

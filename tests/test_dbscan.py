@@ -184,3 +184,25 @@ def test_ranked(spark):
     for g, o in sorted(rows, key=lambda r: r[1]):
         by.setdefault(g, []).append(o)
     assert sorted(((r.g, r.o, r.rank) for r in got), key=str) == sorted(((g, o, k) for g, v in by.items() for k, o in enumerate(v)), key=str)
+
+
+def test_many_groups_are_not_cut(spark, monkeypatch):
+    """Groups of a small share of all points are clustered whole, larger than a block or than a tile."""
+    rng = np.random.default_rng(5)
+    groups = {g: np.repeat(rng.normal(size=(30, 3)).round(1), 2 + g % 2, axis=0) + (rng.random((30 * (2 + g % 2), 1)) > 0.5) for g in range(24)}
+    rows = [(g, g * 1000 + i, [float(x) for x in v]) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g int, id long, v array<double>").withColumn("ord", F.col("id"))
+    monkeypatch.setattr(operator, "metric_blocks", lambda *a: pytest.fail("vectors sent to several blocks"))
+    got = {(r.g, r.id): r.cluster_id for r in dbscan(df, 0.9, 4, "id", "v", "ord", ["g"], block_size=8).collect()}
+    assert len(got) == len(rows)
+    for g, vs in groups.items():
+        assert [got[g, g * 1000 + i] for i in range(len(vs))] == defined_dbscan(vs, 0.9, 4)
+
+
+def test_whole_group_in_tiles(monkeypatch):
+    monkeypatch.setattr(operator, "TILE", 7)
+    monkeypatch.setattr(operator, "WIDE", 16)
+    v = np.random.default_rng(6).normal(size=(150, 2))
+    w = np.ones(150, dtype=np.int64)
+    for eps, min_pts in ((0.2, 3), (0.35, 6), (0.05, 1), (0.01, 4)):
+        assert operator._local_dbscan(np.arange(150), v, w, eps, min_pts)[0].tolist() == defined_dbscan(v, eps, min_pts)
