@@ -15,7 +15,7 @@ from ..functions import weeks
 from ..operators.reports import (default_week, log_only_weeks, patch_mail_id, plan_outbox, plan_sections,
                                  redraft_eligible, report_listing, report_lookup, runs_to_do, upsert_run_log)
 from ..sources import stakeholders
-from ..sources.tables import SQL_REVIEWS_V, reviews_view, table
+from ..sources.tables import SQL_REVIEWS_V, review_vectors, reviews_view, table
 from .catalog import register
 from .weekly import weekly_feedback, window_stage
 
@@ -262,10 +262,10 @@ EPS = 1.14
 
 
 def _weekly(spark, sf_dir):
-    r = reviews_view(spark, sf_dir, with_embedding=True)
+    r = reviews_view(spark, sf_dir)
     req = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct() \
            .withColumn("lookback_weeks", F.lit(10))
-    return weekly_feedback(r, req, eps=EPS, min_pts=3)
+    return weekly_feedback(r, req, eps=EPS, min_pts=3, vectors_of=review_vectors(spark, sf_dir))
 
 
 def q_weekly_audit(spark, sf_dir):
@@ -426,11 +426,12 @@ register("weekly_reports", _weekly_reports_sql())(q_weekly_reports)
 def _weekly_with_state(spark, sf_dir):
     """G1 over an earlier log (weeks of even number are done), stored reports, forced weeks
     (multiples of 4) and recipients; a one-week look-back leaves some windows empty."""
-    r = reviews_view(spark, sf_dir, with_embedding=True)
+    r = reviews_view(spark, sf_dir)
     req = r.select("product", weeks.iso_week_key("review_ts").alias("week")).distinct() \
            .withColumn("lookback_weeks", F.lit(10)).withColumn("force", F.substring("week", 7, 2).cast("int") % 4 == 0)
     log = _log(spark, sf_dir).filter(F.substring("week", 7, 2).cast("int") % 2 == 0)
-    return weekly_feedback(r, req, eps=EPS, min_pts=3, run_log=log, stored_reports=_reports(spark, sf_dir), recipients=_recipients(spark, sf_dir))
+    return weekly_feedback(r, req, eps=EPS, min_pts=3, run_log=log, stored_reports=_reports(spark, sf_dir), recipients=_recipients(spark, sf_dir),
+                           vectors_of=review_vectors(spark, sf_dir))
 
 
 def q_weekly_outbox(spark, sf_dir):

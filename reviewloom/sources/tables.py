@@ -69,6 +69,11 @@ def reviews_view(spark: SparkSession, sf_dir: str, with_embedding: bool = False)
     return r.withColumn("ord", review_order_key())
 
 
+def review_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews' vectors by themselves: review_id, embedding."""
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "review_id")
+
+
 SQL_REVIEWS_V = """
 reviews_v AS (
   SELECT lang AS product, doc_id AS review_id, text AS content,
