@@ -36,6 +36,8 @@ STRIDES = (32, 4)
 #: Gram length of quotes long enough: shorter grams of common words would make
 #: nearly every text a candidate of every quote.
 LONG_GRAM = 32
+#: Number of a text that stands under several keys.
+ROW = "__row"
 
 
 def _grams(text: Column, g: int, stride: int) -> Column:
@@ -50,9 +52,12 @@ def _grams(text: Column, g: int, stride: int) -> Column:
 
 def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str], text_id: str, text_col: str,
                       quote_id: str, quote_col: str, gram: int = GRAM, strides: tuple[int, ...] = STRIDES,
-                      of_text: Callable[[Column], Column] | None = None) -> DataFrame:
+                      of_text: Callable[[Column], Column] | None = None, places: DataFrame | None = None) -> DataFrame:
     """All (key..., quote_id, text_id) with ``text contains quote`` (quote non-empty).
 
+    With ``places`` (key..., text_id, ROW), each text stands once in ``texts`` (ROW, text_col), however many keys
+    it is searched under: grams of texts are taken once, and only those of quotes meet the places.
+
     With ``of_text``, ``of_text(text)`` is searched; it is computed for the index, and then
     for the texts of candidate pairs alone.
 
@@ -86,27 +91,37 @@ def substring_matches(texts: DataFrame, quotes: DataFrame, key_cols: list[str],
         else:
             anchors.append((sel.select(*k, quote_id, F.col("__q").alias("__gram")), -t, 1))
 
-    tx = texts.select(*k, text_id, F.col(text_col).alias("__t"))
+    own = [*k, text_id] if places is None else [ROW]
+    tx = texts.select(*own, F.col(text_col).alias("__t"))
+    found = [*k, quote_id, text_id, *([] if places is None else own)]
     cands = None
     for aq, g, s in anchors:
         # outer, or Spark first filters by the grams, which computes them again; the join drops the nulls
-        idx = tx.select(*k, text_id, F.explode_outer(_grams(of_text(F.col("__t")), g, s)).alias("__gram"))
-        c = idx.join(bounded_broadcast(aq.distinct()), [*k, "__gram"]).select(*k, quote_id, text_id)
+        idx = tx.select(*own, F.explode_outer(_grams(of_text(F.col("__t")), g, s)).alias("__gram"))
+        aq = aq.distinct()
+        if places is not None:
+            aq = materialize(aq)
+            idx = idx.join(bounded_broadcast(aq.select("__gram").distinct()), "__gram", "left_semi").join(places.select(*k, text_id, ROW), ROW)
+        c = idx.join(bounded_broadcast(aq), [*k, "__gram"]).select(*found)
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
-        return tx.select(*k, F.lit(None).cast(q.schema[quote_id].dataType).alias(quote_id), text_id).limit(0)
+        return (tx if places is None else places).select(*k, F.lit(None).cast(q.schema[quote_id].dataType).alias(quote_id), text_id).limit(0)
     cands = materialize(cands.distinct())
     # verify: candidates are few; quotes are brought to the texts by key, so that texts are shuffled only beyond the bound
     v = cands.join(bounded_broadcast(q.select(*k, quote_id, "__q")), [*k, quote_id])
-    v = tx.join(bounded_broadcast(v), [*k, text_id])
+    v = tx.join(bounded_broadcast(v), own)
     return v.filter(of_text(F.col("__t")).contains(F.col("__q"))).select(*k, quote_id, text_id)
 
 
 def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str], match_cols: list[str],
                     review_id: str = "review_id", order_col: str = "ord", text_col: str = "content",
-                    quote_ord: str = "quote_ord", quote_col: str = "quote") -> tuple[DataFrame, DataFrame]:
+                    quote_ord: str = "quote_ord", quote_col: str = "quote",
+                    texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate LLM quotes against the theme's source reviews.
 
+    With ``texts`` (ROW, content), ``reviews`` have a ROW in place of the content, and a review of many themes
+    is read once.
+
     ``quotes``: theme_cols + quote_ord + quote.  ``reviews``: match_cols +
     review_id + order_col + content, where ``match_cols`` is the subset of the
     theme key the reviews carry (e.g. product, week, cluster_id).
@@ -127,23 +142,32 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
               .withColumn("__qid", F.struct(*[F.col(c) for c in th], F.col(quote_ord)))
     q = materialize(q)  # small; reused by both match passes and the roll-up
     nonblank = q.filter(F.length("__trim") > 0)
-    rv = reviews.select(*mk, review_id, order_col, text_col)
+    text = text_col if texts is None else ROW
+    rv = reviews.select(*mk, review_id, order_col, text)
+    searched, places = (rv, None) if texts is None else (texts, rv)
 
-    exact = substring_matches(rv, nonblank.select(*mk, "__qid", "__trim"), mk, review_id, text_col, "__qid", "__trim")
+    exact = substring_matches(searched, nonblank.select(*mk, "__qid", "__trim"), mk, review_id, text_col, "__qid", "__trim", places=places)
     exact_first = materialize(exact.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
         F.min_by(F.col(review_id), F.col(order_col)).alias("__exact_review")))  # one row per matched quote
 
+    def read(rows: DataFrame, col: str) -> DataFrame:
+        """``rows`` with the text that ``col`` numbers, if it is a number."""
+        if texts is None:
+            return rows
+        found = texts.select(F.col(ROW).alias(col), F.col(text_col).alias("__read")).join(bounded_broadcast(rows), col)
+        return found.withColumn(col, F.col("__read")).select(rows.columns)
+
     pending = nonblank.join(exact_first.select(*mk, "__qid"), [*mk, "__qid"], "left_anti") \
                       .withColumn("__nq", normalize_for_match("__trim")).filter(F.length("__nq") > 5)
     pending = materialize(pending.select(*mk, "__qid", "__nq"))
     if pending.limit(1).count() > 0:
         # normalise each candidate text once; the index and the check both read it
-        rvn = materialize(rv.select(*mk, review_id, normalize_for_match(text_col).alias("__norm")))
-        norm = substring_matches(rvn, pending, mk, review_id, "__norm", "__qid", "__nq", gram=6)
+        rvn = materialize(searched.select(*([*mk, review_id] if texts is None else [ROW]), normalize_for_match(text_col).alias("__norm")))
+        norm = substring_matches(rvn, pending, mk, review_id, "__norm", "__qid", "__nq", gram=6, places=places)
         norm_last = norm.join(rv, [*mk, review_id]).groupBy(*mk, "__qid").agg(
-            F.max_by(F.struct(F.col(text_col).alias("t"), F.col(review_id).alias("i")), F.col(order_col)).alias("__m"))
-        norm_last = materialize(norm_last.select(*mk, "__qid", F.col("__m.t").alias("__recovered"),
-                                                 F.col("__m.i").alias("__recovered_review")))
+            F.max_by(F.struct(F.col(text).alias("t"), F.col(review_id).alias("i")), F.col(order_col)).alias("__m"))
+        norm_last = read(materialize(norm_last.select(*mk, "__qid", F.col("__m.t").alias("__recovered"),
+                                                      F.col("__m.i").alias("__recovered_review"))), "__recovered")
     else:
         norm_last = pending.select(*mk, "__qid", F.lit(None).cast("string").alias("__recovered"),
                                    F.lit(None).cast(rv.schema[review_id].dataType).alias("__recovered_review"))
@@ -169,7 +193,9 @@ def validate_quotes(quotes: DataFrame, reviews: DataFrame, theme_cols: list[str]
         F.transform(F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(),
                                                        F.struct(quote_ord, "warning")))),
                     lambda s: s["warning"]).alias("__warn"))
-    first_review = rv.groupBy(*mk).agg(F.min_by(F.col(text_col), F.col(order_col)).alias("__first"))
+    first_review = rv.groupBy(*mk).agg(F.min_by(F.col(text), F.col(order_col)).alias("__first"))
+    if texts is not None:
+        first_review = read(materialize(first_review), "__first")
     roll = themes.join(per_theme, th, "left").join(first_review, mk, "left")
     valid = F.coalesce(F.col("__valid"), F.array().cast("array<string>"))
     warn = F.coalesce(F.col("__warn"), F.array().cast("array<string>"))

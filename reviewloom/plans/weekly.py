@@ -133,19 +133,20 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     in_cluster = assigned.filter(F.col("cluster_id") >= 0).select(*KEY, "review_id", "cluster_id") \
         .join(slim.select("product", "review_id", "__row"), ["product", "review_id"])
     members = materialize(pts.join(in_cluster, [*KEY, "review_id"]))
-    # a vector goes to centroid and sample, a text to the sample and the rows that quotes are looked up in
+    # each text stands once, however many windows it is in
+    clustered = materialize(members.select("__row").distinct())
+    texts = materialize(texts.join(bounded_broadcast(clustered, MOST_ROW_NUMBERS), "__row", "left_semi"))
     sample = materialize(with_texts(materialize(nearest_to_centroid(members, CKEY, "ord", k=k)), texts))
-    members = materialize(with_texts(members.select(*CKEY, "review_id", "ord", "__row"), texts))
     prompts = prompt_table(sample, CKEY)
     themes_raw = ingest_responses(prompts, responses, fallback_quotes(sample, CKEY), CKEY)
     if offline:
-        own = offline_themes(members, CKEY, KEY, sample).select(*CKEY, F.struct(*THEME_FIELDS).alias("__own"))
+        own = offline_themes(with_texts(members, texts), CKEY, KEY, sample).select(*CKEY, F.struct(*THEME_FIELDS).alias("__own"))
         themes_raw = themes_raw.join(own, CKEY, "left").withColumns(
             {c: F.when(F.col("used_fallback") & F.col("__own").isNotNull(), F.col(f"__own.{c}")).otherwise(F.col(c)) for c in THEME_FIELDS}).drop("__own")
 
     quotes = themes_raw.select(*CKEY, F.posexplode("representative_quotes").alias("quote_ord", "quote"))
-    checks, roll = validate_quotes(quotes, members.select(*CKEY, "review_id", "ord", "content"),
-                                   theme_cols=CKEY, match_cols=CKEY)
+    checks, roll = validate_quotes(quotes, members.select(*CKEY, "review_id", "ord", "__row"),
+                                   theme_cols=CKEY, match_cols=CKEY, texts=texts)
     themes = themes_raw.join(roll.select(*CKEY, "valid_quotes", "warnings"), CKEY, "left") \
         .withColumn("representative_quotes",
                     F.coalesce(F.col("valid_quotes"), F.array().cast("array<string>"))).drop("valid_quotes")

@@ -69,3 +69,18 @@ def test_common_short_grams_make_no_candidates(spark, monkeypatch):
                                        [], "id", "t", "q", "s", gram=6, of_text=F.lower)
     assert sorted(map(tuple, found.select("q", "id").collect())) == [(q, i) for q, s in quotes for i, t in texts if s in t]
     assert {r.q for r in seen[-1].collect()} <= {1, 3}
+
+
+def test_texts_that_stand_once(spark):
+    """A review of many themes is read once, and every theme gets what it gets with texts of its own."""
+    reviews = [(c, r, r, REVIEWS[r % len(REVIEWS)][1] + f" {r}") for c in range(3) for r in range(9) if (r + c) % 3]
+    quotes = [(c, o, q) for c in range(3) for o, q in enumerate([REVIEWS[0][1] + " 1", REVIEWS[1 % len(REVIEWS)][1].upper(), "page", "never written anywhere", " "])]
+    quotes = [q for q in quotes if q[0] < 2] + [(2, 0, "neither was this sentence")]
+    q = spark.createDataFrame(quotes, "theme int, quote_ord int, quote string")
+    r = spark.createDataFrame(reviews, "theme int, review_id int, ord int, content string")
+    texts = r.select(F.col("review_id").alias("__row"), "content").distinct()
+    want = validate_quotes(q, r, ["theme"], ["theme"])
+    got = validate_quotes(q, r.drop("content").withColumn("__row", F.col("review_id")), ["theme"], ["theme"], texts=texts)
+    for a, b in zip(got, want):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {c.outcome for c in got[0].collect()} == {"exact", "recovered", "discarded"}
