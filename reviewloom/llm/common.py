@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_session_defaults, ensure_checkpoint_dir
 
-#: Rows per Arrow batch sent to Python: texts may be long, so batches are short.
+#: Rows and bytes per Arrow batch sent to Python: texts may be long, so batches are short.
+#: The row that exceeds the bytes ends its batch.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 #: The setting that fixes how scans are split, whatever the number of cores.
 MIN_SPLITS = "spark.sql.files.minPartitionNum"
@@ -31,6 +37,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not spark.conf.get(MIN_SPLITS, None):
         spark.conf.set(MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -51,6 +58,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def release_memory() -> None:
+    """Gives memory that Arrow and the C library hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, a function for ``mapInArrow``, with ``release_memory`` at its end.  A Python worker
+    outlives its tasks, and what its allocators hold counts to the executor in the steps that follow."""
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+    return whole
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in ``text``; null has none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE, -1)

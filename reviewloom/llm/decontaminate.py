@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, releasing, stored
 
 #: Words of a window.
 WINDOW = 13
@@ -64,6 +64,7 @@ _built: dict[str, object] = {}
 
 
 def _scan(spread):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, found = spread.value
         if key not in _built:

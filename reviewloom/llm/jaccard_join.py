@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import mix64, prepare, shingle_set, stored
+from .common import mix64, prepare, releasing, shingle_set, stored
 
 #: Buckets of the document-frequency table (one byte each when broadcast).
 FREQ_BITS = 21
@@ -61,6 +61,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------- corpus-wide frequencies --
 def _count_buckets(n: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << FREQ_BITS, np.int64)
         for b in batches:
@@ -122,6 +123,7 @@ def _set_key(u: np.ndarray) -> tuple[int, int]:
 
 def _describe(n: int, num: int, den: int, levels):
     """Text -> size, key, histogram and rare-first prefix of its set."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value[0]
         for b in batches:
@@ -177,6 +179,7 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
         return pa.RecordBatch.from_arrays(
             [pa.array(c["token"][at]), pa.array(c["part"][at]), pa.array(c["cid"][at]), pa.array(c["n"][at]), pa.array(c["pos"][at]), other], schema=schema)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None   # the last rows so far, which are neighbours of the next ones
         linked = []   # whether each of them shares its token with a row before it
@@ -222,6 +225,7 @@ def _neighbours(num: int, den: int, reach: int, members: bool):
 TASK_LINKS = 1 << 20
 
 
+@releasing
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (x, y) of a task -> (node, component): each node and the least node it is linked to within the task."""
     parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
@@ -254,6 +258,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ verification --
 def _sets(n: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, n) for t in b.column(0).to_pylist()]
@@ -291,6 +296,7 @@ def _filter_pairs(num: int, den: int):
 
 
 def _verify(num: int, den: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []

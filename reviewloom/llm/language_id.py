@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_path, stored
+from .common import prepare, releasing, scratch_path, stored
 
 ORDER = 4
 #: Counts of 4-grams by language in a shard, and cells (distinct 4-grams x languages) of
@@ -72,6 +72,7 @@ def grams(c: np.ndarray) -> np.ndarray:
     return g
 
 
+@releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, gram, n), summed within a batch."""
     for b in batches:
@@ -240,6 +241,7 @@ def _best(e: np.ndarray, languages: list[str]) -> tuple[str, float, float]:
 
 def _part(spread):
     """(row, text) -> (row, shard, chars, part): a shard's share of the entropies."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
         for b in batches:
@@ -278,6 +280,7 @@ def _measured(rows: DataFrame, folder: str, models: Models, shards: Iterator[Mod
 
 def _measure(spread):
     """(id, .., text) -> best and second language's entropy."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
         for b in batches:

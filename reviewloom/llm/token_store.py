@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_path, stored
+from .common import prepare, releasing, scratch_path, stored
 from .files import read_file, write_file
 
 MAGIC = b"EFTOKEN2"
@@ -248,6 +248,7 @@ _cache: dict[tuple[str, int, bool], WordCache] = {}
 
 
 def _write(path: str, end_id: int, width: int, folder: str, file_ids: int, special: bool):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, width, special) not in _cache:
             _cache[path, width, special] = WordCache(path, width, special)
@@ -303,6 +304,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
 
 def _read(folder: str):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

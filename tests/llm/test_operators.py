@@ -4,18 +4,23 @@ ids and texts, empty and long texts, repeated rows, extra columns, empty tables.
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from importlib.metadata import distribution
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.llm import common, decontaminate, jaccard_join, language_id, token_store
 from reviewloom.llm.arc_to_warc import ArcRecord, arc_header, arc_record, members, pages_to_warc, read_arc, read_warc, sha1_base32, warc_record
 from reviewloom.llm.block_naming import exact_duplicates
-from reviewloom.llm.common import MIN_SPLITS, id_remainder, prepare, scratch_path, shingle_set, word_count
+from reviewloom.llm.common import BATCH_BYTES, MIN_SPLITS, id_remainder, prepare, scratch_path, shingle_set, word_count
 from reviewloom.llm.compression_quality import PIECE, SAMPLE_BYTES, SPREAD, _samples, classify_quality
 from reviewloom.llm.decontaminate import contamination
 from reviewloom.llm.jaccard_join import jaccard_components
@@ -415,6 +420,73 @@ def test_languages_in_shards(spark, monkeypatch):
     assert all(got[1000 + i].lang_pred == "small" for i in range(12)) and got[None].lang_pred == "small"
 
 
+# ------------------------------------------------------------ tasks' memory --
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    prepare(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = spark.range(0, 120, 1, 1).selectExpr("repeat('long text ', 50000) t").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 120
+    assert max(r.size for r in got) < BATCH_BYTES + 600_000  # the row that exceeds the bound is the last of its batch
+
+
+def test_tasks_give_memory_back(monkeypatch, tmp_path):
+    """Once for each task, when the last batch was handed on."""
+    class Spread:
+        value = (np.zeros(1 << jaccard_join.FREQ_BITS, np.uint8), np.ones(1 << jaccard_join.FREQ_BITS, np.uint8))
+
+    class Patterns:
+        value = ("none", {})
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+        get = classmethod(lambda cls: cls)
+
+    monkeypatch.setattr(token_store, "TaskContext", Task)
+    released = []
+    monkeypatch.setattr(common, "release_memory", lambda: released.append(len(out)))
+    text = pa.array(["some words of a text", "others"])
+    ids = pa.array([1, 2])
+    tasks = [
+        (jaccard_join._count_buckets(2), [text]), (jaccard_join._describe(2, 80, 100, Spread), [ids, text]), (jaccard_join._sets(2), [text]),
+        (language_id._count, [pa.array(["en", "en"]), text]), (decontaminate._scan(Patterns), [ids, text]),
+        (token_store._write(TOKENIZER, 2, 2, str(tmp_path), 3, True), [ids, text]),
+    ]
+    for run, columns in tasks:
+        out = []
+        released.clear()
+        names = [f"c{i}" for i in range(len(columns))]
+        for b in run(iter([pa.RecordBatch.from_arrays(columns, names)] * 2)):
+            out.append(b)
+        assert out and released == [len(out)], run
+
+
+def test_released_memory_leaves_the_process():
+    """What Arrow's pool and the C library hold after a task."""
+    child = r"""
+import re
+import pyarrow as pa
+from reviewloom.llm.common import releasing
+kept = []
+def size():
+    return int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+@releasing
+def run(batches):
+    for n in batches:
+        texts = [bytes(4000) for _ in range(n)]
+        kept.append(bytes(4000))  # above all of them, like a cache's entry
+        yield n
+list(run([10])); before = size()
+list(run([50000])); print(size() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", child], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=60)
+    assert got.returncode == 0, got.stderr
+    assert int(got.stdout) < 50, got.stdout  # of 200 MB
+
+
 # ------------------------------------------------------------- token files --
 def test_elias_fano():
     rng = np.random.default_rng(0)
