@@ -129,7 +129,7 @@ def weekly_feedback(reviews: DataFrame, requests: DataFrame, *, eps: float, min_
     pts = kept if keep_zero_vectors else kept.filter(has_vec)
     pts = pts.withColumn("embedding", F.coalesce(F.col("embedding"), F.array().cast("array<float>")))
     assigned = dbscan(pts.select(*KEY, "review_id", "ord", "embedding"), eps, min_pts, "review_id", "embedding",
-                      "ord", group_cols=KEY, block_size=block_size)
+                      "ord", group_cols=KEY, block_size=block_size, window_col="week")
     in_cluster = assigned.filter(F.col("cluster_id") >= 0).select(*KEY, "review_id", "cluster_id") \
         .join(slim.select("product", "review_id", "__row"), ["product", "review_id"])
     members = materialize(pts.join(in_cluster, [*KEY, "review_id"]))
