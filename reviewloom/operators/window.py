@@ -4,9 +4,9 @@ backfill (W9).
 A request is one (product, week, lookback_weeks) row; many weeks and products
 run in one job.  A review at time ``t`` can only fall in the windows of its
 own ISO week and of the ``L`` weeks after it, so instead of a range join each
-review is expanded into at most ``L+1`` candidate week keys and equi-joined to
-the requests; the exact window predicate then drops the extra candidate.  The
-expansion is bounded by the largest requested look-back, never by the data.
+request is expanded into the ``L+1`` weeks that its window touches, with its bounds, and
+equi-joined to the reviews' own weeks; the bounds then drop what is outside.  The
+expansion is bounded by the requests, never by the data.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.weeks import in_lookback, iso_week_key, week_start_date
+from ..functions.weeks import in_lookback, is_valid_week_key, iso_week_key, lookback_lower, week_end_ts, week_start_date
 from .joins import bounded_broadcast
 
 
@@ -41,16 +41,17 @@ def expand_to_requests(reviews: DataFrame, requests: DataFrame, ts_col: str = "r
         joined = reviews.join(small, reviews[product_col] == F.col("__req_product"))
         return joined.filter(in_lookback(F.col(ts_col), F.col("week"), F.col("lookback_weeks"), False)) \
                      .drop("__req_product")
-    max_l = requests.agg(F.max("lookback_weeks")).first()[0] or 0
+    weeks_back = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("lookback_weeks").cast("int")))
+    req = req.filter(is_valid_week_key(F.col("week"))).filter(F.col("lookback_weeks").isNotNull()) \
+             .withColumns({"__lo": lookback_lower(F.col("week"), F.col("lookback_weeks")), "__hi": week_end_ts(F.col("week"))}) \
+             .withColumn("__back", F.explode(weeks_back)) \
+             .withColumn("__week_start", F.date_sub(week_start_date(F.col("week")), F.col("__back") * 7)).drop("__back")
     own_week_start = F.date_trunc("week", F.col(ts_col)).cast("date")
-    cand = reviews.withColumn("__off", F.explode(F.sequence(F.lit(0), F.lit(int(max_l)))))
-    cand = cand.withColumn("__cand_week", iso_week_key(F.date_add(own_week_start, F.col("__off") * 7))) \
-               .drop("__off")
     small = bounded_broadcast(req, max_request_rows)
-    joined = cand.join(small, (cand[product_col] == F.col("__req_product"))
-                       & (F.col("__cand_week") == F.col("week")))
-    return joined.filter(in_lookback(F.col(ts_col), F.col("week"), F.col("lookback_weeks"), True)) \
-                 .drop("__req_product", "__cand_week")
+    joined = reviews.withColumn("__own_start", own_week_start) \
+        .join(small, (reviews[product_col] == F.col("__req_product")) & (F.col("__own_start") == F.col("__week_start")))
+    return joined.filter((F.col(ts_col) >= F.col("__lo")) & (F.col(ts_col) <= F.col("__hi"))) \
+                 .drop("__req_product", "__own_start", "__week_start", "__lo", "__hi")
 
 
 def scan_cap(reviews: DataFrame, group_cols: list[str], max_rows: int, order_col: str = "ord") -> DataFrame:
