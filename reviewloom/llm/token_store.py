@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left
 from codecs import charmap_decode
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -217,7 +218,7 @@ class WordCache:
             and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         self.added = [t["content"] for t in about["added_tokens"] if special or not t["special"]]
         self.model, self.cut, self.chars = self.tokenizer.model, regex.compile(_PATTERN).findall, _byte_characters()
-        self.pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
+        self.pack = {n: partial(struct.pack, f"<{n}{'H' if width == 2 else 'I'}") for n in range(64)}  # goes to tasks; a Struct does not
         self.feed = self.whole(["\n"])[0]
         self.marks = {m: self.whole([m])[0] for m in ".,!?;:"}
         self.first, self.after_space = _Words(self, ""), _Words(self, " ")
